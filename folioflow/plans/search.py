@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import ranking
@@ -175,13 +174,10 @@ def top_search(spark, d):
     return best.select("name", "author", "source_id", "source_name", "book_url", "score", "origin_count")
 
 
-@query("sort_modes", sql_for("ranked_hits", extra=SIMPLE_STEPS, body="select merge_key, cast(row_number() over (order by weight desc, name, author) as int) as place from merged where rn = 1"))
+@query("sort_modes", sql_for("ranked_hits", extra=SIMPLE_STEPS, body="select merge_key, name, weight from merged where rn = 1"))
 def sort_modes(spark, d):
     merged = merge.merge_hits_simple(scored(spark, d))
-    # The order shows as a place; merged entries are reduced to one row per title and author.
-    ordered = search.sort_modes(merged, "weight")
-    place = F.row_number().over(Window.orderBy(F.desc("weight"), "name", "author"))
-    return ordered.withColumn("place", place).select("merge_key", "place")
+    return search.sort_modes(merged, "name").select("merge_key", "name", "weight")
 
 
 @query("multi_search", sql_for("ranked_hits", extra={

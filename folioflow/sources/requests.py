@@ -55,21 +55,24 @@ def plan_requests(sources: DataFrame, keywords: list[str], pages: list[int] = (1
         "*", F.explode(F.array(*map(F.lit, keywords))).alias("keyword")
     ).select("*", F.explode(F.array(*map(F.lit, pages))).alias("page"))
 
-    raw_url, opts = split_options(first_address(F.col("search_url")))
-    df = expanded.withColumn("_raw", raw_url).withColumn("_opts", opts)
+    df = expanded.withColumn("_first", first_address(F.col("search_url")))
+    raw_url, opts = split_options(F.col("_first"))
+    df = df.withColumns({"_raw": raw_url, "_opts": opts})
     charset = F.coalesce(F.col("_opts")["charset"], text_or_blank(F.col("charset")))
     coded = F.when(charset_name(charset).isin(TRANSCODED), encode_keyword(F.col("keyword"), charset)).otherwise(
         F.col("keyword")
     )
+    df = df.withColumn("_coded", coded)
     values = {
-        "key": coded,
+        "key": F.col("_coded"),
         "searchKey": F.col("keyword"),
         "page": F.col("page").cast("string"),
         "baseUrl": F.col("url"),
         "sourceUrl": F.col("url"),
     }
     body = fill_template(F.coalesce(F.col("_opts")["body"], F.lit("")), values)
-    df = df.withColumn("_body", body)
+    address = fill_template(strip_space(F.col("_raw")), values)
+    df = df.withColumns({"_body": body, "_address": address, "_charset": charset})
     has_body = F.col("_body") != ""
     method = F.upper(
         F.coalesce(F.nullif(F.col("_opts")["method"], F.lit("")), F.when(has_body, "POST").otherwise("GET"))
@@ -87,11 +90,11 @@ def plan_requests(sources: DataFrame, keywords: list[str], pages: list[int] = (1
         F.col("id").alias("source_id"),
         "keyword",
         "page",
-        abs_url(F.col("url"), fill_template(strip_space(F.col("_raw")), values)).alias("request_url"),
+        abs_url(F.col("url"), F.col("_address")).alias("request_url"),
         method.alias("method"),
         F.col("_body").alias("body"),
         headers.alias("headers"),
-        charset.alias("charset"),
+        F.col("_charset").alias("charset"),
     )
 
 

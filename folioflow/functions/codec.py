@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import drop_space, text_or_blank
+from folioflow.functions.text import drop_space, let, text_or_blank
 
 # Charset labels and the encoding each one stands for.
 CHARSET_ALIASES = {
@@ -25,39 +25,37 @@ TRANSCODED = ["gbk", "gb18030", "big5"]
 
 def charset_name(c: Column) -> Column:
     """Canonical charset label."""
-    label = F.lower(F.regexp_replace(text_or_blank(c), "[\"'\\s]", ""))
     names = F.create_map(*[F.lit(x) for pair in CHARSET_ALIASES.items() for x in pair])
-    return F.coalesce(names[label], label)
+    return let(
+        F.lower(F.regexp_replace(text_or_blank(c), "[\"'\\s]", "")), lambda label: F.coalesce(names[label], label)
+    )
 
 
-def _decode(body: Column, charset: Column) -> Column:
-    out = F.when(charset == DECODABLE[0], F.decode(body, DECODABLE[0]))
-    for name in DECODABLE[1:]:
-        out = out.when(charset == name, F.decode(body, name))
-    return out
+def body_charset(body: Column, content_type: Column, charset: Column) -> Column:
+    """The charset of bytes without a byte order mark: given, header, markup, strict UTF-8, then GBK.
+
+    The first of the labels that names a known encoding counts.
+    """
+    head = F.decode(F.substring(body, 1, 4096), "ISO-8859-1")
+    labels = F.array(
+        text_or_blank(charset),
+        F.regexp_extract(text_or_blank(content_type), r"(?i)charset\s*=\s*[\"']?([\w-]+)", 1),
+        F.regexp_extract(head, r"(?i)<meta[^>]+charset\s*=\s*[\"']?\s*([\w-]+)", 1),
+        F.regexp_extract(head, r"(?i)<\?xml[^>]+encoding\s*=\s*[\"']([\w-]+)", 1),
+    )
+    known = F.filter(F.transform(labels, charset_name), lambda x: x.isin(*DECODABLE))
+    guess = F.when(F.is_valid_utf8(body.cast("string")), "utf-8").otherwise("gbk")
+    return F.coalesce(F.try_element_at(known, F.lit(1)), guess)
 
 
 def decode_body(body: Column, content_type: Column, charset: Column) -> Column:
-    """Bytes to text: byte order mark, given charset, header, markup, strict UTF-8, then GBK."""
-    head = F.decode(F.substring(body, 1, 4096), "ISO-8859-1")
-    from_header = charset_name(F.regexp_extract(text_or_blank(content_type), r"(?i)charset\s*=\s*[\"']?([\w-]+)", 1))
-    from_meta = charset_name(F.regexp_extract(head, r"(?i)<meta[^>]+charset\s*=\s*[\"']?\s*([\w-]+)", 1))
-    from_xml = charset_name(F.regexp_extract(head, r"(?i)<\?xml[^>]+encoding\s*=\s*[\"']([\w-]+)", 1))
-    markup = F.when(from_meta != "", from_meta).otherwise(from_xml)
+    """Bytes to text: by byte order mark, else by ``body_charset``."""
     size = F.length(body)
     return (
         F.when(body.isNull() | (size == 0), "")
         .when(F.hex(F.substring(body, 1, 3)) == "EFBBBF", F.decode(F.substring(body, F.lit(4), size), "UTF-8"))
         .when(F.hex(F.substring(body, 1, 2)) == "FFFE", F.decode(F.substring(body, F.lit(3), size), "UTF-16LE"))
-        .otherwise(
-            F.coalesce(
-                _decode(body, charset_name(charset)),
-                _decode(body, from_header),
-                _decode(body, markup),
-                F.when(F.is_valid_utf8(body.cast("string")), F.decode(body, "UTF-8")),
-                F.decode(body, "GBK"),
-            )
-        )
+        .otherwise(F.call_function("decode", body, body_charset(body, content_type, charset)))
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import SPACE, strip_space, text_or_blank
+from folioflow.functions.text import SPACE, let, strip_space, text_or_blank
 
 ORIGIN = r"^(?i)(https?)://([^/?#\\]*)"
 
@@ -36,7 +36,7 @@ def _fold_dots(path: Column) -> Column:
             .otherwise(F.array_append(acc, seg))
         )
 
-    segments = F.slice(F.split(path, "/"), F.lit(2), F.size(F.split(path, "/")))
+    segments = F.split(F.regexp_replace(path, "^/", ""), "/")
     folded = F.concat(F.lit("/"), F.array_join(F.aggregate(segments, start, step), "/"))
     # A path that ends in a dot segment names a folder.
     folded = F.when(path.rlike(r"/\.{1,2}$") & ~folded.endswith("/"), F.concat(folded, F.lit("/"))).otherwise(folded)
@@ -45,63 +45,90 @@ def _fold_dots(path: Column) -> Column:
 
 def _host(c: Column) -> Column:
     """Lower-case host with the default port removed, user part kept out."""
-    scheme = F.lower(F.regexp_extract(c, ORIGIN, 1))
-    host = F.lower(F.regexp_replace(F.regexp_extract(c, ORIGIN, 2), "^.*@", ""))
-    return (
-        F.when(scheme == "http", F.regexp_replace(host, ":80$", ""))
-        .when(scheme == "https", F.regexp_replace(host, ":443$", ""))
-        .otherwise(host)
-    )
+    authority = F.lower(F.regexp_extract(c, ORIGIN, 0))
+    bare = F.regexp_replace(authority, "^(https?://)[^@]*@", "$1")
+    bare = F.regexp_replace(bare, "^(http://.*):80$|^(https://.*):443$", "$1$2")
+    return F.regexp_replace(bare, "^https?://", "")
 
 
 def origin_of(c: Column) -> Column:
     """``scheme://host[:port]``, blank when the text is not an http(s) URL."""
-    host = _host(c)
-    return F.when(host.rlike(r"^[^\s:]+(:[0-9]{1,5})?$"), F.concat(F.lower(F.regexp_extract(c, ORIGIN, 1)), F.lit("://"), host)).otherwise("")
+    return let(
+        F.struct(F.lower(F.regexp_extract(c, ORIGIN, 1)).alias("scheme"), _host(c).alias("host")),
+        lambda p: F.when(
+            p["host"].rlike(r"^[^\s:]+(:[0-9]{1,5})?$"), F.concat(p["scheme"], F.lit("://"), p["host"])
+        ).otherwise(""),
+    )
 
 
 def base_url(c: Column) -> Column:
     """Add ``https://`` where no scheme is given and reduce to the origin."""
-    raw = strip_space(text_or_blank(c))
-    full = F.when(raw.rlike(r"(?i)^https?://"), raw).otherwise(
-        F.concat(F.lit("https://"), F.regexp_replace(raw, "^/+", ""))
+
+    def reduce_to_origin(raw: Column) -> Column:
+        full = F.when(raw.rlike(r"(?i)^https?://"), raw).otherwise(
+            F.concat(F.lit("https://"), F.regexp_replace(raw, "^/+", ""))
+        )
+        return let(
+            full,
+            lambda f: F.when(raw == "", "").otherwise(
+                F.coalesce(F.nullif(origin_of(f), F.lit("")), F.regexp_replace(f, "/+$", ""))
+            ),
+        )
+
+    return let(strip_space(text_or_blank(c)), reduce_to_origin)
+
+
+def _resolve(b: Column, s: Column) -> Column:
+    """A relative link on a page address."""
+    path = F.regexp_extract(b, r"(?i)^https?://[^/?#\\]*([^?#]*)", 1)
+    parts = F.struct(
+        origin_of(b).alias("origin"),
+        F.coalesce(F.nullif(path, F.lit("")), F.lit("/")).alias("path"),
+        F.regexp_extract(b, r"^[^?#]*(\?[^#]*)", 1).alias("query"),
+        F.regexp_extract(s, r"^([^?#]*)", 1).alias("link"),
+        F.regexp_extract(s, r"^[^?#]*(.*)$", 1).alias("tail"),
     )
-    origin = origin_of(full)
-    return F.when(raw == "", "").when(origin != "", origin).otherwise(F.regexp_replace(full, "/+$", ""))
+
+    def join(p: Column) -> Column:
+        target = F.when(p["link"].startswith("/"), p["link"]).otherwise(
+            F.concat(F.regexp_extract(p["path"], r"^(.*/)", 1), p["link"])
+        )
+        return (
+            F.when(p["origin"] == "", s)
+            .when(s.startswith("//"), F.concat(F.lower(F.regexp_extract(b, ORIGIN, 1)), F.lit(":"), s))
+            .when(s.startswith("?"), F.concat(p["origin"], p["path"], let(s, _escape_path)))
+            .when(s.startswith("#"), F.concat(p["origin"], p["path"], p["query"], let(s, _escape_path)))
+            .otherwise(
+                F.concat(p["origin"], let(let(target, _fold_dots), _escape_path), let(p["tail"], _escape_path))
+            )
+        )
+
+    return let(parts, join)
 
 
 def abs_url(base: Column, href: Column) -> Column:
     """Resolve a link against the page it stands on; links that lead nowhere become blank."""
-    s = strip_space(text_or_blank(href))
-    b = text_or_blank(base)
-    origin = origin_of(b)
-    path = F.regexp_extract(b, r"^(?i)https?://[^/?#\\]*([^?#]*)", 1)
-    path = F.when(path == "", "/").otherwise(path)
-    query = F.regexp_extract(b, r"^[^?#]*(\?[^#]*)", 1)
-    folder = F.regexp_extract(path, r"^(.*/)", 1)
-    link_path = F.regexp_extract(s, r"^([^?#]*)", 1)
-    tail = F.substring(s, F.length(link_path) + 1, F.length(s))
-    target = F.when(link_path.startswith("/"), link_path).otherwise(F.concat(folder, link_path))
-    resolved = (
-        F.when(s.startswith("?"), F.concat(origin, path, _escape_path(s)))
-        .when(s.startswith("#"), F.concat(origin, path, query, _escape_path(s)))
-        .otherwise(F.concat(origin, _escape_path(_fold_dots(target)), _escape_path(tail)))
-    )
-    return (
-        F.when((s == "") | (s == "#") | s.startswith("javascript:") | s.startswith("void("), "")
-        .when(s.rlike(r"(?i)^(data|blob|mailto|tel):"), "")
-        .when(s.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), s)
-        .when(origin == "", s)
-        .when(s.startswith("//"), F.concat(F.lower(F.regexp_extract(b, ORIGIN, 1)), F.lit(":"), s))
-        .otherwise(resolved)
-    )
+
+    def one(p: Column) -> Column:
+        s = p["s"]
+        return (
+            F.when((s == "") | (s == "#") | s.startswith("javascript:") | s.startswith("void("), "")
+            .when(s.rlike(r"(?i)^(data|blob|mailto|tel):"), "")
+            .when(s.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), s)
+            .otherwise(_resolve(p["b"], s))
+        )
+
+    return let(F.struct(text_or_blank(base).alias("b"), strip_space(text_or_blank(href)).alias("s")), one)
 
 
 def book_url(url: Column, page_url: Column) -> Column:
     """Complete a link only when it is a site path; bare identifiers stay as they are."""
-    s = strip_space(text_or_blank(url))
-    full = abs_url(page_url, s)
-    return F.when(s.rlike(r"^(\.{0,2}/)"), F.when(full != "", full).otherwise(s)).otherwise(s)
+
+    def one(s: Column) -> Column:
+        full = F.coalesce(F.nullif(abs_url(page_url, s), F.lit("")), s)
+        return F.when(s.rlike(r"^(\.{0,2}/)"), full).otherwise(s)
+
+    return let(strip_space(text_or_blank(url)), one)
 
 
 def url_valid(url: Column) -> Column:

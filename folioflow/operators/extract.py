@@ -53,9 +53,19 @@ class Spec:
     derived: dict[str, Column] = field(default_factory=dict)
 
 
+def spread(pages: DataFrame) -> DataFrame:
+    """Use all cores when the pages come from fewer files than there are cores.
+
+    A file with one row group is one task, however many cores are free, and reading markup
+    takes far longer than moving it. Larger inputs keep the partitions of their scan.
+    """
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    return pages.repartition(cores, "page_id") if len(pages.inputFiles()) < cores else pages
+
+
 def shred_table(pages: DataFrame, html: str = "text") -> DataFrame:
     """Node rows written once to the shared folder, so that no page is parsed twice."""
-    return settle(shred_html(pages, html), "nodes")
+    return settle(shred_html(spread(pages), html), "nodes")
 
 
 def _flatten(fields: dict[str, Field]) -> dict[str, Field]:
@@ -69,26 +79,30 @@ def _flatten(fields: dict[str, Field]) -> dict[str, Field]:
     return out
 
 
+def _origins(step: dom.Step) -> Column:
+    """The nodes from which an element can be reached by a step."""
+    ways = {
+        "inside": F.col("anc"),
+        "self_inside": F.array_append("anc", F.col("pre")),
+        "child": F.array("parent"),
+        "next": F.filter(F.array("prev_elem"), lambda x: x.isNotNull()),
+    }
+    if step.axis not in ways:
+        raise ValueError(f"axis {step.axis} is not available inside fields")
+    return ways[step.axis]
+
+
 def _follow_fields(nodes: DataFrame, state: DataFrame, steps: dict[str, dom.Step]) -> DataFrame:
-    """Advance every field in ``steps`` by one selector step with one join per axis."""
-    parts = [state.filter(~F.col("field").isin(*steps))]
-    for axis in sorted({s.axis for s in steps.values()}):
-        names = [n for n, s in steps.items() if s.axis == axis]
-        marks = F.filter(F.array(*[F.when(steps[n].test, F.lit(n)) for n in names]), lambda x: x.isNotNull())
-        found = dom.elements_of(nodes).select("page_id", "pre", "anc", "parent", "prev_elem", marks.alias("_f"))
-        found = found.filter(F.size("_f") > 0).withColumn("field", F.explode("_f"))
-        origin = state.filter(F.col("field").isin(*names)).withColumnRenamed("pre", "_from")
-        origins = {
-            "inside": F.explode("anc"),
-            "self_inside": F.explode(F.array_append("anc", F.col("pre"))),
-            "child": F.col("parent"),
-            "next": F.col("prev_elem"),
-        }
-        if axis not in origins:
-            raise ValueError(f"axis {axis} is not available inside fields")
-        links = found.select("page_id", "field", "pre", origins[axis].alias("_from"))
-        parts.append(links.join(origin, ["page_id", "field", "_from"]).select(*state.columns).distinct())
-    return reduce(DataFrame.unionByName, parts)
+    """Advance all fields by one selector step with a single join."""
+    marks = F.array(
+        *[F.when(s.test, F.struct(F.lit(n).alias("field"), _origins(s).alias("froms"))) for n, s in steps.items()]
+    )
+    found = dom.elements_of(nodes).select(
+        "page_id", "pre", F.explode(F.filter(marks, lambda x: x.isNotNull())).alias("m")
+    )
+    links = found.select("page_id", "pre", F.col("m.field").alias("field"), F.explode("m.froms").alias("_from"))
+    origin = state.withColumnRenamed("pre", "_from")
+    return links.join(origin, ["page_id", "field", "_from"]).select(*state.columns).distinct()
 
 
 def field_values(nodes: DataFrame, items: DataFrame, fields: dict[str, Field], urls: DataFrame) -> DataFrame:
@@ -97,10 +111,21 @@ def field_values(nodes: DataFrame, items: DataFrame, fields: dict[str, Field], u
     ``urls``: page_id, page_url; links are completed after the replacements.
     """
     flat = _flatten(fields)
-    names = F.array(*map(F.lit, flat))
-    state = items.select("page_id", "ctx", "pre", F.explode(names).alias("field"))
-    for level in range(max((len(f.steps) for f in flat.values()), default=0)):
-        state = _follow_fields(nodes, state, {n: f.steps[level] for n, f in flat.items() if len(f.steps) > level})
+    # Shorter paths start later, so that every level is one join over all running fields.
+    depth = max(len(f.steps) for f in flat.values())
+
+    def entering(level: int) -> DataFrame | None:
+        names = [n for n, f in flat.items() if depth - len(f.steps) == level]
+        if not names:
+            return None
+        return items.select("page_id", "ctx", "pre", F.explode(F.array(*map(F.lit, names))).alias("field"))
+
+    state = entering(0)
+    for level in range(depth):
+        running = {n: f.steps[level - depth] for n, f in flat.items() if depth - len(f.steps) <= level}
+        state = _follow_fields(nodes, state, running)
+        late = entering(level + 1)
+        state = state if late is None else state.unionByName(late)
     indexed = {n: f.index for n, f in flat.items() if f.index is not None}
     if indexed:
         by = Window.partitionBy("page_id", "ctx", "field")
@@ -114,6 +139,8 @@ def field_values(nodes: DataFrame, items: DataFrame, fields: dict[str, Field], u
         for n, i in indexed.items():
             keep = F.when(F.col("field") == n, F.col("_i" if i >= 0 else "_b") == i).otherwise(keep)
         state = state.filter(keep).drop("_i", "_b")
+    # The readers below start from the same slim set, so it is computed once.
+    state = settle(state, "fields")
 
     readers: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
         "text": dom.node_text,
@@ -169,6 +196,7 @@ def _records(pages: DataFrame, nodes: DataFrame, spec: Spec) -> DataFrame:
     items = dom.page_context(nodes)
     if spec.items:
         items = dom.sel_path(nodes, items, *spec.items).select("page_id", F.col("pre").alias("ctx"), "pre")
+    items = settle(items, "items")
     out = field_values(nodes, items, spec.fields, urls)
     return out.withColumns(spec.derived) if spec.derived else out
 

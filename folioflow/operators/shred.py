@@ -65,54 +65,64 @@ ATTR = re.compile(r"([^\s=>/][^\s=>/]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^
 RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 
 
+# Places in a node row and in an entry of the open-element stack.
+PRE, LAST, PARENT = 1, 2, 3
+S_PRE, S_TAG, S_ANC, S_HIDE, S_SKIP, S_COUNT, S_PREV = range(7)
+
+
 class _Page:
-    """Collects the node rows of one page."""
+    """Collects the node rows of one page; a row holds the columns of ``NODES`` in order."""
 
     def __init__(self, page_id: int):
         self.page_id = page_id
-        self.rows: list[dict] = []
-        self.open: list[dict] = [{"pre": 0, "tag": "", "anc": [], "hide": -1, "skip": -1, "n": 0, "prev": None}]
+        self.rows: list[list] = []
+        self.open: list[list] = [[0, "", [0], -1, -1, 0, None]]
         self.ended = False
 
-    def add(self, kind: str, tag: str | None = None, attrs: list | None = None, text: str | None = None) -> dict:
+    def add(self, kind: str, text: str, gap: bool | None = None) -> None:
+        """A text or comment row."""
         top, pre = self.open[-1], len(self.rows) + 1
-        row = {
-            "page_id": self.page_id, "pre": pre, "last": pre, "parent": top["pre"], "depth": len(self.open),
-            "kind": kind, "tag": tag, "attrs": attrs, "text": text, "anc": [*top["anc"], top["pre"]],
-            "elem_index": None, "prev_elem": None, "gap": None,
-            "hide": pre if tag in HIDDEN else top["hide"], "skip": pre if tag in SKIPPED else top["skip"],
-        }
-        if kind == "element":
-            row |= {"elem_index": top["n"], "prev_elem": top["prev"], "n": 0, "prev": None}
-            top["n"], top["prev"] = top["n"] + 1, pre
-        elif kind == "text":
-            row["gap"], self.ended = self.ended, False
-        self.rows.append(row)
-        return row
+        self.rows.append(
+            [self.page_id, pre, pre, top[S_PRE], len(self.open), kind, None, None, text, top[S_ANC],
+             None, None, gap, top[S_HIDE], top[S_SKIP]]
+        )
 
     def text(self, raw: str, decode: bool = True) -> None:
+        if not raw or (len(self.open) == 1 and not raw.strip()):
+            return
         # A stray "<" is a text node of its own.
-        for part in re.split("(<)", raw) if decode else [raw]:
+        for part in re.split("(<)", raw) if decode and "<" in raw else (raw,):
             if part and (len(self.open) > 1 or part.strip()):
-                self.add("text", text=unescape(part) if decode else part)
+                self.add("text", unescape(part) if decode else part, self.ended)
+                self.ended = False
 
     def start(self, tag: str, attrs: str) -> bool:
-        """Open an element; true when it is still open afterwards."""
+        """Open an element; true when its content follows."""
         for _ in range(8):
-            top = self.open[-1]["tag"]
+            top = self.open[-1][S_TAG]
             if not (tag in ENDED_BY.get(top, ()) or (tag == top and tag in SAME)):
                 break
             self.pop(len(self.open) - 1)
         seen: dict[str, str] = {}
-        for m in ATTR.finditer(attrs):
-            seen.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
-        row = self.add("element", tag, list(seen.items()))
-        closed = tag in VOID or ATTR.sub("", attrs).rstrip().endswith("/")
+        closed = tag in VOID
+        if attrs:
+            for m in ATTR.finditer(attrs):
+                seen.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
+            closed = closed or ("/" in attrs and ATTR.sub("", attrs).rstrip().endswith("/"))
+        top, pre = self.open[-1], len(self.rows) + 1
+        hide = pre if tag in HIDDEN else top[S_HIDE]
+        skip = pre if tag in SKIPPED else top[S_SKIP]
+        self.rows.append(
+            [self.page_id, pre, pre, top[S_PRE], len(self.open), "element", tag, list(seen.items()), None, top[S_ANC],
+             top[S_COUNT], top[S_PREV], None, hide, skip]
+        )
+        top[S_COUNT] += 1
+        top[S_PREV] = pre
         if not closed and len(self.open) < MAX_DEPTH:
-            self.open.append(row)
+            self.open.append([pre, tag, [*top[S_ANC], pre], hide, skip, 0, None])
             return True
         self.ended = True
-        return not closed and tag in RAW
+        return False
 
     def pop(self, depth: int) -> None:
         del self.open[depth:]
@@ -120,39 +130,43 @@ class _Page:
 
     def close(self, tag: str) -> None:
         for depth in range(len(self.open) - 1, 0, -1):
-            if self.open[depth]["tag"] == tag:
+            if self.open[depth][S_TAG] == tag:
                 self.pop(depth)
                 return
 
-    def finish(self) -> list[dict]:
-        for row in reversed(self.rows):
-            if row["parent"]:
-                parent = self.rows[row["parent"] - 1]
-                parent["last"] = max(parent["last"], row["last"])
-        return self.rows
+    def finish(self) -> list[list]:
+        rows = self.rows
+        for row in reversed(rows):
+            if row[PARENT]:
+                parent = rows[row[PARENT] - 1]
+                if parent[LAST] < row[LAST]:
+                    parent[LAST] = row[LAST]
+        return rows
 
 
-def page_nodes(page_id: int, html: str) -> list[dict]:
+def page_nodes(page_id: int, html: str) -> list[list]:
     page, at = _Page(page_id), 0
     while m := TOKEN.search(html, at):
-        page.text(html[at : m.start()])
+        if m.start() > at:
+            page.text(html[at : m.start()])
         at = m.end()
-        if m["comment"] is not None:
-            if len(m["comment"]) < MAX_COMMENT:
-                page.add("comment", text=m["comment"])
-        elif m["cdata"] is not None:
-            page.text(m["cdata"])
-        elif m["close"] is not None:
-            words = re.split(r"[\s/]", m["close"].strip())
-            if words[0]:
-                page.close(words[0].lower())
-        elif m["tag"]:
-            tag = m["tag"].lower()
-            if page.start(tag, m["attrs"]) and tag in RAW:
+        comment, cdata, close, tag, attrs = m.groups()
+        if tag:
+            tag = tag.lower()
+            if page.start(tag, attrs) and tag in RAW:
                 end = RAW_END[tag].search(html, at)
                 page.text(html[at : end.start() if end else len(html)], decode=False)
                 page.close(tag)
                 at = end.end() if end else len(html)
+        elif close is not None:
+            words = re.split(r"[\s/]", close.strip(), maxsplit=1)
+            if words[0]:
+                page.close(words[0].lower())
+        elif comment is not None:
+            if len(comment) < MAX_COMMENT:
+                page.add("comment", comment)
+        elif cdata is not None:
+            page.text(cdata)
     page.text(html[at:])
     return page.finish()
 
@@ -168,14 +182,20 @@ def shred_html(pages: DataFrame, html: str = "text") -> DataFrame:
 
     def shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = _arrow_schema()
-        rows: list[dict] = []
+
+        def pack(rows: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema
+            )
+
+        rows: list[list] = []
         for batch in batches:
             for page_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows.extend(page_nodes(page_id, text or ""))
                 if len(rows) >= FLUSH_NODES:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    yield pack(rows)
                     rows = []
         if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema)
+            yield pack(rows)
 
     return pages.select(F.col("page_id").cast("long"), F.col(html)).mapInArrow(shred, NODES)

@@ -11,24 +11,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflow.functions.lists import pick_at, pick_slice
-from folioflow.functions.text import strip_space, text_or_blank
+from folioflow.functions.text import let, strip_space, text_or_blank
 
 Step = Callable[[Column], Column]
 
 
+def is_json(c: Column) -> Column:
+    """Whether a text is exactly one JSON value.
+
+    The parser stops after the first value. Wrapped as an array item and as a member, text
+    with anything after that value does not parse to the wrapped form in both cases.
+    """
+    item = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), "$", "array<variant>")
+    member = F.try_parse_json(F.concat(F.lit('{"a":'), c, F.lit("}")))
+    return F.coalesce((F.size(item) == 1) & member.isNotNull(), F.lit(False))
+
+
 def parse(c: Column) -> Column:
-    return F.try_parse_json(c)
+    return F.when(is_json(c), F.try_parse_json(c))
 
 
 def parse_json_loose(c: Column) -> Column:
     """Parse JSON; when that fails cut what stands before the first and after the last bracket."""
-    s = strip_space(text_or_blank(c))
-    head = F.regexp_extract(s, r"(?s)([\[{].*)$", 1)
 
     def trim(x: Column) -> Column:
         return F.regexp_extract(x, r"(?s)^(.*[\]}])", 1)
 
-    return F.coalesce(*[F.try_parse_json(F.nullif(x, F.lit(""))) for x in (s, trim(s), head, trim(head))])
+    def first_valid(s: Column) -> Column:
+        head = F.regexp_extract(s, r"(?s)([\[{].*)$", 1)
+        tries = F.filter(F.array(s, trim(s), head, trim(head)), is_json)
+        return F.try_parse_json(F.try_element_at(tries, F.lit(1)))
+
+    return let(strip_space(text_or_blank(c)), first_valid)
 
 
 def _items(node: Column) -> Column:

@@ -89,7 +89,7 @@ def escape_html(spark, d):
 @query(
     "unescape_html",
     # In these pages the only ambiguous chain is &amp;, which is decoded last.
-    """select page_id, md5(replace(replace(replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', chr(160)), '&amp;', '&')) as plain from pages""",
+    """select page_id, md5(replace(replace(replace(replace(replace(replace(replace(html, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', chr(160)), '&amp;', '&')) as plain from pages""",
 )
 def unescape(spark, d):
     return load(spark, d, "pages").select("page_id", F.md5(unescape_html(F.col("html"))).alias("plain"))

@@ -69,7 +69,7 @@ def counts(sets):
 
 
 def unescape_sql(x: str) -> str:
-    for name, char in [("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&")]:
+    for name, char in [("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&quot;", '"'), ("&amp;", "&")]:
         x = f"replace({x}, '{name}', '{char}')"
     return x
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.functions.jsons import is_json
 from folioflow.functions.text import strip_space, text_or_blank
 from folioflow.functions.urls import base_url
 from folioflow.operators.catalog import apply_patch
@@ -51,10 +52,6 @@ NO_CONTENT = "缺少正文规则(ruleContent)，无法阅读"
 # Values ----------------------------------------------------------------------------
 
 
-def is_json(c: Column) -> Column:
-    return F.try_parse_json(F.nullif(c, F.lit(""))).isNotNull()
-
-
 def as_object(c: Column) -> Column:
     """An object or the JSON text of one, single quotes tolerated, else an empty map.
 

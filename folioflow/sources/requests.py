@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions.codec import TRANSCODED, charset_name, encode_keyword
+from folioflow.functions.jsons import is_json
 from folioflow.functions.text import strip_space, text_or_blank
 from folioflow.functions.urls import abs_url
 from folioflow.operators.catalog import source_order
-from folioflow.sources.definitions import as_object, is_json
+from folioflow.sources.definitions import as_object
 
 OTHER_GROUP = "分类"
 OPTION_SPLIT = r"(?s)^(.*),(\{.*)$"

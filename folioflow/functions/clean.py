@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import drop_space, is_ad_line, java_pattern_ok, let, strip_space, text_or_blank
+from folioflow.functions.text import drop_space, is_ad_line, java_pattern_ok, let, one_space, strip_space, text_or_blank
 
 HTML_MARK = r"<[a-zA-Z!/][^>]*>"
 
@@ -35,14 +35,12 @@ def apply_replace_rules(text: Column, rules: str) -> Column:
 
 def plain_lines(text: Column) -> Column:
     """Lines of a text without markup: a few entities decoded, blanks collapsed, empty lines dropped."""
-    out = F.regexp_replace(text, "(?i)&nbsp;", " ")
+    plain = F.regexp_replace(text, "(?i)&nbsp;", " ")
     for entity, char in [("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]:
-        out = F.regexp_replace(out, "(?i)" + entity, char)
-    out = F.regexp_replace(out, r"\r\n?", "\n")
-    lines = F.transform(
-        F.split(out, "\n"),
-        lambda x: strip_space(F.regexp_replace(F.regexp_replace(x, r"[\t\f\x{0b}]+", " "), " {2,}", " ")),
-    )
+        plain = F.regexp_replace(plain, "(?i)" + entity, char)
+    out = F.when(text.contains("&"), plain).otherwise(text)
+    out = F.when(text.contains("\r"), F.regexp_replace(out, r"\r\n?", "\n")).otherwise(out)
+    lines = F.transform(F.split(out, "\n"), lambda x: strip_space(one_space(x, "\t\f\x0b")))
     return F.filter(lines, lambda x: x != "")
 
 

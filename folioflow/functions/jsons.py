@@ -103,7 +103,7 @@ def json_path(v: Column, *steps: Step) -> Column:
     nodes = F.filter(F.array(v), lambda x: x.isNotNull())
     for step in steps:
         nodes = step(nodes)
-    return F.when(F.size(nodes) > 0, nodes)
+    return let(nodes, lambda n: F.when(F.size(n) > 0, n))
 
 
 def as_text(node: Column) -> Column:
@@ -113,9 +113,14 @@ def as_text(node: Column) -> Column:
 
 def path_text(v: Column, *steps: Step) -> Column:
     """The only node a path leads to as text, several nodes as a JSON array, none as blank."""
-    nodes = json_path(v, *steps)
-    many = F.concat(F.lit("["), F.array_join(F.transform(nodes, lambda x: F.to_json(x)), ","), F.lit("]"))
-    return F.when(nodes.isNull(), "").when(F.size(nodes) == 1, as_text(F.element_at(nodes, 1))).otherwise(many)
+
+    def show(nodes: Column) -> Column:
+        many = F.concat(F.lit("["), F.array_join(F.transform(nodes, lambda x: F.to_json(x)), ","), F.lit("]"))
+        return (
+            F.when(nodes.isNull(), "").when(F.size(nodes) == 1, let(F.element_at(nodes, 1), as_text)).otherwise(many)
+        )
+
+    return let(json_path(v, *steps), show)
 
 
 def field(node: Column, name: str) -> Column:

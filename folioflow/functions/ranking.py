@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import chars, norm_keyword, text_or_blank
+from folioflow.functions.text import norm_keyword, text_or_blank
 
 
 def _flag(c: Column) -> Column:
@@ -49,8 +49,8 @@ def exact_match(name: Column, author: Column, query: str, kind: str = "all") ->
 
 def name_score(candidate: Column, target: Column) -> Column:
     """Title part of the match score, on normalised titles."""
-    hits = F.size(F.filter(chars(candidate), lambda ch: target.contains(ch)))
-    overlap = F.floor(30 * hits / F.greatest(F.length(target), F.lit(1)) + 0.5).cast("int")
+    kept = F.filter(F.split(candidate, ""), lambda ch: (ch != "") & target.contains(ch))
+    overlap = F.floor(30 * F.size(kept) / F.greatest(F.length(target), F.lit(1)) + 0.5).cast("int")
     return (
         F.when((candidate == "") | (target == ""), 0)
         .when(candidate == target, 70)
@@ -69,23 +69,21 @@ def author_score(candidate: Column, target: Column) -> Column:
     )
 
 
-def match_score_keys(cn: Column, ca: Column, cover: Column, intro: Column, tn: Column, ta: Column) -> Column:
-    """Match score from normalised keys; cover and intro are booleans."""
+def total_score(by_name: Column, by_author: Column, cover: Column, intro: Column) -> Column:
+    """Match score from its parts; cover and intro are booleans."""
     extras = F.when(cover, 3).otherwise(0) + F.when(intro, 2).otherwise(0)
-    return F.greatest(F.lit(0), F.least(F.lit(100), name_score(cn, tn) + author_score(ca, ta) + extras))
+    return F.greatest(F.lit(0), F.least(F.lit(100), by_name + by_author + extras))
 
 
 def match_score(
     name: Column, author: Column, cover: Column, intro: Column, target_name: Column, target_author: Column
 ) -> Column:
     """How well a candidate matches a book, 0..100."""
-    return match_score_keys(
-        norm_keyword(name),
-        norm_keyword(author),
+    return total_score(
+        name_score(norm_keyword(name), norm_keyword(target_name)),
+        author_score(norm_keyword(author), norm_keyword(target_author)),
         text_or_blank(cover) != "",
         text_or_blank(intro) != "",
-        norm_keyword(target_name),
-        norm_keyword(target_author),
     )
 
 

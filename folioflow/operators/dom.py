@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import escape_html, strip_space
+from folioflow.functions.text import escape_html, one_space, strip_space
 from folioflow.operators.shred import VOID
 
 KEY = ["page_id", "ctx", "pre"]
@@ -227,8 +227,7 @@ def children_step(nodes: DataFrame, nodes_set: DataFrame) -> DataFrame:
 
 
 def collapse(c: Column) -> Column:
-    one = F.regexp_replace(c, r"[\t\n\r\f\x{0b}\x{a0}\x{3000}]+", " ")
-    return strip_space(F.regexp_replace(one, " {2,}", " "))
+    return strip_space(one_space(c, "\t\n\r\f\x0b\u00a0\u3000"))
 
 
 def _texts_under(nodes: DataFrame, targets: DataFrame) -> DataFrame:
@@ -353,6 +352,6 @@ def block_lines(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     parts = F.sort_array(F.collect_list(F.struct("at", "s")))
     lines = numbered.filter(F.col("s") != "").groupBy("page_id", "root", "line_no").agg(parts.alias("p"))
     joined = F.array_join(F.transform("p", lambda x: x["s"]), "")
-    line = strip_space(F.regexp_replace(F.regexp_replace(joined, r"[\t\r\n\f\x{0b}]+", " "), " {2,}", " "))
+    line = strip_space(one_space(joined, "\t\r\n\f\x0b"))
     out = lines.select("page_id", F.col("root").alias("pre"), "line_no", line.alias("line")).filter(F.col("line") != "")
     return out

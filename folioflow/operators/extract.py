@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import jsons
 from folioflow.functions.clean import HTML_MARK, apply_replace_rules, clean_lines, plain_lines
-from folioflow.functions.text import count_words, first_nonempty, regex_chain, strip_space, text_or_blank, tidy
+from folioflow.functions.text import count_words, first_nonempty, let, regex_chain, strip_space, text_or_blank, tidy
 from folioflow.functions.urls import abs_url
 from folioflow.operators import dom
 from folioflow.operators.search import make_hit
@@ -226,10 +226,12 @@ def extract_json_hits(
     pages: DataFrame, items: Iterable[jsons.Step], fields: dict[str, list[jsons.Step]], limit: int = 60
 ) -> DataFrame:
     """JSON pages to hits: an array gives its items, an object is one item."""
-    found = jsons.json_path(jsons.parse_json_loose(F.col("text")), *items)
-    only = F.try_variant_get(F.element_at(found, 1), "$", "array<variant>")
-    listed = F.when((F.size(found) == 1) & only.isNotNull(), only).otherwise(found)
-    rows = pages.select("page_id", "source_id", "source_name", F.col("final_url").alias("page_url"), F.posexplode(listed).alias("ctx", "_item"))
+    def items_of(found: Column) -> Column:
+        only = F.when(F.size(found) == 1, F.try_variant_get(F.element_at(found, 1), "$", "array<variant>"))
+        return F.coalesce(only, found)
+
+    listed = let(jsons.json_path(jsons.parse_json_loose(F.col("text")), *items), items_of)
+    rows = spread(pages).select("page_id", "source_id", "source_name", F.col("final_url").alias("page_url"), F.posexplode(listed).alias("ctx", "_item"))
     values = {n: jsons.path_text(F.col("_item"), *steps) for n, steps in fields.items()}
     for n in HIT_FIELDS:
         values.setdefault(n, F.lit(""))

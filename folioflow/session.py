@@ -12,6 +12,7 @@ REQUIRED = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.legacy.javaCharsets": "true",  # GBK, Big5 and GB18030 in encode/decode
     "spark.sql.legacy.codingErrorAction": "true",  # unmappable characters are replaced, not an error
+    "spark.python.sql.dataFrameDebugging.enabled": "false",  # no call-site lookup per column expression
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",  # map_concat as a shallow object merge
 }
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions.jsons import is_json
-from folioflow.functions.text import strip_space, text_or_blank
+from folioflow.functions.text import let, strip_space, text_or_blank
 from folioflow.functions.urls import base_url
 from folioflow.operators.catalog import apply_patch
 from folioflow.operators.numbering import ordinal
@@ -117,26 +117,23 @@ def read_sources(docs: DataFrame) -> DataFrame:
     Tried in order: the whole text as JSON, the span between the outermost brackets, one
     object per line. Known wrapper members are unwrapped and non-objects dropped.
     """
-    s = F.regexp_replace(strip_space(text_or_blank(F.col("text"))), r"^\x{feff}", "")
-    cut = F.regexp_extract(s, r"(?s)([\[{].*[\]}])", 1)
-    body = F.when(is_json(s), s).when(is_json(cut), cut)
-    rows = F.filter(
-        F.transform(
-            F.filter(F.transform(F.split(s, r"\r?\n"), strip_space), lambda x: x.startswith("{")),
-            lambda x: F.regexp_replace(x, r",\s*$", ""),
-        ),
-        is_json,
+    s, body = F.col("s"), F.col("body")
+    lines = F.filter(F.transform(F.split(s, r"\r?\n"), strip_space), lambda x: x.startswith("{"))
+    rows = F.filter(F.transform(lines, lambda x: F.regexp_replace(x, r",\s*$", "")), is_json)
+    inner = let(
+        F.from_json(body, MAP),
+        lambda m: F.coalesce(*[F.when(~F.coalesce(m[w], F.lit("")).isin("", "0", "false", "null"), m[w]) for w in WRAPPERS]),
     )
-    members = F.from_json(F.col("body"), MAP)
-    filled = [F.when(~F.coalesce(members[w], F.lit("")).isin("", "0", "false", "null"), members[w]) for w in WRAPPERS]
-    inner = F.coalesce(*filled)
     listed = (
-        F.when(F.col("body").isNull(), F.col("rows"))
-        .when(F.col("body").startswith("["), F.from_json(F.col("body"), "array<string>"))
-        .when(F.ltrim(inner).startswith("["), F.from_json(inner, "array<string>"))
-        .otherwise(F.array(F.col("body")))
+        F.when(body.isNull(), rows)
+        .when(body.startswith("["), F.from_json(body, "array<string>"))
+        .when(F.ltrim("inner").startswith("["), F.from_json("inner", "array<string>"))
+        .otherwise(F.array(body))
     )
-    out = docs.select("doc_id", body.alias("body"), rows.alias("rows"))
+    out = docs.select("doc_id", F.regexp_replace(strip_space(text_or_blank(F.col("text"))), r"^\x{feff}", "").alias("s"))
+    out = out.withColumn("cut", F.regexp_extract(s, r"(?s)([\[{].*[\]}])", 1))
+    out = out.withColumn("body", F.when(is_json(s), s).when(is_json(F.col("cut")), F.col("cut")))
+    out = out.withColumn("inner", F.when(body.startswith("{"), inner))
     return out.select("doc_id", F.posexplode(listed).alias("pos", "raw")).filter(F.ltrim("raw").rlike(r"^[\[{]"))
 
 

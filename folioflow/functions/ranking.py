@@ -69,10 +69,11 @@ def author_score(candidate: Column, target: Column) -> Column:
     )
 
 
-def total_score(by_name: Column, by_author: Column, cover: Column, intro: Column) -> Column:
-    """Match score from its parts; cover and intro are booleans."""
+def total_score(by_name: Column, by_author: Column, cover: Column, intro: Column, clamp: bool = True) -> Column:
+    """Match score from its parts, 0..100 when clamped; cover and intro are booleans."""
     extras = F.when(cover, 3).otherwise(0) + F.when(intro, 2).otherwise(0)
-    return F.greatest(F.lit(0), F.least(F.lit(100), by_name + by_author + extras))
+    total = by_name + by_author + extras
+    return F.greatest(F.lit(0), F.least(F.lit(100), total)) if clamp else total
 
 
 def match_score(

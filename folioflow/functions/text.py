@@ -189,6 +189,16 @@ def chars(c: Column) -> Column:
     return F.filter(F.split(text_or_blank(c), ""), lambda x: x != "")
 
 
+def substrings(c: Column) -> Column:
+    """All distinct non-empty substrings of a short text."""
+    size = F.length(c)
+    parts = F.transform(
+        F.sequence(F.lit(1), size),
+        lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substring(c, i, n)),
+    )
+    return F.when(size > 0, F.array_distinct(F.flatten(parts))).otherwise(F.array().cast("array<string>"))
+
+
 def interleave_chars(a: Column, b: Column) -> Column:
     """Alternate the characters of two strings, the longer one first."""
     a, b = text_or_blank(a), text_or_blank(b)

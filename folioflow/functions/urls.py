@@ -81,12 +81,14 @@ def base_url(c: Column) -> Column:
 def _resolve(b: Column, s: Column) -> Column:
     """A relative link on a page address."""
     path = F.regexp_extract(b, r"(?i)^https?://[^/?#\\]*([^?#]*)", 1)
+    clean = F.translate(s, "\t\n\r", "")
     parts = F.struct(
+        clean.alias("s"),
         origin_of(b).alias("origin"),
         F.coalesce(F.nullif(path, F.lit("")), F.lit("/")).alias("path"),
         F.regexp_extract(b, r"^[^?#]*(\?[^#]*)", 1).alias("query"),
-        F.regexp_extract(s, r"^([^?#]*)", 1).alias("link"),
-        F.regexp_extract(s, r"^[^?#]*(.*)$", 1).alias("tail"),
+        F.regexp_extract(clean, r"^([^?#]*)", 1).alias("link"),
+        F.regexp_extract(clean, r"^[^?#]*(.*)$", 1).alias("tail"),
     )
 
     def join(p: Column) -> Column:
@@ -96,8 +98,8 @@ def _resolve(b: Column, s: Column) -> Column:
         return (
             F.when(p["origin"] == "", s)
             .when(s.startswith("//"), F.concat(F.lower(F.regexp_extract(b, ORIGIN, 1)), F.lit(":"), s))
-            .when(s.startswith("?"), F.concat(p["origin"], p["path"], let(s, _escape_path)))
-            .when(s.startswith("#"), F.concat(p["origin"], p["path"], p["query"], let(s, _escape_path)))
+            .when(s.startswith("?"), F.concat(p["origin"], p["path"], let(p["s"], _escape_path)))
+            .when(s.startswith("#"), F.concat(p["origin"], p["path"], p["query"], let(p["s"], _escape_path)))
             .otherwise(
                 F.concat(p["origin"], let(let(target, _fold_dots), _escape_path), let(p["tail"], _escape_path))
             )

@@ -108,8 +108,23 @@ def _resolve(b: Column, s: Column) -> Column:
     return let(parts, join)
 
 
+SIMPLE_BASE = r"^https?://[a-z0-9-]+(?:\.[a-z0-9-]+)*(?=[/?#]|$)"
+# A site path without dot segments and without characters that need escaping.
+SIMPLE_PATH = r"^/(?![/\\])(?:[A-Za-z0-9_~=&+,@%/?#:;!*-]|(?<!/)\.)*$"
+
+
+def _or_simple(base: Column, href: Column, general: Column) -> Column:
+    """Most links are plain site paths on a plain host; they skip the general case."""
+    simple = href.rlike(SIMPLE_PATH) & base.rlike(SIMPLE_BASE)
+    return F.when(simple, F.concat(F.regexp_extract(base, SIMPLE_BASE, 0), href)).otherwise(general)
+
+
 def abs_url(base: Column, href: Column) -> Column:
     """Resolve a link against the page it stands on; links that lead nowhere become blank."""
+    return _or_simple(base, href, _abs_url(base, href))
+
+
+def _abs_url(base: Column, href: Column) -> Column:
 
     def one(p: Column) -> Column:
         s = p["s"]
@@ -127,10 +142,10 @@ def book_url(url: Column, page_url: Column) -> Column:
     """Complete a link only when it is a site path; bare identifiers stay as they are."""
 
     def one(s: Column) -> Column:
-        full = F.coalesce(F.nullif(abs_url(page_url, s), F.lit("")), s)
+        full = F.coalesce(F.nullif(_abs_url(page_url, s), F.lit("")), s)
         return F.when(s.rlike(r"^(\.{0,2}/)"), full).otherwise(s)
 
-    return let(strip_space(text_or_blank(url)), one)
+    return _or_simple(page_url, url, let(strip_space(text_or_blank(url)), one))
 
 
 def url_valid(url: Column) -> Column:

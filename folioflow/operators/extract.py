@@ -310,7 +310,7 @@ def toc_warnings(pages: DataFrame, rows: DataFrame) -> DataFrame:
 
 def clean_html(fragments: DataFrame, aliases: Callable[[], list[Column]] = list, replace_rules: str = "") -> DataFrame:
     """Clean texts (page_id, text) with or without markup: page_id, content."""
-    ready = fragments.withColumn("text", apply_replace_rules(text_or_blank(F.col("text")), replace_rules))
+    ready = spread(fragments).withColumn("text", apply_replace_rules(text_or_blank(F.col("text")), replace_rules))
     marked = ready.filter(F.col("text").rlike(HTML_MARK))
     plain = ready.filter(~F.col("text").rlike(HTML_MARK)).withColumn("lines", plain_lines(F.col("text")))
     nodes = shred_table(marked)

@@ -35,14 +35,19 @@ def _position() -> Column:
     return F.struct((-F.col("weight")).alias("w"), "sort_order", "source_id", "item_pos")
 
 
-def author_keys(hits: DataFrame) -> DataFrame:
+def keyed_hits(hits: DataFrame) -> DataFrame:
+    """Hits with title and author key, blank titles dropped, written once.
+
+    The keys are read three times below and the members twice; reading a written table with
+    only the needed columns costs less than making the hits again each time.
+    """
+    keyed = hits.withColumn("title", norm_title(F.col("name"))).withColumn("ak", author_key(F.col("author")))
+    return settle(keyed.filter(F.col("title") != ""), "keyed-hits")
+
+
+def author_keys(keyed: DataFrame) -> DataFrame:
     """Distinct non-empty author keys per title with their first position."""
-    return (
-        hits.select(norm_title(F.col("name")).alias("title"), author_key(F.col("author")).alias("ak"), _position().alias("pos"))
-        .filter((F.col("title") != "") & (F.col("ak") != ""))
-        .groupBy("title", "ak")
-        .agg(F.min("pos").alias("pos"))
-    )
+    return keyed.filter(F.col("ak") != "").groupBy("title", "ak").agg(F.min(_position()).alias("pos"))
 
 
 def _compatible(a: Column, b: Column) -> Column:
@@ -138,9 +143,8 @@ def author_leaders(keys: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
 
 def merge_members(hits: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
     """Every hit with the entry it belongs to: (title, leader). Blank titles are dropped."""
-    keyed = hits.withColumn("title", norm_title(F.col("name"))).withColumn("ak", author_key(F.col("author")))
-    keyed = keyed.filter(F.col("title") != "")
-    keys = author_keys(hits)
+    keyed = keyed_hits(hits)
+    keys = author_keys(keyed)
     leaders = author_leaders(keys, fold_limit)
     # Hits without an author go to the first entry of their title, which is led by its first author.
     first = keys.groupBy("title").agg(F.min_by("ak", "pos").alias("leader")).withColumn("ak", F.lit(""))

@@ -1,6 +1,6 @@
 """Merging of hits that describe the same title across sources.
 
-Inside a title the reference rule is greedy in input order: a hit joins the first entry
+Inside a title the rule is greedy in input order: a hit joins the first entry
 whose author is compatible (either is empty, or one contains the other). Which entry a
 hit joins depends on its author key alone:
 

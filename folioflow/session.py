@@ -12,7 +12,6 @@ REQUIRED = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.legacy.javaCharsets": "true",  # GBK, Big5 and GB18030 in encode/decode
     "spark.sql.legacy.codingErrorAction": "true",  # unmappable characters are replaced, not an error
-    "spark.python.sql.dataFrameDebugging.enabled": "false",  # no call-site lookup per column expression
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",  # map_concat as a shallow object merge
 }
 
@@ -25,6 +24,8 @@ def build_session(app: str = "folioflow", master: str | None = None, partitions:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.ui.showConsoleProgress", "false")
+        # No call-site lookup for every column expression; this one is fixed when a session starts.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in REQUIRED.items():
         builder = builder.config(key, value)

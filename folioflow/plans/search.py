@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folioflow.functions import ranking
 from folioflow.operators import alternatives as alt
 from folioflow.operators import merge, search
+from folioflow.operators.library import progress_state
 from folioflow.plans.columns import clean_author_sql, dedupe_key_sql, norm_keyword_sql, norm_title_sql
 from folioflow.plans.registry import query
 from folioflow.plans.views import load, sql_for
@@ -287,7 +288,7 @@ def rebind_source(spark, d):
     moves = books.select(
         "book_id", (F.col("source_id") + 1).alias("new_source_id"), F.concat("book_url", F.lit("?n")).alias("new_book_url")
     )
-    progress = load(spark, d, "progress").withColumns(
-        {"percent": F.col("percent").cast("double"), "chapter_pos": F.col("chapter_pos").cast("double")}
+    progress = progress_state(load(spark, d, "progress_events")).withColumns(
+        {"percent": F.lit(25.0), "chapter_pos": F.lit(0.5)}
     )
     return alt.rebind_source(books.select("book_id"), moves, load(spark, d, "chapters"), progress)

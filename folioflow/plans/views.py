@@ -9,6 +9,9 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioflow.operators.numbering import ordinal
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -68,12 +71,25 @@ def register_tables(spark: SparkSession, sf_dir: str) -> None:
         spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet").createOrReplaceTempView(t)
 
 
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``hits`` view with positions numbered block by block.
+
+    The statement numbers a source in one window; here a source with very many hits is
+    spread over tasks.
+    """
+    numbered = "cast(row_number() over (partition by l_suppkey order by l_partkey) as int) as item_pos"
+    rows = spark.sql(VIEWS["hits"].replace(numbered, "l_partkey as _part"))
+    out = ordinal(rows, ["source_id"], F.floor(F.col("_part") / 65536), [F.asc("_part")], "_n")
+    return out.withColumn("item_pos", F.col("_n").cast("int")).drop("_part", "_n")
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table or an adapter view over the tables of a folder."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    sql = with_views(name) + f"SELECT * FROM {name}"
+    for dep in DEPENDS.get(name, []):
+        load(spark, sf_dir, dep).createOrReplaceTempView(dep)
     for t in TABLES:
-        if re.search(rf"\b{t}\b", sql):
-            spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(sql)
+        if re.search(rf"\b{t}\b", VIEWS[name]):
+            load(spark, sf_dir, t).createOrReplaceTempView(t)
+    return _hits(spark, sf_dir) if name == "hits" else spark.sql(VIEWS[name])

@@ -1,6 +1,7 @@
 """All registered queries of this subpackage."""
 
 from folioflow.llm import (  # noqa: F401
+    block_naming,
     byte_bpe,
 )
 from folioflow.llm.registry import ORACLE, QUERIES

@@ -2,6 +2,7 @@
 
 from folioflow.llm import (  # noqa: F401
     block_naming,
+    quality,
     byte_bpe,
 )
 from folioflow.llm.registry import ORACLE, QUERIES

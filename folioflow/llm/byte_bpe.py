@@ -28,7 +28,7 @@ from folioflow.llm.frames import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Distinct units remembered by a worker; when full, the memory starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 #: Any sign of white space that is neither a single blank nor a single line feed inside the text; the first ones stand alone.
 ODD_SPACE = [*map(chr, (0, 9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C)))]
 ODD_SPACE += [*map(chr, (0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)), "  ", " \n", "\n ", "\n\n"]
@@ -96,12 +96,19 @@ class Codec:
         self.split = regex.compile(pattern).findall
         letters = byte_letters()
         self.letters = dict(enumerate(letters))
-        self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(self.ranks))
+        self._model = None
         self.sizes = np.array([len(t) for t in tokens], np.int64)
         self.ends = np.cumsum(self.sizes)
         self.joined = np.frombuffer(b"".join(tokens), np.uint8)
         self.forget()
 
+    @property
+    def model(self) -> sentencepiece.SentencePieceProcessor:
+        """Built when something is encoded; decoding does without it."""
+        if self._model is None:
+            self._model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(self.ranks))
+        return self._model
+
     def forget(self) -> None:
         self.index: dict[str, int] = {}
         self.pretokens: dict[str, tuple[int, ...]] = {}

@@ -4,6 +4,8 @@ from folioflow.llm import (  # noqa: F401
     block_naming,
     quality,
     toxicity,
+    rollups,
+    mixing,
     byte_bpe,
 )
 from folioflow.llm.registry import ORACLE, QUERIES

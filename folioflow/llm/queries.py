@@ -7,6 +7,7 @@ from folioflow.llm import (  # noqa: F401
     toxicity,
     rollups,
     mixing,
+    order_minhash,
     byte_bpe,
 )
 from folioflow.llm.registry import ORACLE, QUERIES

@@ -2,6 +2,7 @@
 
 from folioflow.llm import (  # noqa: F401
     block_naming,
+    suffix_dedup,
     quality,
     secrets,
     toxicity,

@@ -21,6 +21,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 IS_BREAK = np.zeros(256, bool)
 IS_BREAK[list(BREAKS)] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -76,7 +78,7 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
+def power_tables(n: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse, at least ``n`` of each."""
     if len(_powers[0]) < n:
         with np.errstate(over="ignore"):
@@ -91,7 +93,7 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     """64-bit hashes of byte spans; equal bytes give equal hashes wherever they stand."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    power, inverse = _power_tables(max(len(raw), 1))
+    power, inverse = power_tables(max(len(raw), 1))
     with np.errstate(over="ignore"):
         sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(BYTE_CODE[raw] * power[: len(raw)], out=sums[1:])
@@ -113,3 +115,27 @@ def windows(hashes: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarr
 
 def count_by(owner: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(owner, minlength=n).astype(np.int64)
+
+
+def identity(word: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit digest of each text's word sequence, in two halves."""
+    size = count_by(owner, n)
+    first = np.concatenate([[0], np.cumsum(size)])[:-1]
+    place = (np.arange(len(word)) - np.repeat(first, size)).astype(np.uint64)
+    halves = []
+    with np.errstate(over="ignore"):
+        for salt in (0x165667B19E3779F9, 0x27D4EB2F165667C5):
+            total = np.zeros(len(word) + 1, np.uint64)
+            np.cumsum(mix((word ^ np.uint64(salt)) + mix(place + np.uint64(salt))), out=total[1:])
+            halves.append(mix(total[first + size] - total[first] + size.astype(np.uint64)).view(np.int64))
+    return halves[0], halves[1]
+
+
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """The minimum of every ``width`` neighbours, by prefix and suffix minima of blocks."""
+    n = len(x) - width + 1
+    pad = -len(x) % width
+    blocks = np.concatenate([x, np.full(pad, np.uint64(2**64 - 1))]).reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])

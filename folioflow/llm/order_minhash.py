@@ -38,8 +38,6 @@ SIMILAR = 0.8
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _ORDERS = _rng.integers(1, 2**63, SKETCHES, dtype=np.uint64) | np.uint64(1)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _PLACE = np.uint64((1 << 24) - 1)
 _FAR = np.uint64(2**64 - 1)
 
@@ -47,7 +45,7 @@ _FAR = np.uint64(2**64 - 1)
 def kmers(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes and their texts; k-mer hashes with their occurrence labels, and their texts."""
     starts, ends, owner = kernel.words(raw, offsets)
-    word = kernel.span_hashes(_LOWER[raw], starts, ends)
+    word = kernel.span_hashes(kernel.LOWER[raw], starts, ends)
     codes, at = kernel.windows(word, owner, K)
     of = owner[at]
     n = len(offsets) - 1
@@ -96,20 +94,6 @@ def sketches(codes: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def identity(word: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """A 128-bit digest of each text's word sequence, in two halves."""
-    size = kernel.count_by(owner, n)
-    first = np.concatenate([[0], np.cumsum(size)])[:-1]
-    place = (np.arange(len(word)) - np.repeat(first, size)).astype(np.uint64)
-    halves = []
-    with np.errstate(over="ignore"):
-        for salt in (0x165667B19E3779F9, 0x27D4EB2F165667C5):
-            total = np.zeros(len(word) + 1, np.uint64)
-            np.cumsum(kernel.mix((word ^ np.uint64(salt)) + kernel.mix(place + np.uint64(salt))), out=total[1:])
-            halves.append(kernel.mix(total[first + size] - total[first] + size.astype(np.uint64)).view(np.int64))
-    return halves[0], halves[1]
-
-
 def _rows(docs: DataFrame) -> DataFrame:
     """doc_id, x (a hash that tells texts of one doc_id apart), t1, t2, n_words and samples of every row."""
 
@@ -119,7 +103,7 @@ def _rows(docs: DataFrame) -> DataFrame:
             for lo, hi in kernel.slices(offsets):
                 at = offsets[lo : hi + 1] - offsets[lo]
                 word, owner, codes, of = kmers(raw[offsets[lo] : offsets[hi]], at)
-                t1, t2 = identity(word, owner, hi - lo)
+                t1, t2 = kernel.identity(word, owner, hi - lo)
                 flat = sketches(codes, of, hi - lo).view(np.int64).ravel()
                 ends = pa.array(np.arange(0, (hi - lo + 1) * SKETCHES, SKETCHES), pa.int32())
                 part = batch.slice(lo, hi - lo)
@@ -195,7 +179,7 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for lo, hi in kernel.slices(offsets):
             part = raw[offsets[lo] : offsets[hi]]
             starts, ends, owner = kernel.words(part, offsets[lo : hi + 1] - offsets[lo])
-            hashes = kernel.span_hashes(_LOWER[part], starts, ends)
+            hashes = kernel.span_hashes(kernel.LOWER[part], starts, ends)
             cut = np.searchsorted(owner, np.arange(hi - lo + 1))
             out += [hashes[x:y].tolist() for x, y in zip(cut[:-1], cut[1:])]
         return out

@@ -3,6 +3,7 @@
 from folioflow.llm import (  # noqa: F401
     block_naming,
     suffix_dedup,
+    chaining,
     quality,
     secrets,
     toxicity,

@@ -42,29 +42,19 @@ PIECE = 4_000_000
 _PLACE = np.uint64((1 << 24) - 1)
 
 
-def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    """The minimum of every ``width`` neighbours, by prefix and suffix minima of blocks."""
-    n = len(x) - width + 1
-    pad = -len(x) % width
-    blocks = np.concatenate([x, np.full(pad, np.uint64(2**64 - 1))]).reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
-
-
 def segments(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """Text, first window, number of windows, anchor and digest of every segment; starts count inside the text."""
     none = np.zeros(0, np.int64)
     m = len(raw) - K + 1
     if len(raw) < length:
         return none, none, none, none, none
-    power, inverse = kernel._power_tables(len(raw))
+    power, inverse = kernel.power_tables(len(raw))
     with np.errstate(over="ignore"):
         sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(kernel.BYTE_CODE[raw] * power[: len(raw)], out=sums[1:])
         code = kernel.mix((sums[K:] - sums[:m]) * inverse[:m])
     rank = (code & ~_PLACE) | np.arange(m, dtype=np.uint64)
-    anchor = (_sliding_min(rank, length - K + 1) & _PLACE).astype(np.int64)
+    anchor = (kernel.sliding_min(rank, length - K + 1) & _PLACE).astype(np.int64)
     n = len(anchor)
     of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     valid = of[:n] == of[length - 1 : length - 1 + n]

@@ -1,4 +1,9 @@
-"""The training-data pipeline: STAGES in order, each over all that its predecessor kept."""
+"""The training-data pipeline: STAGES in order, each over all that its predecessor kept.
+
+Every stage is one operator of ``folioflow.llm``; between stages the documents are written as Parquet to the shared folder
+and read again, so a lost executor never costs more than one stage. All stages but the last return the columns of the
+input. Their handling of nulls, empty and repeated rows is that of their operators; an empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -6,20 +11,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import byte_bpe
+from folioflow.llm import block_naming, byte_bpe, mixing, order_minhash, quality
 from folioflow.llm.frames import table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode every text; the ids and the bytes they decode to."""
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or the classifier go."""
+    return quality.stage(docs, table(spark, sf_dir, "labels"))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the largest doc_id stays."""
+    return block_naming.stage(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the one with the smallest doc_id stays."""
+    return order_minhash.stage(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, written in the order in which the schedule interleaves their sources."""
+    return mixing.stage(docs)
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as token ids, with the digest of the bytes they decode to."""
     return byte_bpe.stage(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("byte_bpe", tokens),
+    ("quality_rules", quality_rules),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
+    ("byte_bpe", encode_tokens),
 ]
+#: The classifier and the alignment cannot be stated in SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -5,7 +5,8 @@ whose score is its negative rank, so SentencePiece merges in rank order; normali
 into pre-tokens by the vocabulary's pattern, each distinct pre-token is encoded once per task (the memory of encoded
 pre-tokens is bounded and refilled), and ids are decoded by the inverse mapping.
 
-Nulls encode like empty texts: no ids. The operator touches only the text column; other columns stay as they are.
+Nulls encode like empty texts: no ids. Other columns stay as they are, but an input column with the name of a result is
+replaced. Rows that repeat are encoded each on its own; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -178,8 +179,7 @@ def encode(docs: DataFrame, out: str = "ids", text: str = "text", vocabulary: st
     """Add the token ids of each whole text as ``out``, an array of int; null and empty texts have none."""
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     pattern = public_tokenizers.PATTERN
-    if out in docs.columns:
-        raise ValueError(f"the input has a column {out} already")
+    docs = docs.drop(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_for(path, pattern)
@@ -197,8 +197,7 @@ def decode(encoded: DataFrame, out: str = "decoded", ids: str = "ids", vocabular
     """Add the bytes that the ids stand for as ``out`` (binary); null ids decode to nothing."""
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     pattern = public_tokenizers.PATTERN
-    if out in encoded.columns:
-        raise ValueError(f"the input has a column {out} already")
+    encoded = encoded.drop(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_for(path, pattern)

@@ -38,6 +38,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a text column in one array, and where each text starts; null counts as empty."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     column = column.cast(pa.large_binary()).fill_null(b"")
     _, starts, data = column.buffers()
     at = np.frombuffer(starts, np.int64)[column.offset : column.offset + len(column) + 1]

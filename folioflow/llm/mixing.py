@@ -123,8 +123,12 @@ def stage(docs: DataFrame, weights: dict | None = None) -> DataFrame:
     """The same documents in the order of the schedule: rows of earlier slots stand in earlier files."""
     slots = mix(docs, weights).dropDuplicates(["doc_id", "_tie"])
     keys = slots.select(F.col("doc_id").alias("_id"), F.col("_tie").alias("_t"), "slot", "offset")
-    rows = docs.join(keys, docs.doc_id.eqNullSafe(keys._id) & (F.xxhash64(docs.text) == keys._t))
-    return rows.repartitionByRange("slot", "offset").sortWithinPartitions("slot", "offset").select(*docs.columns)
+    columns = docs.columns
+    inner = docs.toDF(*(f"in_{k}" for k in range(len(columns))))
+    number, text = F.col(f"in_{columns.index('doc_id')}"), F.col(f"in_{columns.index('text')}")
+    rows = inner.join(keys, number.eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_t")))
+    rows = rows.repartitionByRange("slot", "offset").sortWithinPartitions("slot", "offset")
+    return rows.select(*(F.col(f"in_{k}").alias(c) for k, c in enumerate(columns)))
 
 
 @query("op5_pfair_mix")

@@ -130,11 +130,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The input with the five counts, base_failed, the probability and kept; clashing columns raise an error."""
+    """The input with the five counts, base_failed, the probability and kept, which replace columns of these names."""
     added = [T.StructField(c, T.LongType()) for c in COUNTS]
     added += [T.StructField("base_failed", T.BooleanType()), T.StructField("probability", T.DoubleType()), T.StructField("kept", T.BooleanType())]
-    if clash := {f.name for f in added} & set(docs.columns):
-        raise ValueError(f"the input has columns {sorted(clash)} already")
+    docs = docs.drop(*(f.name for f in added))
     schema = T.StructType([*docs.schema.fields, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,8 +151,11 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 def stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the rules keep, with the columns they came with."""
-    rows = score(docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns}).withColumn("text", F.col("in_text")), fit(docs, labels))
-    return rows.filter("kept").select(*(F.col(f"in_{c}").alias(c) for c in docs.columns))
+    columns = docs.columns
+    inner = docs.toDF(*(f"in_{k}" for k in range(len(columns))))
+    inner = inner.withColumn("text", F.col(f"in_{columns.index('text')}"))
+    rows = score(inner, fit(docs, labels)).filter("kept")
+    return rows.select(*(F.col(f"in_{k}").alias(c) for k, c in enumerate(columns)))
 
 
 @query("op1_quality_rules")

@@ -296,14 +296,16 @@ def spans_of(texts: pa.Array, model: Model) -> list[list[tuple[int, int, str]]]:
     for lo, hi in kernel.slices(offsets):
         at = offsets[lo : hi + 1] - offsets[lo]
         part = raw[offsets[lo] : offsets[hi]]
-        edge = np.diff(np.concatenate([[0], _HEX[part].view(np.int8), [0]]))
-        runs, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        long_ = runs[stops - runs >= LEAST["hex"]]
+        # Texts with a long run of hexadecimal digits; a run ends where its text ends.
+        new = np.ones(len(part) + 1, bool)
+        new[1:-1] = _HEX[part[1:]] != _HEX[part[:-1]]
+        new[at] = True
+        run = np.flatnonzero(new)
+        long_ = run[:-1][(np.diff(run) >= LEAST["hex"]) & _HEX[part[run[:-1]]]]
         hexed = set((np.searchsorted(at, long_, "right") - 1).tolist())
-        # A run may cross from one text into the next; the pattern itself decides.
         for k in range(lo, hi):
             if plain[k]:
-                out[k] = base_spans(plain[k], k - lo in hexed or k - 1 - lo in hexed)
+                out[k] = base_spans(plain[k], k - lo in hexed)
         starts, ends, owner = tag(part, at, model)
         points = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
         for a, b, k in zip(points[starts] - points[at[owner]], points[ends] - points[at[owner]], owner):
@@ -317,10 +319,8 @@ def spans_of(texts: pa.Array, model: Model) -> list[list[tuple[int, int, str]]]:
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
     """The input's other columns and ``spans``, an array of (start, end, kind) in code points, end exclusive."""
-    keep = [c for c in docs.columns if c != "text"]
-    if "spans" in keep:
-        raise ValueError("the input has a column spans already")
-    rows = docs.select(F.col("text").alias("_text"), *keep)
+    keep = [c for c in docs.columns if c not in ("text", "spans")]
+    rows = docs.select(F.col("text").alias("__text"), *keep)
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType())])
     schema = T.StructType([*rows.schema.fields[1:], T.StructField("spans", T.ArrayType(span))])
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))

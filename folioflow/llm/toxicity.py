@@ -198,13 +198,14 @@ def fit(rows: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The input's other columns with weight, words, hits (entries with their place in the folded text) and score."""
-    keep = [c for c in docs.columns if c != "text"]
+    """The input's other columns with weight, words, hits (entries with their place in the folded text) and score.
+
+    Input columns with the names of results are replaced.
+    """
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("weight", T.DoubleType())])
     added = [T.StructField("weight", T.DoubleType()), T.StructField("words", T.LongType()), T.StructField("hits", T.ArrayType(span)), T.StructField("score", T.DoubleType())]
-    if clash := {f.name for f in added} & set(keep):
-        raise ValueError(f"the input has columns {sorted(clash)} already")
-    rows = docs.select(F.col("text").alias("_text"), *keep)
+    keep = [c for c in docs.columns if c not in {"text", *(f.name for f in added)}]
+    rows = docs.select(F.col("text").alias("__text"), *keep)
     schema = T.StructType([*rows.schema.fields[1:], *added])
     hit_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("weight", pa.float64())]))
 

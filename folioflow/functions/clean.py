@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import drop_space, is_ad_line, java_pattern_ok, let, one_space, strip_space, text_or_blank
+from folioflow.functions.text import drop_space, is_ad_line, java_replacement, let, one_space, pattern_groups, strip_space, text_or_blank
 
 HTML_MARK = r"<[a-zA-Z!/][^>]*>"
 
@@ -26,8 +26,9 @@ def apply_replace_rules(text: Column, rules: str) -> Column:
         replacement = rest.split("##", 1)[0]
         if not pattern:
             continue
-        if java_pattern_ok(pattern):
-            out = F.regexp_replace(out, "(?i)" + pattern, replacement)
+        groups = pattern_groups(pattern)
+        if groups is not None:
+            out = F.regexp_replace(out, "(?i)" + pattern, java_replacement(replacement, groups))
         else:
             out = F.replace(out, F.lit(pattern), F.lit(replacement))
     return out

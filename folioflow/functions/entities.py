@@ -37,10 +37,13 @@ def unescape(text: str) -> str:
 
 
 def unescape_html(c: Column) -> Column:
-    """Decode named, decimal and hexadecimal entities, each once; unknown ones stay."""
+    """Decode named, decimal and hexadecimal entities, each once; unknown ones stay.
+
+    Only texts with an ampersand are sent to Python.
+    """
 
     @F.pandas_udf(T.StringType())
     def decode(texts: pd.Series) -> pd.Series:
         return texts.map(unescape, na_action="ignore")
 
-    return decode(c)
+    return F.coalesce(decode(F.when(c.contains("&"), c)), c)

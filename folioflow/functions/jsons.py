@@ -159,25 +159,30 @@ def exists(node: Column, name: str) -> Column:
 def json_recursive(c: Column, name: str) -> Column:
     """Values of every member called ``name`` at any depth, in document order, as JSON texts.
 
-    Column expressions cannot recurse, so each Arrow batch goes through a short descent.
+    Column expressions cannot recurse, so each Arrow batch goes through a short descent. Texts that cannot be parsed,
+    also those nested too deep for the parser, give an empty list.
     """
 
     def descend(value: object) -> Iterator[object]:
-        if isinstance(value, list):
-            for item in value:
-                yield from descend(item)
-        elif isinstance(value, dict):
-            for k, item in value.items():
-                if k == name:
-                    yield item
-                yield from descend(item)
+        stack: list[Iterator] = [iter([(None, value)])]
+        while stack:
+            k, item = next(stack[-1], (None, stack))
+            if item is stack:  # this level is done
+                stack.pop()
+                continue
+            if k is not None and k == name:
+                yield item
+            if isinstance(item, dict):
+                stack.append(iter(item.items()))
+            elif isinstance(item, list):
+                stack.append(iter([(None, x) for x in item]))
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def collect(texts: pd.Series) -> pd.Series:
         def one(text: str | None) -> list[str]:
             try:
                 return [json.dumps(v, ensure_ascii=False) for v in descend(json.loads(text or "null"))]
-            except ValueError:
+            except (ValueError, RecursionError):
                 return []
 
         return texts.map(one)

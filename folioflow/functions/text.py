@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # White space as browsers define it. Java's \s lacks the no-break and ideographic spaces.
@@ -189,14 +190,17 @@ def chars(c: Column) -> Column:
     return F.filter(F.split(text_or_blank(c), ""), lambda x: x != "")
 
 
-def substrings(c: Column) -> Column:
-    """All distinct non-empty substrings of a short text."""
-    size = F.length(c)
-    parts = F.transform(
-        F.sequence(F.lit(1), size),
-        lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substring(c, i, n)),
-    )
-    return F.when(size > 0, F.array_distinct(F.flatten(parts))).otherwise(F.array().cast("array<string>"))
+def parts_of_lengths(rows: DataFrame, others: DataFrame, keys: list[str], text: str, part: str) -> DataFrame:
+    """The rows with every distinct substring of ``text`` that is as long as some ``part`` of the others with the same keys.
+
+    A substring of any other length has no equal among them. Each length is a row of its own before substrings are
+    made, so a text of n characters never holds more than n substrings at a time.
+    """
+    lengths = others.select(*keys, F.length(part).alias("_n")).filter("_n > 0").distinct()
+    fitting = rows.join(lengths, keys).filter(F.length(text) >= F.col("_n"))
+    starts = F.sequence(F.lit(1), F.length(text) - F.col("_n") + 1)
+    made = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(text), i, F.col("_n"))))
+    return fitting.withColumn(part, F.explode(made)).drop("_n")
 
 
 def interleave_chars(a: Column, b: Column) -> Column:
@@ -210,23 +214,58 @@ def interleave_chars(a: Column, b: Column) -> Column:
 
 
 def regex_chain(c: Column, rules: list[tuple[str, str]]) -> Column:
-    """Apply ``(pattern, replacement)`` pairs in order; patterns that do not compile are skipped."""
+    """Apply ``(pattern, replacement)`` pairs in order; patterns that do not compile are skipped.
+
+    In a replacement ``$1`` to ``$99`` stand for groups that the pattern has, ``$&`` for the match and ``$$`` for a dollar
+    sign; everything else is plain text.
+    """
     out = text_or_blank(c)
     for pattern, replacement in rules:
-        if pattern and java_pattern_ok(pattern):
-            out = F.regexp_replace(out, pattern, replacement or "")
+        groups = pattern_groups(pattern) if pattern else None
+        if groups is not None:
+            out = F.regexp_replace(out, pattern, java_replacement(replacement or "", groups))
     return out
 
 
-def java_pattern_ok(pattern: str) -> bool:
-    """Whether the pattern compiles in the engine that will run it."""
+def java_replacement(text: str, groups: int) -> str:
+    """A replacement text in the notation of the engine that runs it, for a pattern with so many groups."""
+    out, i = [], 0
+    while i < len(text):
+        c, i = text[i], i + 1
+        if c != "$":
+            # A digit after a group must not become part of its number.
+            after_group = bool(out) and re.fullmatch(r"\$\d+", out[-1]) is not None
+            out.append("\\" + c if c == "\\" or (c.isdigit() and after_group) else c)
+            continue
+        two, one = text[i : i + 2], text[i : i + 1]
+        if one == "$":
+            out.append("\\$")
+            i += 1
+        elif one == "&":
+            out.append("$0")
+            i += 1
+        elif re.fullmatch("[0-9]{2}", two) and 1 <= int(two) <= groups:
+            out.append("$" + str(int(two)))
+            i += 2
+        elif re.fullmatch("[1-9]", one) and int(one) <= groups:
+            out.append("$" + one)
+            i += 1
+        else:
+            out.append("\\$")
+    return "".join(out)
+
+
+def pattern_groups(pattern: str) -> int | None:
+    """The number of groups of a pattern, or None if it does not compile in the engine that will run it.
+
+    Asks the driver's JVM, so a classic session is needed, not Spark Connect.
+    """
     from pyspark.sql import SparkSession
 
     spark = SparkSession.getActiveSession()
     if spark is None:
-        return True
+        return re.compile(pattern).groups
     try:
-        spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
-        return True
+        return spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern).matcher("").groupCount()
     except Exception:  # the driver-side check reports any syntax error the same way
-        return False
+        return None

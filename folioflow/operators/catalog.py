@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import strip_space, text_or_blank
+from folioflow.functions.text import not_blank, strip_space, text_or_blank
+from folioflow.operators.numbering import ordinal
 
 GROUP_SEPARATORS = "[,;，；]"
 UNGROUPED = "未分组"
@@ -67,25 +68,36 @@ def source_order() -> list[Column]:
     return [F.desc("weight"), F.asc("sort_order"), F.asc("id")]
 
 
-def page_sources(sources: DataFrame, page: int = 1, limit: int = 20) -> DataFrame:
-    """One page in catalogue order, with the total of the filtered list on each row."""
-    n = min(max(limit, 1), 200)
+def first_rows(df: DataFrame, order: list[Column], limit: int | None) -> DataFrame:
+    """The first ``limit`` rows of an order; None means all of them."""
+    ordered = df.orderBy(*order)
+    return ordered if limit is None else ordered.limit(limit)
+
+
+def page_sources(sources: DataFrame, page: int = 1, limit: int | None = 20) -> DataFrame:
+    """One page of ``limit`` rows in catalogue order, with the total of the filtered list on each row.
+
+    ``limit`` None puts all sources on one page.
+    """
     total = sources.agg(F.count("*").alias("total")).scalar()
-    return sources.orderBy(*source_order()).offset((max(page, 1) - 1) * n).limit(n).withColumn("total", total)
+    ordered = sources.orderBy(*source_order())
+    if limit is not None:
+        ordered = ordered.offset((max(page, 1) - 1) * limit).limit(limit)
+    return ordered.withColumn("total", total)
 
 
-def enabled_sources(sources: DataFrame, limit: int = 500) -> DataFrame:
-    """First enabled sources, of which the searchable ones are kept."""
-    return (
-        sources.filter("enabled").orderBy(*source_order()).limit(min(limit, 2000)).filter(F.col("search_url") != "")
-    )
+def enabled_sources(sources: DataFrame, limit: int | None = 500) -> DataFrame:
+    """First ``limit`` enabled sources (None: all), of which the searchable ones are kept."""
+    return first_rows(sources.filter("enabled"), source_order(), limit).filter(F.col("search_url") != "")
 
 
-def collect_scope(sources: DataFrame, ids: DataFrame | None = None, **conditions: object) -> DataFrame:
-    """Sources a batch job works on: the given ids, else the first 4000 of a filter."""
+def collect_scope(
+    sources: DataFrame, ids: DataFrame | None = None, limit: int | None = 4000, **conditions: object
+) -> DataFrame:
+    """Sources a batch job works on: the given ids, else the first ``limit`` of a filter (None: all)."""
     if ids is not None:
         return sources.join(ids.select("id").distinct(), "id", "left_semi")
-    return filter_sources(sources, **conditions).orderBy(*source_order()).limit(20 * 200)
+    return first_rows(filter_sources(sources, **conditions), source_order(), limit)
 
 
 def semi_scope(rows: DataFrame, scope: DataFrame) -> DataFrame:
@@ -97,17 +109,16 @@ def distinct_groups(table: DataFrame) -> DataFrame:
     return table.select(F.explode(group_tokens(F.col("group_name"))).alias("group_name")).distinct()
 
 
-def group_members(sources: DataFrame, names: int = 50) -> DataFrame:
-    """Sources per group field with the count and the first names (the picker shows chunks of 50)."""
+def group_members(sources: DataFrame) -> DataFrame:
+    """All sources of every group field: group_label, pos (catalogue order from 1), id, name and the group's members.
+
+    One row per member, so a group of any size is spread over rows and tasks.
+    """
     g = F.when(text_or_blank(F.col("group_name")) != "", F.col("group_name")).otherwise(UNGROUPED)
-    labelled = sources.withColumn("group_label", g)
+    labelled = sources.select(g.alias("group_label"), "id", "name", "weight", "sort_order")
     counts = labelled.groupBy("group_label").agg(F.count("*").alias("members"))
-    w = Window.partitionBy("group_label").orderBy(*source_order())
-    first = labelled.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= names)
-    first = first.groupBy("group_label").agg(F.sort_array(F.collect_list(F.struct("_rn", "name"))).alias("_m"))
-    return counts.join(first, "group_label").select(
-        "group_label", "members", F.transform("_m", lambda m: m["name"]).alias("first_members")
-    )
+    placed = ordinal(labelled, ["group_label"], -F.col("weight").cast("long"), source_order(), "pos")
+    return placed.join(counts, "group_label").select("group_label", "pos", "id", "name", "members")
 
 
 def apply_patch(table: DataFrame, patch: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -124,8 +135,8 @@ def patch_source(sources: DataFrame, patch: DataFrame) -> DataFrame:
 
 
 def patch_nonblank(table: DataFrame, patch: DataFrame, key: str, columns: list[str], now: Column) -> DataFrame:
-    """Update fields whose patch is not blank; ``updated_at`` moves only when one was."""
-    marked = patch.select(key, *[F.nullif(F.trim(F.col(c)), F.lit("")).alias(f"_p_{c}") for c in columns])
+    """Update fields whose patch is not blank, with the text as given; ``updated_at`` moves only when one was."""
+    marked = patch.select(key, *[F.when(not_blank(F.col(c)), F.col(c)).alias(f"_p_{c}") for c in columns])
     joined = table.join(marked, key, "left")
     touched = F.coalesce(*[F.col(f"_p_{c}") for c in columns]).isNotNull()
     out = [F.coalesce(f"_p_{c}", c).alias(c) if c in columns else F.col(c) for c in table.columns if c != "updated_at"]

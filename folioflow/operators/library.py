@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.text import not_blank, strip_space, text_or_blank
 from folioflow.functions.urls import book_url, url_valid
-from folioflow.operators.catalog import apply_patch
+from folioflow.operators.catalog import apply_patch, first_rows
 from folioflow.operators.numbering import ordinal, previous
 
 SOURCE_GONE = "(书源已删除)"
@@ -159,14 +159,16 @@ def cache_state(books: DataFrame, chapters: DataFrame, contents: DataFrame) -> D
     return count_children(out, chapters, "total")
 
 
-def search_chapters(chapters: DataFrame, q: str) -> DataFrame:
-    """Chapters whose title contains the text, first 300 per book."""
+def search_chapters(chapters: DataFrame, q: str, limit: int | None = CHAPTER_HITS) -> DataFrame:
+    """Chapters whose title contains the text, the first ``limit`` per book (None: all)."""
     kw = q.strip()
     if not kw:
         return chapters.limit(0)
     w = Window.partitionBy("book_id").orderBy("idx")
     found = chapters.filter(F.col("title").ilike(f"%{kw}%"))
-    return found.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= CHAPTER_HITS).drop("_rn")
+    if limit is None:
+        return found
+    return found.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit).drop("_rn")
 
 
 def filter_toc(chapters: DataFrame, text: str, descending: bool = False) -> DataFrame:
@@ -262,23 +264,37 @@ def patch_shelf(shelf: DataFrame, patch: DataFrame) -> DataFrame:
 # Progress --------------------------------------------------------------------------
 
 
+# Position fields and what a book has before any event gave them.
+POSITION = {"chapter_index": 0, "chapter_title": "", "chapter_pos": 0.0, "percent": 0.0}
+
+
 def progress_state(events: DataFrame) -> DataFrame:
-    """Reading state per book: latest given position and the counted seconds.
+    """Reading state per book: the latest given value of each position field, and the counted seconds.
 
-    Fields that an event leaves out keep the earlier value. Both parts are partial
-    aggregates, so a book with a third of all events is reduced before the shuffle.
+    A field that an event leaves out keeps its earlier value, each on its own; one that
+    no event has keeps its start value. All parts are partial aggregates, so a
+    book with a third of all events is reduced before the shuffle.
     """
-    at = F.when(F.col("chapter_index").isNotNull(), F.struct("ts", "event_id"))
+
+    def last(name: str, start: object) -> Column:
+        if name not in events.columns:
+            return F.lit(start).alias(name)
+        at = F.when(F.col(name).isNotNull(), F.struct("ts", "event_id"))
+        return F.coalesce(F.max_by(name, at), F.lit(start)).alias(name)
+
     counted = F.when((F.col("add_seconds") > 0) & (F.col("add_seconds") < 3600), F.col("add_seconds")).otherwise(0)
     return events.groupBy("book_id").agg(
-        F.coalesce(F.max_by("chapter_index", at), F.lit(0)).alias("chapter_index"),
+        *(last(name, start) for name, start in POSITION.items()),
         F.sum(counted).cast("long").alias("read_seconds"),
         F.max("ts").alias("updated_at"),
     )
 
 
-def heartbeat_seconds(ticks: DataFrame, block_seconds: int = 86400) -> DataFrame:
-    """Reading seconds per book from visible ticks; gaps of 600 s and more do not count."""
+def heartbeat_seconds(ticks: DataFrame, block_seconds: int = 900) -> DataFrame:
+    """Reading seconds per book from visible ticks; gaps of 600 s and more do not count.
+
+    A book's ticks are cut into blocks of ``block_seconds``, so one that holds a third of all is spread over tasks.
+    """
     seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
     prev = previous(ticks, ["book_id"], F.floor(seconds / block_seconds), "ts", "prev_ts")
     micros = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("prev_ts").cast("timestamp"))
@@ -315,8 +331,9 @@ def latest_history(history: DataFrame, kept: int = HISTORY_KEPT) -> DataFrame:
     return newest.select("h.id", "keyword", "type", "h.created_at").orderBy(F.desc("created_at"), F.desc("id")).limit(kept)
 
 
-def recent_history(history: DataFrame, limit: int = 20) -> DataFrame:
-    return history.orderBy(F.desc("created_at"), F.desc("id")).limit(min(limit or 20, HISTORY_KEPT))
+def recent_history(history: DataFrame, limit: int | None = 20) -> DataFrame:
+    """The newest ``limit`` entries; None means all."""
+    return first_rows(history, [F.desc("created_at"), F.desc("id")], limit)
 
 
 def service_stats(

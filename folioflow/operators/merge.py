@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import ranking
-from folioflow.functions.text import author_key, dedupe_key, norm_title, substrings
+from folioflow.functions.text import author_key, dedupe_key, norm_title, parts_of_lengths
 from folioflow.operators.search import ORIGIN_CAP, first_wins
 from folioflow.session import settle
 
@@ -77,9 +77,8 @@ def compatible_pairs(keys: DataFrame) -> DataFrame:
     The number of pairs is bounded by the substrings of the author keys, not by the
     square of the group.
     """
-    parts = keys.select(
-        "title", F.col("ak").alias("long"), F.col("pos").alias("long_pos"), F.explode(substrings(F.col("ak"))).alias("part")
-    )
+    parts = parts_of_lengths(keys, keys.select("title", F.col("ak").alias("part")), ["title"], "ak", "part")
+    parts = parts.select("title", F.col("ak").alias("long"), F.col("pos").alias("long_pos"), "part")
     shorts = keys.select("title", F.col("ak").alias("part"), F.col("pos").alias("part_pos"))
     both = parts.join(shorts, ["title", "part"]).filter(F.col("long") != F.col("part"))
     later_long = F.col("long_pos") > F.col("part_pos")

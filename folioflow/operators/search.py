@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from folioflow.functions import ranking
 from folioflow.functions.text import clean_author, not_blank, strip_space, text_or_blank
 from folioflow.functions.urls import abs_url, book_url
+from folioflow.operators.catalog import first_rows
 
 SEARCH_CAP = 60
 ORIGIN_CAP = 12
 TOP_FACTOR = 4
-TOP_MAX = 400
 
 
 def make_hit(df: DataFrame) -> DataFrame:
@@ -98,11 +98,15 @@ def filter_exact(hits: DataFrame, query: str, kind: str = "all") -> DataFrame:
     return hits.filter(ranking.exact_match(F.col("name"), F.col("author"), query, kind))
 
 
-def top_search(scored: DataFrame, limit: int = 60) -> DataFrame:
-    """Best rows by score, then source name; ties end with the source and the link."""
-    return scored.orderBy(
-        F.desc("score"), F.asc("source_name"), F.asc("source_id"), F.asc("book_url")
-    ).limit(min(limit * TOP_FACTOR, TOP_MAX))
+def best_first() -> list[Column]:
+    """Best rows first: score, then source name in locale order, the source and the link."""
+    name = F.col("source_name")
+    return [F.desc("score"), F.collate(name, "UNICODE").asc(), name.asc(), F.asc("source_id"), F.asc("book_url")]
+
+
+def top_search(scored: DataFrame, limit: int | None = 60, factor: int = TOP_FACTOR) -> DataFrame:
+    """Best rows in order: ``factor`` times ``limit`` of them, all if ``limit`` is None."""
+    return first_rows(scored, best_first(), None if limit is None else limit * factor)
 
 
 def sort_modes(entries: DataFrame, mode: str = "score") -> DataFrame:

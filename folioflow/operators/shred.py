@@ -49,9 +49,10 @@ ENDED_BY = {
     "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"}, "tfoot": {"tbody"},
     "dt": {"dd"}, "dd": {"dt"}, "option": {"optgroup"},
 }
-MAX_DEPTH = 800
-MAX_COMMENT = 4096
-FLUSH_NODES = 50_000
+# Elements nested deeper than this have no children: every node lists its ancestors, which grows with the depth squared.
+MAX_DEPTH = 5_000
+# Sizes of an Arrow batch: nodes, and entries of their ancestor lists.
+FLUSH_NODES, FLUSH_ANCESTORS = 50_000, 5_000_000
 
 TOKEN = re.compile(
     r"<!--(?P<comment>.*?)(?:-->|\Z)"
@@ -66,15 +67,16 @@ RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 
 
 # Places in a node row and in an entry of the open-element stack.
-PRE, LAST, PARENT = 1, 2, 3
+PRE, LAST, PARENT, ANCESTORS = 1, 2, 3, 9
 S_PRE, S_TAG, S_ANC, S_HIDE, S_SKIP, S_COUNT, S_PREV = range(7)
 
 
 class _Page:
     """Collects the node rows of one page; a row holds the columns of ``NODES`` in order."""
 
-    def __init__(self, page_id: int):
+    def __init__(self, page_id: int, max_depth: int = MAX_DEPTH):
         self.page_id = page_id
+        self.max_depth = max_depth
         self.rows: list[list] = []
         self.open: list[list] = [[0, "", [0], -1, -1, 0, None]]
         self.ended = False
@@ -98,7 +100,7 @@ class _Page:
 
     def start(self, tag: str, attrs: str) -> bool:
         """Open an element; true when its content follows."""
-        for _ in range(8):
+        while True:
             top = self.open[-1][S_TAG]
             if not (tag in ENDED_BY.get(top, ()) or (tag == top and tag in SAME)):
                 break
@@ -118,7 +120,7 @@ class _Page:
         )
         top[S_COUNT] += 1
         top[S_PREV] = pre
-        if not closed and len(self.open) < MAX_DEPTH:
+        if not closed and len(self.open) < self.max_depth:
             self.open.append([pre, tag, [*top[S_ANC], pre], hide, skip, 0, None])
             return True
         self.ended = True
@@ -144,8 +146,8 @@ class _Page:
         return rows
 
 
-def page_nodes(page_id: int, html: str) -> list[list]:
-    page, at = _Page(page_id), 0
+def page_nodes(page_id: int, html: str, max_depth: int = MAX_DEPTH) -> list[list]:
+    page, at = _Page(page_id, max_depth), 0
     while m := TOKEN.search(html, at):
         if m.start() > at:
             page.text(html[at : m.start()])
@@ -163,8 +165,7 @@ def page_nodes(page_id: int, html: str) -> list[list]:
             if words[0]:
                 page.close(words[0].lower())
         elif comment is not None:
-            if len(comment) < MAX_COMMENT:
-                page.add("comment", comment)
+            page.add("comment", comment)
         elif cdata is not None:
             page.text(cdata)
     page.text(html[at:])
@@ -177,8 +178,11 @@ def _arrow_schema() -> pa.Schema:
     return to_arrow_schema(NODES)
 
 
-def shred_html(pages: DataFrame, html: str = "text") -> DataFrame:
-    """Node rows of each page (page_id, html). One narrow stage, no shuffle."""
+def shred_html(pages: DataFrame, html: str = "text", max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Node rows of each page (page_id, html). One narrow stage, no shuffle.
+
+    Elements at ``max_depth`` take no children; what they hold goes to their parent.
+    """
 
     def shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = _arrow_schema()
@@ -189,12 +193,15 @@ def shred_html(pages: DataFrame, html: str = "text") -> DataFrame:
             )
 
         rows: list[list] = []
+        listed = 0
         for batch in batches:
             for page_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows.extend(page_nodes(page_id, text or ""))
-                if len(rows) >= FLUSH_NODES:
+                new = page_nodes(page_id, text or "", max_depth)
+                rows.extend(new)
+                listed += sum(len(r[ANCESTORS]) for r in new)
+                if len(rows) >= FLUSH_NODES or listed >= FLUSH_ANCESTORS:
                     yield pack(rows)
-                    rows = []
+                    rows, listed = [], 0
         if rows:
             yield pack(rows)
 

@@ -278,10 +278,10 @@ def distinct_groups(spark, d):
     return catalog.distinct_groups(cat(spark, d))
 
 
-@query("group_members", sql_for("catalog", extra={"g": "select *, case when id % 5 = 0 then '未分组' else group_name end as group_label from catalog", "r": "select *, row_number() over (partition by group_label order by weight desc, sort_order, id) as rn, count(*) over (partition by group_label) as members from g"}, body="select group_label, members, string_agg(name, '|' order by rn) as names from r where rn <= 50 group by group_label, members"))
+@query("group_members", sql_for("catalog", extra={"g": "select *, case when id % 5 = 0 then '未分组' else group_name end as group_label from catalog", "r": "select *, row_number() over (partition by group_label order by weight desc, sort_order, id) as rn, count(*) over (partition by group_label) as members from g"}, body="select group_label, rn as pos, id, name, members from r"))
 def group_members(spark, d):
     rows = cat(spark, d).withColumn("group_name", F.when(F.col("id") % 5 == 0, "").otherwise(F.col("group_name")))
-    return catalog.group_members(rows).select("group_label", "members", F.array_join("first_members", "|").alias("names"))
+    return catalog.group_members(rows)
 
 
 @query("patch_source", sql_for("catalog", body="select id, case when id % 3 = 0 then false else enabled end as enabled, case when id % 2 = 0 then 77 else weight end as weight, group_name from catalog"))

@@ -290,6 +290,13 @@ def base_url(spark, d):
     )
 
 
+@query("unescape_slashes", "select page_id, url as unescaped from pages")
+def unescape_slashes(spark, d):
+    return load(spark, d, "pages").select(
+        "page_id", urls.unescape_slashes(F.replace("url", F.lit("/"), F.lit("\\/"))).alias("unescaped")
+    )
+
+
 @query("first_url", r"""select page_id, regexp_extract(concat('go to "', url, '" or ', html), 'https?://[^\s"''<>\\]+') as link, replace(url, '/', '/') as unescaped from pages""")
 def first_url(spark, d):
     return load(spark, d, "pages").select(
@@ -384,9 +391,9 @@ def kv_lines_query(spark, d):
 # Encodings --------------------------------------------------------------------------
 
 
-@query("hash_encode", "select doc_id, base64(encode(text)) as b64, lower(hex(encode(title))) as hexed, title as from_b64, title as from_hex, md5(text) as m, sha1(text) as s1, sha256(text) as s256 from (select doc_id, text, substring(text, 1, 12) as title from documents) t")
+@query("hash_encode", "select doc_id, base64(encode(text)) as b64, lower(hex(encode(text))) as hexed, text as from_b64, text as from_hex, md5(text) as m, sha1(text) as s1, sha256(text) as s256 from documents")
 def hash_encode(spark, d):
-    t = F.substring("text", 1, 12)
+    t = F.col("text")
     return load(spark, d, "documents").select(
         "doc_id", codec.base64_encode(F.col("text")).alias("b64"), codec.hex_encode(t).alias("hexed"),
         codec.base64_decode(codec.base64_encode(t)).alias("from_b64"), codec.hex_decode(codec.hex_encode(t)).alias("from_hex"),

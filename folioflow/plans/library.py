@@ -189,7 +189,7 @@ def patch_shelf(spark, d):
 # Progress ---------------------------------------------------------------------------
 
 
-@query("progress_state", sql_for("progress", "progress_events", body="select p.book_id, p.chapter_index, cast(p.read_seconds as bigint) as read_seconds, m.updated_at from progress p join (select book_id, max(ts) as updated_at from progress_events group by book_id) m on m.book_id = p.book_id"))
+@query("progress_state", sql_for("progress", "progress_events", body="select p.book_id, p.chapter_index, p.chapter_title, p.chapter_pos, p.percent, cast(p.read_seconds as bigint) as read_seconds, m.updated_at from progress p join (select book_id, max(ts) as updated_at from progress_events group by book_id) m on m.book_id = p.book_id"))
 def progress_state(spark, d):
     return lib.progress_state(load(spark, d, "progress_events"))
 

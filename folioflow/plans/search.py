@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import ranking
@@ -164,15 +165,20 @@ def filter_cover(spark, d):
     return merge.filter_cover(merge.merge_hits_simple(scored(spark, d))).select(*SIMPLE)
 
 
-TOP_SQL = """select name, author, source_id, source_name, book_url, score, origin_count from (
+TOP_SQL = """select name, author, source_id, source_name, book_url, score, origin_count, cast(place as int) as place from (
  select *, row_number() over (order by score desc, source_name, source_id, book_url) as place from scored) t where place <= 240"""
 
 
+def _placed(best):
+    """The rows with the place they have in the list, as a proof of its order."""
+    place = F.row_number().over(Window.orderBy(*search.best_first()))
+    return best.select("name", "author", "source_id", "source_name", "book_url", "score", "origin_count", place.alias("place"))
+
+
 @query("top_search", sql_for("ranked_hits", extra={**MERGE_STEPS, "scored": f"select *, {SCORE} as score from reps where rn = 1"}, body=TOP_SQL))
 def top_search(spark, d):
     entries = merge.merge_hits(ranked(spark, d))
-    best = search.top_search(scored(spark, d, entries))
-    return best.select("name", "author", "source_id", "source_name", "book_url", "score", "origin_count")
+    return _placed(search.top_search(scored(spark, d, entries)))
 
 
 @query("sort_modes", sql_for("ranked_hits", extra=SIMPLE_STEPS, body="select merge_key, name, weight from merged where rn = 1"))
@@ -188,9 +194,7 @@ def sort_modes(spark, d):
 def multi_search(spark, d):
     hits = search.union_hits(search.cap_per_source(load(spark, d, "hits")), sources_ready(spark, d))
     merged = merge.merge_hits_simple(scored(spark, d, hits)).withColumnRenamed("item_count", "origin_count")
-    return search.top_search(merged).select(
-        "name", "author", "source_id", "source_name", "book_url", "score", "origin_count"
-    )
+    return _placed(search.top_search(merged))
 
 
 # Alternatives -----------------------------------------------------------------------
@@ -223,7 +227,7 @@ def filter_threshold(spark, d):
     found = load(spark, d, "found").withColumn("score", ranking.match_score(
         F.col("name"), F.col("author"), F.col("cover_url"), F.col("intro"), F.col("keyword"), F.lit("")
     ))
-    kept = alt.filter_threshold(found.drop("item_pos").distinct(), 0)
+    kept = alt.filter_threshold(found.drop("item_pos").distinct())
     return kept.groupBy("keyword").agg(F.count("*").alias("n"), F.sum("score").cast("long").alias("total"))
 
 
@@ -288,7 +292,5 @@ def rebind_source(spark, d):
     moves = books.select(
         "book_id", (F.col("source_id") + 1).alias("new_source_id"), F.concat("book_url", F.lit("?n")).alias("new_book_url")
     )
-    progress = progress_state(load(spark, d, "progress_events")).withColumns(
-        {"percent": F.lit(25.0), "chapter_pos": F.lit(0.5)}
-    )
+    progress = progress_state(load(spark, d, "progress_events"))
     return alt.rebind_source(books.select("book_id"), moves, load(spark, d, "chapters"), progress)

@@ -26,7 +26,7 @@ VIEWS = {
     "chapters": """select conv_id as book_id, cast(turn as int) as idx, substring(text, 1, 20) as title, case when role='system' then '' else concat('/c/', cast(turn as varchar(20))) end as url, role='system' as is_volume from conversations""",
     "contents": """select conv_id as book_id, cast(turn as int) as idx, text as content from conversations where role='assistant'""",
     "shelf": """select p_partkey as book_id, case when p_partkey % 6 = 0 then '' else p_type end as group_name, cast(p_partkey % 7 as int) as sort_order, cast(p_partkey * 1000 as bigint) as added_at from part where p_size < 10""",
-    "progress_events": """select event_id, user_id as book_id, ts, cast(floor(value*60) as int) as add_seconds, case when event_type='error' then null else cast(event_id % 30 as int) end as chapter_index from events""",
+    "progress_events": """select event_id, user_id as book_id, ts, cast(floor(value*60) as int) as add_seconds, case when event_type='error' then null else cast(event_id % 30 as int) end as chapter_index, case when event_id % 4 = 0 then null else concat('c', cast(event_id % 30 as varchar(20))) end as chapter_title, case when event_id % 5 = 0 then null else cast(event_id % 100 as double) / 100 end as chapter_pos, case when event_id % 3 = 0 then null else cast(event_id % 101 as double) end as percent from events""",
     "search_history": """select event_id as id, event_type as keyword, case user_id % 3 when 0 then 'all' when 1 then 'name' else 'author' end as type, ts as created_at from events""",
     "bookmarks": """select o_orderkey as id, o_custkey as book_id, cast(o_orderkey % 30 as int) as chapter_index, cast(o_orderkey % 100 as double)/100 as pos, o_orderpriority as text, case when o_orderstatus='F' then o_orderpriority else '' end as note, o_orderdate as created_at from orders""",
     "texts": """select doc_id, case when doc_id % 3 = 0 then concat(text, chr(10), '请记住本站 www.example.com') else text end as text, substring(text,1,12) as title from documents""",
@@ -37,7 +37,8 @@ VIEWS = {
     "ranked_hits": """select h.*, c.name as source_name, c.weight, c.sort_order from hits h join catalog c on h.source_id = c.id where c.enabled and c.search_url <> ''""",
     # One order is one search session: its first part's title was searched, its lines came back.
     "found": """select f.keyword, h.source_id, c.name as source_name, h.book_url, h.name, h.author, h.intro, h.cover_url, h.item_pos from (select k.l_orderkey, p_name as keyword from (select l_orderkey, min(l_partkey) as pk from lineitem group by l_orderkey) k join part on k.pk = p_partkey) f join (select distinct l_orderkey, l_suppkey, l_partkey from lineitem) l on l.l_orderkey = f.l_orderkey join hits h on h.source_id = l.l_suppkey and h.book_url = concat('/b/', cast(l.l_partkey as varchar(20)), '.html') join sources c on c.id = h.source_id""",
-    "progress": """select book_id, coalesce(max(case when rn = 1 then chapter_index end), 0) as chapter_index, sum(case when add_seconds > 0 and add_seconds < 3600 then add_seconds else 0 end) as read_seconds, 25.0 as percent, 0.5 as chapter_pos from (select *, row_number() over (partition by book_id order by case when chapter_index is null then 1 else 0 end, ts desc, event_id desc) as rn from progress_events) e group by book_id""",
+    # Only the SQL side reads this one: the latest given value of each field on its own.
+    "progress": """select book_id, coalesce(arg_max(chapter_index, cast(epoch_us(ts) as hugeint) * 1000000000 + event_id) filter (where chapter_index is not null), 0) as chapter_index, coalesce(arg_max(chapter_title, cast(epoch_us(ts) as hugeint) * 1000000000 + event_id) filter (where chapter_title is not null), '') as chapter_title, coalesce(arg_max(chapter_pos, cast(epoch_us(ts) as hugeint) * 1000000000 + event_id) filter (where chapter_pos is not null), 0.0) as chapter_pos, coalesce(arg_max(percent, cast(epoch_us(ts) as hugeint) * 1000000000 + event_id) filter (where percent is not null), 0.0) as percent, sum(case when add_seconds > 0 and add_seconds < 3600 then add_seconds else 0 end) as read_seconds from progress_events group by book_id""",
 }
 DEPENDS = {
     "catalog": ["sources", "health_runs"],

@@ -45,6 +45,19 @@ def fill_template(c: Column, values: dict[str, Column]) -> Column:
     return out
 
 
+def fill_once(c: Column, values: dict[str, Column]) -> Column:
+    """Replace ``{{name}}`` by the given values in one pass; a placeholder inside a value is plain text."""
+    parts = F.split(c, r"(?=\{\{)|(?<=\}\})")
+
+    def filled(p: Column) -> Column:
+        out = p
+        for name, value in values.items():
+            out = F.when(p.rlike(r"^\{\{\s*" + name + r"\s*\}\}$"), value).otherwise(out)
+        return out
+
+    return F.array_join(F.transform(parts, filled), "")
+
+
 def plan_requests(sources: DataFrame, keywords: list[str], pages: list[int] = (1,)) -> DataFrame:
     """One request row per source, keyword and page.
 
@@ -71,7 +84,7 @@ def plan_requests(sources: DataFrame, keywords: list[str], pages: list[int] = (1
         "baseUrl": F.col("url"),
         "sourceUrl": F.col("url"),
     }
-    body = fill_template(F.coalesce(F.col("_opts")["body"], F.lit("")), values)
+    body = fill_once(F.coalesce(F.col("_opts")["body"], F.lit("")), values)
     address = fill_template(strip_space(F.col("_raw")), values)
     df = df.withColumns({"_body": body, "_address": address, "_charset": charset})
     has_body = F.col("_body") != ""

@@ -71,7 +71,7 @@ def stream_alternatives(found: DataFrame, books: DataFrame, limit: int = alt.TOP
     return table.filter(F.col("epoch") == last).drop("epoch")
 
 
-def stream_heartbeat(ticks: DataFrame, block_seconds: int = 86400) -> DataFrame:
+def stream_heartbeat(ticks: DataFrame, block_seconds: int = 900) -> DataFrame:
     """Reading seconds per book from ticks that land in time order.
 
     The last tick and the sum of each book are carried from batch to batch as a table, one

@@ -201,7 +201,7 @@ def test_scores(spark):
 
     assert score("《斗破》", "土豆", "斗破", "土豆") == 98 and score("斗破之", "土豆组", "斗破", "土豆") == 63
     assert score("破天", "", "斗破", "x") == 18 and score("", "", "斗破", "x") == 3
-    assert alternatives.clamp_threshold(0) == 45
+    assert alternatives.threshold_of(None) == 45 and alternatives.threshold_of(0) == 0
 
 
 # Definitions ------------------------------------------------------------------------
@@ -364,3 +364,59 @@ def test_shelf_and_progress(spark):
     )
     r = library.progress_state(events).first()
     assert (r.chapter_index, r.read_seconds) == (5, 15)
+
+
+def test_plain_replacements(spark):
+    """Only $1..$n, $& and $$ mean something in a replacement; nothing in it can stop a job."""
+    cases = [("$", "$"), ("$9", "$9"), ("\\", "\\"), ("$1x", "bx"), ("$10", "b0"), ("[$&]", "[abc]"), ("$$1", "$1"), ("a\\1", "a\\1")]
+    for replacement, expected in cases:
+        assert value(spark, text.regex_chain(lit("abc"), [("a(b)c", replacement)])) == expected
+    assert value(spark, clean_plain(lit("price abc here"), replace_rules="abc##$5")) == "price $5 here"
+
+
+def test_blank_patches(spark):
+    books = spark.createDataFrame([(1, "old", "x"), (2, "old", "x"), (3, "old", "x")], "id long, name string, updated_at string")
+    patch = spark.createDataFrame([(1, "\n"), (2, "\u3000"), (3, " new ")], "id long, name string")
+    out = {r.id: (r.name, r.updated_at) for r in catalog.patch_nonblank(books, patch, "id", ["name"], F.lit("now")).collect()}
+    assert out == {1: ("old", "x"), 2: ("old", "x"), 3: (" new ", "now")}
+
+
+def test_deep_json(spark):
+    deep = "[" * 100_000 + "]" * 100_000
+    assert value(spark, jsons.json_recursive(lit(deep), "k")) == []
+    assert value(spark, jsons.json_recursive(lit('{"a": [{"k": {"k": 1}}], "k": null}'), "k")) == ['{"k": 1}', "1", "null"]
+
+
+def test_fill_once(spark):
+    from folioflow.sources.requests import fill_once
+
+    values = {"key": lit("{{page}} $1"), "page": lit("2")}
+    assert value(spark, fill_once(lit("q={{ key }}&p={{page}}&x={{other}}"), values)) == "q={{page}} $1&p=2&x={{other}}"
+
+
+def test_all_members_of_a_group(spark):
+    rows = spark.range(51).selectExpr("id", "concat('n', id) as name", "'g' as group_name", "cast(id % 3 as int) as weight", "0 as sort_order")
+    out = catalog.group_members(rows).orderBy("pos").collect()
+    assert [r.pos for r in out] == list(range(1, 52)) and {r.members for r in out} == {51}
+    assert [r.id for r in out] == [i for w in (2, 1, 0) for i in range(51) if i % 3 == w]
+
+
+def test_locale_order(spark):
+    rows = spark.createDataFrame([(1.0, n, 1, "u") for n in ("B", "b", "A", "a")], "score double, source_name string, source_id long, book_url string")
+    assert [r.source_name.lower() for r in search.top_search(rows, None).collect()] == ["a", "a", "b", "b"]
+
+
+def test_pages_without_guards():
+    from folioflow.operators.shred import page_nodes
+
+    assert [r[8] for r in page_nodes(1, f"<p>a</p><!--{'c' * 5000}-->") if r[5] == "comment"] == ["c" * 5000]
+    assert max(r[4] for r in page_nodes(1, "<div>" * 2000 + "x" + "</div>" * 2000)) >= 2000
+
+
+def test_long_authors(spark):
+    from folioflow.functions.text import parts_of_lengths
+
+    rows = spark.createDataFrame([("t", "ab" * 10_000)], "title string, ak string")
+    others = spark.createDataFrame([("t", "bab"), ("t", "x" * 7), ("u", "zz")], "title string, part string")
+    got = {r.part for r in parts_of_lengths(rows, others, ["title"], "ak", "part").collect()}
+    assert got == {"aba", "bab", "abababa", "bababab"}

@@ -3,6 +3,8 @@
 The aggregates are the batch expressions in update mode, so state is one row per key and
 map tasks reduce a hot key before the shuffle. Late and out-of-order events count: the
 newest client time wins for positions, and seconds are sums, so no watermark drops rows.
+
+Every job takes a ``path`` for its log and results: run again with the same path, it goes on where it stopped.
 """
 
 from __future__ import annotations
@@ -14,23 +16,22 @@ from folioflow.operators import alternatives as alt
 from folioflow.operators import merge, search
 from folioflow.operators.library import progress_state
 from folioflow.operators.numbering import previous
-from folioflow.session import scratch_path
-from folioflow.streaming.runner import epochs, latest, run_each, run_to_table
+from folioflow.streaming.runner import epochs, latest, run_each, run_to_table, table_path
 
 
-def stream_search(hits: DataFrame, sources: DataFrame, query: str) -> DataFrame:
+def stream_search(hits: DataFrame, sources: DataFrame, query: str, path: str | None = None) -> DataFrame:
     """Merged entries so far, updated as hits land. ``sources`` is a table."""
     scored = search.with_score(search.union_hits(hits, sources), query)
     scored = scored.withColumn("score", F.round("score", 6))
-    return latest(run_to_table(merge.merge_hits_simple(scored), "update", "stream-search"), ["merge_key"])
+    return latest(run_to_table(merge.merge_hits_simple(scored), "update", "stream-search", path), ["merge_key"])
 
 
-def stream_health(runs: DataFrame) -> DataFrame:
+def stream_health(runs: DataFrame, path: str | None = None) -> DataFrame:
     """Running total, ok and failed per batch of checks."""
     counts = runs.groupBy("batch_id").agg(
         F.count("*").alias("total"), F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("fail")
     )
-    return latest(run_to_table(counts, "update", "stream-health"), ["batch_id"])
+    return latest(run_to_table(counts, "update", "stream-health", path), ["batch_id"])
 
 
 def first_failures(runs: DataFrame, limit: int = 50) -> DataFrame:
@@ -40,53 +41,53 @@ def first_failures(runs: DataFrame, limit: int = 50) -> DataFrame:
     return failed.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit).drop("_rn")
 
 
-def stream_progress(events: DataFrame) -> DataFrame:
+def stream_progress(events: DataFrame, path: str | None = None) -> DataFrame:
     """Reading state per book, updated as events land."""
-    return latest(run_to_table(progress_state(events), "update", "stream-progress"), ["book_id"])
+    return latest(run_to_table(progress_state(events), "update", "stream-progress", path), ["book_id"])
 
 
-def stream_alternatives(found: DataFrame, books: DataFrame, limit: int = alt.TOP) -> DataFrame:
+def stream_alternatives(
+    found: DataFrame, books: DataFrame, limit: int = alt.TOP, path: str | None = None
+) -> DataFrame:
     """Best alternatives per book, refined with every micro-batch of search results.
 
     Each batch is matched on its own and merged with the best so far; a candidate that has
     dropped out can only be followed by better ones, so keeping ``limit`` per book is exact.
     """
     spark = books.sparkSession
-    path = scratch_path(spark, "stream-alternatives")
     schema = "book_id long, source_id long, book_url string, score int, source_name string, rank int"
     start = spark.createDataFrame([], schema)
-    start.write.parquet(f"{path}/epoch=-1")
+    root = table_path(spark, "stream-alternatives", path, start)
 
     def step(batch: DataFrame, epoch: int) -> None:
-        old = spark.read.schema(start.schema).parquet(f"{path}/epoch={epoch - 1}").drop("rank")
+        old = spark.read.schema(start.schema).parquet(f"{root}/epoch={epoch - 1}").drop("rank")
         new = alt.match_alternatives(books, batch, limit=limit).select(*old.columns)
         keys = ("book_id", "source_id", "book_url")
         both = alt.dedupe_candidates(old.unionByName(new), [F.col("source_name")], keys)
         best = alt.top_alternatives(both, limit)
-        best.select(*start.columns).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        best.select(*start.columns).write.mode("overwrite").parquet(f"{root}/epoch={epoch}")
 
-    run_each(found, step, "append", "stream-alternatives")
-    table = epochs(spark, path, start.schema)
+    run_each(found, step, "append", "stream-alternatives", path)
+    table = epochs(spark, root, start.schema)
     last = table.agg(F.max("epoch")).scalar()
     return table.filter(F.col("epoch") == last).drop("epoch")
 
 
-def stream_heartbeat(ticks: DataFrame, block_seconds: int = 900) -> DataFrame:
+def stream_heartbeat(ticks: DataFrame, block_seconds: int = 900, path: str | None = None) -> DataFrame:
     """Reading seconds per book from ticks that land in time order.
 
     The last tick and the sum of each book are carried from batch to batch as a table, one
     version per batch, so a repeated batch starts from the same version.
     """
     spark = ticks.sparkSession
-    path = scratch_path(spark, "stream-heartbeat")
     start = spark.createDataFrame([], "book_id long, last_ts timestamp_ntz, seconds long, ticks long")
-    start.write.parquet(f"{path}/epoch=-1")
+    root = table_path(spark, "stream-heartbeat", path, start)
 
     def micros(c: str) -> Column:
         return F.unix_micros(F.col(c).cast("timestamp"))
 
     def step(batch: DataFrame, epoch: int) -> None:
-        old = spark.read.schema(start.schema).parquet(f"{path}/epoch={epoch - 1}")
+        old = spark.read.schema(start.schema).parquet(f"{root}/epoch={epoch - 1}")
         carried = old.select("book_id", F.col("last_ts").alias("ts"), F.lit(True).alias("_old"))
         rows = batch.select("book_id", "ts", F.lit(False).alias("_old")).unionByName(carried)
         block = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / block_seconds)
@@ -100,9 +101,9 @@ def stream_heartbeat(ticks: DataFrame, block_seconds: int = 900) -> DataFrame:
         total = old.unionByName(added).groupBy("book_id").agg(
             F.max("last_ts").alias("last_ts"), F.sum("seconds").alias("seconds"), F.sum("ticks").alias("ticks")
         )
-        total.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        total.write.mode("overwrite").parquet(f"{root}/epoch={epoch}")
 
-    run_each(ticks, step, "append", "stream-heartbeat")
-    table = epochs(spark, path, start.schema)
+    run_each(ticks, step, "append", "stream-heartbeat", path)
+    table = epochs(spark, root, start.schema)
     last = table.agg(F.max("epoch")).scalar()
     return table.filter(F.col("epoch") == last).select("book_id", "seconds", "ticks")

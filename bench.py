@@ -16,7 +16,7 @@ HEADLINE = [
     "multi_search", "merge_hits", "match_alternatives", "match_score", "dedupe_candidates", "resolve_book",
     "clean_content", "norm_keyword", "is_ad_line", "decode_pages", "shred_html", "node_text", "sel_combinators",
     "extract_content", "number_chapters", "record_health", "progress_state", "heartbeat_seconds", "join_book_view",
-    "stream_progress",
+    "stream_progress", "extract_hits", "extract_toc", "extract_book", "extract_explore",
 ]
 
 

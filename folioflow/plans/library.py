@@ -88,7 +88,7 @@ def resolve_book(spark, d):
     blank = {c: F.lit("") for c in ("cover", "last_chapter", "word_count")}
     books = load(spark, d, "books").withColumns(blank)
     hits = load(spark, d, "hits").withColumn("cover", F.col("cover_url")).withColumn("word_count", F.lit(""))
-    details = hits.filter(F.col("source_id") % 2 == 0).select(
+    details = load(spark, d, "hits", positions=False).filter(F.col("source_id") % 2 == 0).select(
         "source_id", "book_url", *[F.lit("").alias(c) for c in ("name", "author", "kind", "cover", "last_chapter", "word_count", "toc_url")],
         F.lit("about").alias("intro"),
     )

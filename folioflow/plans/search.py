@@ -93,7 +93,7 @@ def bcast_weight(spark, d):
 
 @query("has_more", sql_for("hits", body="select source_id, count(*) >= 20 as has_more from hits group by source_id"))
 def has_more(spark, d):
-    return search.has_more(load(spark, d, "hits"))
+    return search.has_more(load(spark, d, "hits", positions=False))
 
 
 @query("search_source_stats", sql_for("catalog", "hits", body="""select c.id as source_id, c.name as source_name, c.last_test_ok as ok, case when c.last_test_ok then coalesce(h.n, 0) else 0 end as hit_count, c.respond_time as elapsed, case when c.last_test_ok then '' else c.last_test_error end as error
@@ -103,7 +103,7 @@ def search_source_stats(spark, d):
         F.col("id").alias("source_id"), F.col("name").alias("source_name"), F.col("last_test_ok").alias("ok"),
         F.col("respond_time").alias("elapsed"), F.col("last_test_error").alias("error"),
     )
-    return search.search_source_stats(load(spark, d, "hits").filter(F.col("name") == "《red ring》"), runs)
+    return search.search_source_stats(load(spark, d, "hits", positions=False).filter(F.col("name") == "《red ring》"), runs)
 
 
 # Merge ------------------------------------------------------------------------------
@@ -224,7 +224,7 @@ FOUND_STEPS = {
 
 @query("filter_threshold", sql_for("found", extra=FOUND_STEPS, body="select keyword, count(*) as n, sum(score) as total from scored where score >= 45 group by keyword"))
 def filter_threshold(spark, d):
-    found = load(spark, d, "found").withColumn("score", ranking.match_score(
+    found = load(spark, d, "found", positions=False).withColumn("score", ranking.match_score(
         F.col("name"), F.col("author"), F.col("cover_url"), F.col("intro"), F.col("keyword"), F.lit("")
     ))
     kept = alt.filter_threshold(found.drop("item_pos").distinct())
@@ -233,7 +233,7 @@ def filter_threshold(spark, d):
 
 @query("dedupe_candidates", sql_for("found", extra=FOUND_STEPS, body="select source_id, book_url, keyword, cast(score as int) as score from (select *, row_number() over (partition by source_id, book_url order by score desc, keyword desc) as rn from scored) s where rn = 1"))
 def dedupe_candidates(spark, d):
-    found = load(spark, d, "found").withColumn("score", ranking.match_score(
+    found = load(spark, d, "found", positions=False).withColumn("score", ranking.match_score(
         F.col("name"), F.col("author"), F.col("cover_url"), F.col("intro"), F.col("keyword"), F.lit("")
     ))
     best = alt.dedupe_candidates(found.select("source_id", "book_url", "keyword", "score"), [F.col("keyword")])
@@ -259,7 +259,7 @@ BOOK_MATCH = {
 @query("match_alternatives", sql_for("found", "books", extra=BOOK_MATCH, body="select book_id, source_id, book_url, score, rank from ranked where rank <= 40"))
 def match_alternatives(spark, d):
     books = load(spark, d, "books").select(F.col("id").alias("book_id"), "source_id", "name", "author")
-    out = alt.match_alternatives(books, load(spark, d, "found"))
+    out = alt.match_alternatives(books, load(spark, d, "found", positions=False))
     return out.select("book_id", "source_id", "book_url", "score", "rank")
 
 

@@ -72,25 +72,30 @@ def register_tables(spark: SparkSession, sf_dir: str) -> None:
         spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet").createOrReplaceTempView(t)
 
 
-def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _hits(spark: SparkSession, sf_dir: str, positions: bool = True) -> DataFrame:
     """The ``hits`` view with positions numbered block by block.
 
     The statement numbers a source in one window; here a source with very many hits is
-    spread over tasks.
+    spread over tasks. Queries that use no position do without the numbering.
     """
     numbered = "cast(row_number() over (partition by l_suppkey order by l_partkey) as int) as item_pos"
     rows = spark.sql(VIEWS["hits"].replace(numbered, "l_partkey as _part"))
+    if not positions:
+        return rows.withColumn("item_pos", F.lit(None).cast("int")).drop("_part")
     out = ordinal(rows, ["source_id"], F.floor(F.col("_part") / 65536), [F.asc("_part")], "_n")
     return out.withColumn("item_pos", F.col("_n").cast("int")).drop("_part", "_n")
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table or an adapter view over the tables of a folder."""
+def load(spark: SparkSession, sf_dir: str, name: str, positions: bool = True) -> DataFrame:
+    """A given table or an adapter view over the tables of a folder.
+
+    Without ``positions``, hits and what is made of them have null positions, which saves numbering them.
+    """
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     for dep in DEPENDS.get(name, []):
-        load(spark, sf_dir, dep).createOrReplaceTempView(dep)
+        load(spark, sf_dir, dep, positions).createOrReplaceTempView(dep)
     for t in TABLES:
         if re.search(rf"\b{t}\b", VIEWS[name]):
             load(spark, sf_dir, t).createOrReplaceTempView(t)
-    return _hits(spark, sf_dir) if name == "hits" else spark.sql(VIEWS[name])
+    return _hits(spark, sf_dir, positions) if name == "hits" else spark.sql(VIEWS[name])

@@ -2,24 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.session import settle
 
-#: The columns that operators read; anything else in the input is passed over.
-DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def narrow(docs: DataFrame, *columns: str) -> DataFrame:
-    """The named columns alone; clashing extra columns never reach an operator."""
-    return docs.select(*columns)
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write a shared intermediate table to the folder in ``spark.checkpoint.dir`` and read it back.
 
@@ -28,9 +24,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return settle(df, f"llm-{label}")
 
 
-def same(left: DataFrame, right: DataFrame, *keys: str):
-    """An equality of keys that treats null as a value."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and x, a hash that tells the texts of one doc_id apart."""
+    return docs.select(F.col("doc_id").cast("long"), F.hash("text").alias("x"), "text")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, x and the compressed text: what is shuffled is a third of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                part = batch.slice(lo, 256)
+                texts = [squeeze(t or b"") for t in part.column(2).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.binary())], names=["doc_id", "x", "packed"])
+
+    return keyed(docs).mapInArrow(run, "doc_id long, x int, packed binary")

@@ -6,11 +6,12 @@ first, so a passage that unrelated texts share does not make them meet. Texts wi
 A candidate pair is a link if the edit similarity of its words, 1 - distance / longer length, is 0.8 or more; the
 distance comes from a bit-parallel alignment inside the band that this bound allows.
 
-Texts with the same words (lower-cased in A-Z) are one node from the start. In a bucket every node is compared with the
-bucket's first node only. Edit distance is a metric, so a node that is farther from the first node than two links reach
-cannot be linked to a node that is linked to the first; a node in between is compared with each of those, and all that
-are not linked go on without the first, until no bucket is left. No pair is skipped that could be a link, and no bucket
-emits all its pairs unless its texts really lie in between. Classes are the connected components of the links.
+Texts with the same words (lower-cased in A-Z) are one node from the start. In a bucket every node is compared with a pivot,
+the bucket's first node. Edit distance is a metric, so a node that is farther from the pivot than two links reach cannot be
+linked to a node that is linked to the pivot; a node in between is compared with those of them that the two distances
+allow. Nodes not linked to a pivot go on, in buckets split by length, with 16 pivots, then 256 and so on, until none is
+left. So a group of near copies costs one comparison each, and many pairs of a bucket are compared only where its texts
+are far from each other in spite of a common sample. Classes are the connected components of the links.
 
 A pair whose five-word Jaccard similarity is J meets with probability 1 - (1 - J^2)^32: over 0.9999999 at 0.7, 0.9999 at
 0.5. Links below that can be missed. Null and empty texts are one class of texts without words; texts under five words
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm import kernel
@@ -35,6 +36,8 @@ from folioflow.llm.registry import query
 K = 5
 SKETCHES = 32
 SIMILAR = 0.8
+#: Each round compares with this many times as many pivots as the one before.
+WIDER = 16
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _ORDERS = _rng.integers(1, 2**63, SKETCHES, dtype=np.uint64) | np.uint64(1)
@@ -171,7 +174,7 @@ def banded(a: list[int], b: list[int], most: int) -> int:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b, d and how far each pair (a, b) of nodes is: 'link', 'between' or 'far'."""
+    """a, b, their distance d, the words n of b, and how far the pair is: 'link', 'between' or 'far'."""
 
     def words_of(column: pa.Array) -> list[list[int]]:
         raw, offsets = kernel.utf8(column)
@@ -188,20 +191,41 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 part = batch.slice(lo, 256)
-                far, kind = [], []
+                far, kind, size = [], [], []
                 for u, v in zip(words_of(part.column(2)), words_of(part.column(3))):
                     longer = max(len(u), len(v))
                     # A node linked to u is at most a quarter longer; two links reach this far.
                     reach = int(0.25 * len(u) + 0.2 * max(1.25 * len(u), len(v))) + 1
                     d = banded(u, v, reach)
                     far.append(d)
+                    size.append(len(v))
                     kind.append("link" if d <= (1 - SIMILAR) * longer + 1e-9 else "between" if d <= reach else "far")
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(far, pa.int64()), pa.array(kind, pa.string())], names=["a", "b", "d", "kind"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(far, pa.int64()), pa.array(size, pa.int64()), pa.array(kind, pa.string())], names=["a", "b", "d", "n", "kind"])
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("_u"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("_v"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "_u", "_v")
-    return written(rows.mapInArrow(run, "a long, b long, d long, kind string"), "verified")
+    return written(rows.mapInArrow(run, "a long, b long, d long, n long, kind string"), "verified")
+
+
+def _pivots(members: DataFrame, width: int) -> DataFrame:
+    """The first ``width`` nodes of every bucket with more than one: bucket, a."""
+    if width == 1:
+        firsts = members.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z"))
+        return firsts.filter("a < z").select("bucket", "a")
+    order = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
+    return members.withColumn("_n", order).filter(F.col("_n") <= width).select("bucket", F.col("node").alias("a"))
+
+
+def _split(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Buckets of what is left, split by the lengths that a link allows.
+
+    A link's lengths differ by a quarter at most, so they lie in the same or in neighbouring classes of that ratio.
+    """
+    step = F.floor(F.log(F.greatest("n_words", F.lit(1))) / F.log(F.lit(1.25)))
+    rows = members.join(nodes.select("node", step.alias("step")), "node")
+    rows = rows.select("node", "bucket", F.explode(F.array(F.col("step"), F.col("step") + 1)).alias("step"))
+    return rows.select("node", F.xxhash64("bucket", "step").alias("bucket")).distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -222,22 +246,27 @@ def classes(docs: DataFrame) -> DataFrame:
         texts = texts.dropDuplicates(["node"])
     texts = written(texts, "texts")
     links: DataFrame | None = None
+    width = 1
     while True:
-        firsts = written(members.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n"), "firsts")
-        against = members.join(firsts, "bucket").filter("node <> a").select("bucket", "a", F.col("node").alias("b"))
-        against = written(against, "against")
+        pivots = written(_pivots(members, width), "pivots")
+        against = written(members.join(pivots, "bucket").filter("a < node").select("bucket", "a", F.col("node").alias("b")), "against")
         if against.isEmpty():
             break
         checked = _verify(against.select("a", "b").distinct(), texts)
         linked = checked.filter("kind = 'link'").select("a", "b")
         links = linked if links is None else links.unionByName(linked)
-        left = written(against.join(checked.filter("kind <> 'link'"), ["a", "b"]), "left")
-        between = left.filter("kind = 'between'").select("bucket", "a", F.col("b").alias("c"))
+        close = against.join(linked, ["a", "b"])
+        between = checked.filter("kind = 'between'").select("a", F.col("b").alias("c"), F.col("d").alias("dc"), F.col("n").alias("nc"))
         if not between.isEmpty():
-            close = against.join(checked.filter("kind = 'link'").select("a", "b"), ["a", "b"])
-            more = between.join(close, ["bucket", "a"]).select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct()
+            # A text at distance d of the pivot can be linked only to one at d less a link's distance or more.
+            near = (F.col("d") >= F.col("dc") - (1 - SIMILAR) * F.greatest("n", "nc") - 1e-9) & (F.col("b") != F.col("c"))
+            more = checked.filter("kind = 'link'").join(between, "a").filter(near)
+            more = more.select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct()
             links = links.unionByName(_verify(written(more, "more"), texts).filter("kind = 'link'").select("a", "b"))
-        members = left.select(F.col("b").alias("node"), "bucket")
+        done = close.select("bucket", F.col("b").alias("node")).unionByName(pivots.select("bucket", F.col("a").alias("node")))
+        members = members.join(done, ["bucket", "node"], "left_anti")
+        members = written(_split(members, nodes) if width == 1 else members, "members")
+        width *= WIDER
     labelled = nodes.select("node", "t1", "t2", "size", F.col("row.doc_id").alias("first_id"))
     if links is not None:
         roots = written(components(links), "roots")
@@ -262,7 +291,7 @@ def stage(docs: DataFrame) -> DataFrame:
     """One document of each class, with the columns it came with."""
     rows = written(classes(docs), "classes").filter("kept").groupBy("doc_id", "x").agg(F.count("*").alias("n"))
     keys = written(rows.select(F.col("doc_id").alias("_id"), F.col("x").alias("_x"), "n"), "kept")
-    out = docs.join(keys, docs.doc_id.eqNullSafe(keys._id) & (F.xxhash64(docs.text) == keys._x), "left_semi")
+    out = docs.join(keys, docs.doc_id.cast("long").eqNullSafe(keys._id) & (F.xxhash64(docs.text) == keys._x), "left_semi")
     if not keys.filter("n > 1").isEmpty():
         out = out.dropDuplicates(["doc_id", "text"])
     return out.select(*docs.columns)

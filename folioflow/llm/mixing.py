@@ -7,8 +7,8 @@ to within less than one block. Weights are whole shares of a frame, so the sched
 the driver (as many slots as shares, whatever the table size) and every block finds its slot by a join and arithmetic.
 
 No document is dropped or repeated. When a source ends, its slots stay empty and the others keep their proportions.
-Running totals inside a source are cut into hash ranges whose number follows the row count, so a source that holds a third
-of all rows is spread over tasks. A null source is a source of its own; a null or empty text takes no room; rows that
+Running totals inside a source are cut into as many hash ranges as the root of the row count, so a source that holds a
+third of all rows is spread over tasks, and so few ranges that adding them up stays small. A null source is a source of its own; a null or empty text takes no room; rows that
 repeat are laid one after the other. Other columns are passed over.
 """
 
@@ -26,7 +26,6 @@ from folioflow.llm.registry import query
 BLOCK = 65_536
 #: Shares in a frame; more sources than shares get a frame of one share each.
 SHARES = 1_000
-ROWS_PER_RANGE = 50_000
 
 
 def shares_of(weights: dict, shares: int = SHARES) -> dict:
@@ -65,7 +64,7 @@ def frame(shares: dict) -> list[tuple]:
 
 def place(docs: DataFrame, n_rows: int, block: int = BLOCK) -> DataFrame:
     """doc_id, source, chars and the offset of each document inside its source."""
-    ranges = max(1, n_rows // ROWS_PER_RANGE)
+    ranges = max(1, math.isqrt(n_rows))
     rows = docs.select(
         "doc_id",
         F.col("source").cast("string"),

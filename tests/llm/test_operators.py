@@ -186,8 +186,7 @@ def test_frame_keeps_every_prefix_within_a_block():
         assert given == shares
 
 
-def test_mix(spark, hard, hard_rows, empty, monkeypatch):
-    monkeypatch.setattr(mixing, "ROWS_PER_RANGE", 10)
+def test_mix(spark, hard, hard_rows, empty):
     rows = mixing.mix(hard, block=2000).collect()
     assert Counter(r.doc_id for r in rows) == Counter(r[0] for r in hard_rows)
     by = defaultdict(list)

@@ -73,7 +73,7 @@ def numbered(values: DataFrame, *columns: str) -> DataFrame:
 
 def identities(texts: DataFrame) -> DataFrame:
     """member and name: the final name of each text (member, plain). Texts of one length are comparable."""
-    blocks = _blocks(texts)
+    blocks = written(_blocks(texts), "blocks")
     level = blocks.join(numbered(blocks, "block"), "block").select("member", "pos", "name").distinct()
     done: DataFrame | None = None
     while True:
@@ -127,12 +127,14 @@ def stage(docs: DataFrame) -> DataFrame:
     """The rows whose text stays, once each, with the columns they came with."""
     groups = written(exact_groups(docs), "exact")
     kept = groups.filter("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_key"))
-    rows = with_digest(docs.withColumn("_whole", F.col("text")), *[c for c in docs.columns if c != "text"], "_whole")
-    rows = rows.withColumnRenamed("_whole", "text")
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_key")), "left_semi")
+    columns = docs.columns
+    inner = docs.toDF(*(f"in_{k}" for k in range(len(columns))))
+    number = f"in_{columns.index('doc_id')}"
+    rows = with_digest(inner.withColumn("text", F.col(f"in_{columns.index('text')}")), *inner.columns)
+    rows = rows.join(kept, F.col(number).cast("long").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_key")), "left_semi")
     if not groups.filter("copies > 1").isEmpty():
-        rows = rows.dropDuplicates(["doc_id", "_digest"])
-    return rows.select(*docs.columns)
+        rows = rows.dropDuplicates([number, "_digest"])
+    return rows.select(*(F.col(f"in_{k}").alias(c) for k, c in enumerate(columns)))
 
 
 SQL = """

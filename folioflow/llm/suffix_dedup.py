@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm import kernel
-from folioflow.llm.frames import table, written
+from folioflow.llm.frames import keyed, packed, table, written
 from folioflow.llm.registry import query
 
 LENGTH = 200
@@ -170,10 +170,6 @@ def _pieces(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np
             yield lo, at, part, np.array([0, len(part)])
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.hash("text").alias("x"), "text")
-
-
 def _segments(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,21 +182,7 @@ def _segments(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "x", "place", "anchor", "digest"],
                 )
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, x int, place long, anchor long, digest long")
-
-
-def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id, x and the compressed text: what is shuffled is a third of the text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.slice(lo, 256)
-                texts = [squeeze(t or b"") for t in part.column(2).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.binary())], names=["doc_id", "x", "packed"])
-
-    return _keyed(docs).mapInArrow(run, "doc_id long, x int, packed binary")
+    return keyed(docs).mapInArrow(run, "doc_id long, x int, place long, anchor long, digest long")
 
 
 def _on_document(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
@@ -213,20 +195,30 @@ def _texts_of(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = distinct.select("row.doc_id", "row.x", F.struct("row.place", "anchor", "digest", "copies", "hot").alias("s"))
     wanted = wanted.groupBy("doc_id", "x").agg(F.collect_list("s").alias("wanted"))  # bounded by the text's length
 
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
+    names = ["anchor", "digest", "n", "copies", "hot", "bytes"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            for k in range(len(batch)):
-                text = open_(batch.column(0)[k].as_py())
-                s = batch.column(1).slice(k, 1).flatten()
-                place = s.field("place").to_pylist()
-                cut = [text[p >> 16 : (p >> 16) + (p & 0xFFFF) + LENGTH - 1] for p in place]
-                yield pa.RecordBatch.from_arrays(
-                    [s.field("anchor"), s.field("digest"), pa.array([p & 0xFFFF for p in place], pa.int32()), s.field("copies"), s.field("hot"), pa.array(cut, pa.binary())],
-                    names=["anchor", "digest", "n", "copies", "hot", "bytes"],
-                )
+        out: list[tuple] = []
 
-    rows = _on_document(_packed(docs), wanted, "inner").select("packed", "wanted")
+        def batch_of() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+
+        for batch in batches:
+            for lo in range(0, len(batch), 64):
+                part = batch.slice(lo, 64)
+                for text, found in zip(map(open_, part.column(0).to_pylist()), part.column(1).to_pylist()):
+                    for s in found:
+                        at, n = s["place"] >> 16, s["place"] & 0xFFFF
+                        out.append((s["anchor"], s["digest"], n, s["copies"], s["hot"], text[at : at + n + LENGTH - 1]))
+                    if len(out) >= 4000:
+                        yield batch_of()
+                        out.clear()
+        if out:
+            yield batch_of()
+
+    rows = _on_document(packed(docs), wanted, "inner").select("packed", "wanted")
     return rows.mapInArrow(run, "anchor long, digest long, n int, copies long, hot boolean, bytes binary")
 
 
@@ -336,7 +328,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    rows = _on_document(_packed(docs), written(repeats(docs), "spans"), "left").select("doc_id", "packed", "spans")
+    rows = _on_document(packed(docs), written(repeats(docs), "spans"), "left").select("doc_id", "packed", "spans")
     return rows.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
 
 

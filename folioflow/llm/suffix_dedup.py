@@ -33,8 +33,8 @@ from folioflow.llm.registry import query
 
 LENGTH = 200
 K = 32
-#: Distinct segments of one anchor that one task sorts.
-HOT = 500
+#: Distinct segments of one anchor that one task sorts: seven megabytes at most.
+HOT = 20_000
 #: Bytes of segments sorted at a time; texts longer than a piece are cut into overlapping pieces.
 CHUNK = 400_000
 PIECE = 4_000_000
@@ -91,9 +91,17 @@ def suffix_order(parts: list[bytes], depth: int = LENGTH) -> tuple[np.ndarray, n
     smaller = np.repeat(following > x[change], np.diff(np.append(-1, change)))
     smaller[ends] = True
     direct = np.flatnonzero(smaller & (x > 0))
-    until = np.minimum(direct + depth, end_of[direct]).tolist()
-    keys = [joined[i:j] for i, j in zip(direct.tolist(), until)]
-    direct = direct[np.array(sorted(range(len(keys)), key=keys.__getitem__), np.int64)] if keys else direct
+    # Sorted two bytes at a time, so that only the suffixes with the same beginning are held as keys.
+    pair = x[direct].astype(np.int32) * 257 + x[np.minimum(direct + 1, n - 1)]
+    by = np.argsort(pair, kind="stable")
+    direct, pair = direct[by], pair[by]
+    cuts = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])).tolist() if len(pair) else []
+    for lo, hi in zip(cuts, [*cuts[1:], len(pair)]):
+        if hi - lo > 1:
+            own = direct[lo:hi]
+            until = np.minimum(own + depth, end_of[own]).tolist()
+            keys = [joined[i:j] for i, j in zip(own.tolist(), until)]
+            direct[lo:hi] = own[np.array(sorted(range(len(keys)), key=keys.__getitem__), np.int64)]
     size = np.bincount(x, minlength=257)
     tail = np.cumsum(size)
     head = tail - size

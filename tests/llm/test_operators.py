@@ -280,6 +280,31 @@ def test_fuzzy_passage(spark):
     assert abs(a - 100) < 6 and abs(b - 220) < 6 and abs(c - 90) < 6 and abs(d - 209) < 6 and got[3] == []
 
 
+def brute_passages(u, v, least=50):
+    """Words of u in exact common windows of ``least`` words."""
+    known = {tuple(v[j : j + least]) for j in range(len(v) - least + 1)}
+    return {i + k for i in range(len(u) - least + 1) if tuple(u[i : i + least]) in known for k in range(least)}
+
+
+@pytest.mark.parametrize("between", [20, 60, 150, 300])
+def test_chain_over_unlike_words_falls_into_its_parts(spark, between):
+    rng = random.Random(between)
+    head, foot, stray, body = (prose(rng, n).split() for n in (60, 60, 5, 60))
+    new = lambda n: [f"{w}{rng.randrange(10**6)}" for w in prose(rng, n).split()]
+    rows = [(k, head + new(between) + foot) for k in (1, 2)]
+    rows += [(3, new(30) + stray + new(40) + body + new(20)), (4, new(9) + stray + new(41) + body + new(30))]
+    rows += [(5, new(30) + (last := prose(rng, 60).split()) + new(40) + stray[::-1] + new(9)), (6, new(9) + last + new(40) + stray[::-1])]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    got = {r.doc_id: {i for s in r.spans for i in range(s.start, s.end)} for r in chaining.find_passages(docs).collect()}
+    text = {k: words(" ".join(w)) for k, w in rows}
+    for a, b in ((1, 2), (3, 4), (5, 6)):
+        for x, y in ((a, b), (b, a)):
+            need = brute_passages(text[x], text[y])
+            assert need and need <= got[x]
+    if between > 60:
+        assert len(got[1]) < 130 and len(got[3]) < 70
+
+
 # ---- 8 toxicity
 
 

@@ -3,10 +3,12 @@
 The texts of a source, in the order of a hash of doc_id, are laid end to end and cut into blocks of ``BLOCK`` characters;
 a document belongs to the block it starts in. Block k of a source with weight w may run from slot floor(k / w) and is due
 before slot ceil((k + 1) / w). Earliest deadline first over these windows gives every source its share of every prefix
-to within less than one block. Weights are whole shares of a frame, so the schedule repeats: one frame is scheduled on
-the driver (as many slots as shares, whatever the table size) and every block finds its slot by a join and arithmetic.
+to within less than one block. Weights are exact fractions: a number counts as the decimal it is written as, and a source
+has its weight over the sum of all, so nothing is rounded and no error adds up. The driver schedules blocks, not
+documents, with one heap entry for each source, and writes the placed blocks ``FRAME`` at a time.
 
-No document is dropped or repeated. When a source ends, its slots stay empty and the others keep their proportions.
+No document is dropped or repeated. When a source ends, its later blocks are no longer there and the others keep to their
+windows, so they keep their proportions.
 Running totals inside a source are cut into as many hash ranges as the root of the row count, so a source that holds a
 third of all rows is spread over tasks, and so few ranges that adding them up stays small. A null source is a source of its own; a null or empty text takes no room; rows that
 repeat are laid one after the other. Other columns are passed over.
@@ -15,17 +17,24 @@ repeat are laid one after the other. Other columns are passed over.
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from fractions import Fraction
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm.frames import table, written
 from folioflow.llm.registry import query
 
 BLOCK = 65_536
-#: Shares in a frame; more sources than shares get a frame of one share each.
+#: Shares in a repeating frame.
 SHARES = 1_000
+#: Placed blocks that the driver holds at a time.
+FRAME = 500_000
 
 
 def shares_of(weights: dict, shares: int = SHARES) -> dict:
@@ -42,24 +51,44 @@ def shares_of(weights: dict, shares: int = SHARES) -> dict:
     return out
 
 
-def frame(shares: dict) -> list[tuple]:
-    """(source, k, slot) of one frame: earliest deadline first over the blocks that are released."""
-    size = sum(shares.values())
-    names = sorted(shares, key=lambda s: (s is not None, str(s)))
-    waiting = [(0, -(-size // shares[s]), i, 0) for i, s in enumerate(names)]
-    ready: list[tuple[int, int, int]] = []
+def exact_weights(weights: dict) -> dict:
+    """Whole numbers in the exact proportion of the weights; weights of zero or less raise an error."""
+    exact = {s: Fraction(w) if isinstance(w, (int, Fraction)) else Fraction(str(w)) for s, w in weights.items()}
+    if any(w <= 0 for w in exact.values()):
+        raise ValueError("weights must be positive")
+    unit = math.lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * unit) for s, w in exact.items()}
+
+
+def schedule(weights: dict, blocks: dict) -> Iterator[tuple]:
+    """(source, k, release, deadline, slot) of every block by slot: earliest deadline first over the released blocks.
+
+    ``weights`` are whole numbers, ``blocks`` the number of blocks of each source.
+    """
+    size = sum(weights.values())
+    names = sorted(weights, key=lambda s: (s is not None, str(s)))
+    share = [weights[s] for s in names]
+    end = [blocks[s] for s in names]
+    waiting = [(0, -(-size // w), i, 0) for i, w in enumerate(share) if end[i] > 0]
+    ready: list[tuple[int, int, int, int]] = []
     heapq.heapify(waiting)
-    out = []
-    for slot in range(size):
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
-            _, due, i, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (due, i, k))
-        due, i, k = heapq.heappop(ready)
-        out.append((names[i], k, slot))
-        k += 1
-        if k < (w := shares[names[i]]):
-            heapq.heappush(waiting, (k * size // w, -(-(k + 1) * size // w), i, k))
-    return out
+            release, due, i, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (due, i, k, release))
+        due, i, k, release = heapq.heappop(ready)
+        yield names[i], k, release, due, slot
+        slot, k = slot + 1, k + 1
+        if k < end[i]:
+            heapq.heappush(waiting, (k * size // share[i], -(-(k + 1) * size // share[i]), i, k))
+
+
+def frame(shares: dict) -> list[tuple]:
+    """(source, k, slot) of a repeating frame: each source has as many blocks as whole shares."""
+    return [(s, k, slot) for s, k, _, _, slot in schedule(shares, shares)]
 
 
 def place(docs: DataFrame, n_rows: int, block: int = BLOCK) -> DataFrame:
@@ -90,32 +119,27 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK) -> Dat
     square root of its size, which lifts small sources.
     """
     spark = docs.sparkSession
-    placed = written(place(docs, docs.count(), block), "placed")
-    sizes = {r.source: r.size for r in placed.groupBy("source").agg((F.sum("chars") + 1).alias("size")).collect()}
+    placed = written(place(docs, docs.count(), block).withColumn("block", F.expr(f"offset div {block}")), "placed")
+    sizes = {r.source: r for r in placed.groupBy("source").agg(F.sum("chars").alias("chars"), F.max("block").alias("last")).collect()}
     if weights is None:
-        weights = {s: math.sqrt(n) for s, n in sizes.items()}
+        weights = {s: math.sqrt(r.chars + 1) for s, r in sizes.items()}
     elif missing := set(sizes) - set(weights):
         raise ValueError(f"no weight for {sorted(map(str, missing))}")
-    used = {s: weights[s] for s in sizes}
-    shares = shares_of(used) if used else {}
-    size = sum(shares.values())
-    slots = spark.createDataFrame([(s, shares[s], k, t) for s, k, t in frame(shares)], "_s string, _w long, _k long, _slot long")
-    rows = placed.withColumn("block", F.expr(f"offset div {block}"))
-    counts = spark.createDataFrame(list(shares.items()), "_s2 string, _share long")
-    rows = rows.join(F.broadcast(counts), rows.source.eqNullSafe(counts._s2))  # a row for each source
-    rows = rows.withColumn("_in", F.col("block") % F.col("_share"))
-    rows = rows.join(F.broadcast(slots), rows.source.eqNullSafe(slots._s) & (F.col("_in") == F.col("_k")))  # a row for each share
-    return rows.select(
-        "doc_id",
-        "source",
-        "chars",
-        "offset",
-        "block",
-        F.expr(f"(block * {size}) div _share").alias("release"),
-        F.expr(f"((block + 1) * {size} + _share - 1) div _share").alias("deadline"),
-        F.expr(f"(block div _share) * {size} + _slot").alias("slot"),
-        "_tie",
-    )
+    # The rest of a long last document takes blocks that no document starts in.
+    blocks = {s: max(r.last + 1, -(-r.chars // block)) for s, r in sizes.items()}
+    slots = _slots(spark, schedule(exact_weights({s: weights[s] for s in sizes}), blocks))
+    rows = placed.join(slots, placed.source.eqNullSafe(slots._s) & (placed.block == slots._k))
+    return rows.select("doc_id", "source", "chars", "offset", "block", "release", "deadline", "slot", "_tie")
+
+
+def _slots(spark: SparkSession, placed: Iterator[tuple]) -> DataFrame:
+    """The scheduled blocks as a table on the shared folder."""
+    names, kinds = ["_s", "_k", "release", "deadline", "slot"], [pa.string(), *[pa.int64()] * 4]
+    out = spark.createDataFrame([], "_s string, _k long, release long, deadline long, slot long")
+    while part := list(itertools.islice(placed, FRAME)):
+        rows = pa.table([pa.array(c, t) for c, t in zip(zip(*part), kinds)], names=names)
+        out = out.unionByName(written(spark.createDataFrame(rows), "slots"))
+    return out
 
 
 def stage(docs: DataFrame, weights: dict | None = None) -> DataFrame:

@@ -205,6 +205,50 @@ def test_mix(spark, hard, hard_rows, empty):
         mixing.mix(hard, {"s0": 1.0})
 
 
+def assert_within_a_block(rows, weights):
+    """rows: (source, block, slot) of every block; the counts of every prefix against the given weights."""
+    total = sum(weights.values())
+    blocks = Counter(s for s, _, _ in rows)
+    given, at = Counter(), 0
+    for source, k, slot in sorted(rows, key=lambda r: r[2]):
+        assert slot >= at and k == given[source]
+        at = slot + 1
+        given[source] += 1
+        assert abs(given[source] - weights[source] / total * at) < 1
+        if len(blocks) < 10:
+            assert all(abs(given[s] - weights[s] / total * at) < 1 for s in weights if given[s] < blocks[s])
+
+
+def test_schedule_keeps_the_given_weights():
+    from fractions import Fraction as Part
+
+    for given, n in (({"a": 0.9, "b": 0.1}, 4000), ({"a": 0.7, "b": 0.2, "c": 0.09, None: 0.01}, 3000), ({"a": 2**0.5, "b": 3**0.5, "c": 1}, 2000)):
+        weights = {s: Part(str(w)) for s, w in given.items()}
+        rows = [(s, k, t) for s, k, _, _, t in mixing.schedule(mixing.exact_weights(given), dict.fromkeys(given, n))]
+        assert len(rows) == n * len(given) and len({t for _, _, t in rows}) == len(rows)
+        assert_within_a_block(rows, weights)
+
+
+def test_mix_keeps_the_given_weights(spark):
+    from fractions import Fraction as Part
+
+    rng = random.Random(12)
+    for names, weight in ((["a", "b"], {"a": 0.9, "b": 0.1}), ([f"s{k:04}" for k in range(1200)], {f"s{k:04}": 1 + k % 7 for k in range(1200)})):
+        each = 2400 // len(names)
+        docs = spark.createDataFrame([(k, "x" * rng.randint(5, 10), names[k % len(names)]) for k in range(each * len(names))], "doc_id long, text string, source string")
+        rows = mixing.mix(docs, weight, block=5).collect()
+        weights = {s: Part(str(w)) for s, w in weight.items()}
+        total = sum(weights.values())
+        for r in rows:
+            w = weights[r.source] / total
+            assert r.release == r.block // w and r.deadline == -(-(r.block + 1) // w) and r.release <= r.slot < r.deadline
+        owner = {}
+        for r in rows:
+            assert owner.setdefault(r.slot, (r.source, r.block)) == (r.source, r.block)
+    with pytest.raises(ValueError):
+        mixing.mix(docs, dict.fromkeys(names, 0))
+
+
 # ---- 6 secrets
 
 

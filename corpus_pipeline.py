@@ -2,7 +2,9 @@
 
 Every stage is one operator of ``folioflow.llm``; between stages the documents are written as Parquet to the shared folder
 and read again, so a lost executor never costs more than one stage. All stages but the last return the columns of the
-input. Their handling of nulls, empty and repeated rows is that of their operators; an empty table stays empty.
+input. The schedule of the mixing stage depends on its documents and ``target_weights`` alone and has no column between
+stages, so the last stage computes it for the documents it gets and adds ``mix_block``, ``mix_slot`` and ``mix_offset`` to every row: rows in the
+order of (mix_slot, mix_offset) are the mixed corpus. Their handling of nulls, empty and repeated rows is that of their operators; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -10,12 +12,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folioflow.llm import block_naming, byte_bpe, mixing, order_minhash, quality
 from folioflow.llm.frames import table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Target weights of sources by name, against ``OTHERS`` for every source that is not named.
+TARGETS: dict[str | None, float] = {"src0": 2}
+OTHERS = 1
+
+
+def target_weights(docs: DataFrame) -> dict:
+    """The target weight of every source of these documents."""
+    return {r[0]: TARGETS.get(r[0], OTHERS) for r in docs.select(F.col("source").cast("string")).distinct().collect()}
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or the classifier go."""
@@ -33,13 +45,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, written in the order in which the schedule interleaves their sources."""
-    return mixing.stage(docs)
+    """All documents, written in the order in which the schedule interleaves their sources to the target weights."""
+    return mixing.stage(docs, target_weights(docs))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as token ids, with the digest of the bytes they decode to."""
-    return byte_bpe.stage(docs)
+    """Every document as token ids, with the digest of the bytes they decode to and its place in the mixed corpus."""
+    docs = mixing.scheduled(docs, target_weights(docs))
+    return byte_bpe.stage(docs, "mix_block", "mix_slot", "mix_offset")
 
 
 STAGES: list[tuple[str, Stage]] = [

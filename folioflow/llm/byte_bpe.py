@@ -227,9 +227,9 @@ def digests(docs: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def stage(docs: DataFrame) -> DataFrame:
-    """The last pipeline stage: each document with its ids and the digest of what they decode to."""
-    encoded = encode(docs.select("doc_id", "source", "lang", "text"))
+def stage(docs: DataFrame, *keep: str) -> DataFrame:
+    """The last pipeline stage: each document with its ids, the digest of what they decode to and the columns to keep."""
+    encoded = encode(docs.select("doc_id", "source", "lang", *keep, "text"))
     rows = decode(encoded.drop("text"))
     return rows.select(
         "doc_id",
@@ -238,6 +238,7 @@ def stage(docs: DataFrame) -> DataFrame:
         F.size("ids").cast("long").alias("n_tokens"),
         "ids",
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *keep,
     )
 
 

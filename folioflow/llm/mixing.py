@@ -142,16 +142,29 @@ def _slots(spark: SparkSession, placed: Iterator[tuple]) -> DataFrame:
     return out
 
 
-def stage(docs: DataFrame, weights: dict | None = None) -> DataFrame:
-    """The same documents in the order of the schedule: rows of earlier slots stand in earlier files."""
-    slots = mix(docs, weights).dropDuplicates(["doc_id", "_tie"])
-    keys = slots.select(F.col("doc_id").alias("_id"), F.col("_tie").alias("_t"), "slot", "offset")
+def scheduled(docs: DataFrame, weights: dict | None = None) -> DataFrame:
+    """The same documents with mix_block, mix_slot and mix_offset, the place of each in the schedule.
+
+    Rows with the same doc_id and text get the places of their copies in any order, one each.
+    """
+    names = ["mix_block", "mix_slot", "mix_offset"]
+    docs = docs.drop(*names)
+    nth = F.row_number().over(Window.partitionBy("doc_id", "_s", "_t").orderBy("offset"))
+    keys = mix(docs, weights).withColumnsRenamed({"source": "_s", "_tie": "_t"}).withColumn("_n", nth)
+    keys = keys.select(F.col("doc_id").alias("_id"), "_s", "_t", "_n", *(F.col(n[4:]).alias(n) for n in names))
     columns = docs.columns
     inner = docs.toDF(*(f"in_{k}" for k in range(len(columns))))
-    number, text = F.col(f"in_{columns.index('doc_id')}"), F.col(f"in_{columns.index('text')}")
-    rows = inner.join(keys, number.eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_t")))
-    rows = rows.repartitionByRange("slot", "offset").sortWithinPartitions("slot", "offset")
-    return rows.select(*(F.col(f"in_{k}").alias(c) for k, c in enumerate(columns)))
+    number, text, source = (F.col(f"in_{columns.index(c)}") for c in ("doc_id", "text", "source"))
+    inner = inner.withColumns({"_h": F.xxhash64(text), "_c": source.cast("string")})
+    inner = inner.withColumn("_m", F.row_number().over(Window.partitionBy(number, "_c", "_h").orderBy("_h")))
+    rows = inner.join(keys, number.eqNullSafe(F.col("_id")) & F.col("_c").eqNullSafe(F.col("_s")) & (F.col("_h") == F.col("_t")) & (F.col("_m") == F.col("_n")))
+    return rows.select(*(F.col(f"in_{k}").alias(c) for k, c in enumerate(columns)), *names)
+
+
+def stage(docs: DataFrame, weights: dict | None = None) -> DataFrame:
+    """The same documents in the order of the schedule: rows of earlier slots stand in earlier files."""
+    rows = scheduled(docs, weights)
+    return rows.repartitionByRange("mix_slot", "mix_offset").sortWithinPartitions("mix_slot", "mix_offset").select(*docs.columns)
 
 
 @query("op5_pfair_mix")

@@ -36,6 +36,43 @@ def test_pipeline(spark):
     assert {r.doc_id: (r.source, r.lang, list(r.ids), r.decoded_sha256) for r in got} == expected and len(got) == len(expected)
 
 
+def brute_slots(sources, weights):
+    """The source and number of the block of every slot, slot by slot; sources maps to numbers of blocks."""
+    total, given, out, slot = sum(weights.values()), dict.fromkeys(sources, 0), {}, 0
+    while any(given[s] < n for s, n in sources.items()):
+        ready = [(-(-(given[s] + 1) * total // weights[s]), s is not None, str(s), s) for s, n in sources.items() if given[s] < n and given[s] * total // weights[s] <= slot]
+        if ready:
+            s = min(ready)[3]
+            out[s, given[s]] = slot
+            given[s] += 1
+        slot += 1
+    return out
+
+
+def test_pipeline_rows_follow_the_schedule(spark, monkeypatch):
+    import corpus_pipeline
+    from folioflow.llm import mixing
+
+    def runs():
+        rows = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
+        texts = {r.doc_id: len(r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+        sources, end = {}, {}
+        for r in sorted(rows.values(), key=lambda r: (str(r.source), r.mix_offset)):
+            assert r.mix_offset == end.get(r.source, 0) and r.mix_block == r.mix_offset // mixing.BLOCK
+            end[r.source] = r.mix_offset + texts[r.doc_id]
+            sources[r.source] = max(r.mix_block + 1, -(-end[r.source] // mixing.BLOCK))
+        weights = {s: corpus_pipeline.TARGETS.get(s, corpus_pipeline.OTHERS) for s in sources}
+        slots = brute_slots(sources, weights)
+        assert all(r.mix_slot == slots[r.source, r.mix_block] for r in rows.values())
+        return {k: r.mix_slot for k, r in rows.items()}
+
+    monkeypatch.setattr(mixing, "BLOCK", 500)
+    monkeypatch.setattr(mixing.mix, "__defaults__", (None, 500))
+    first = runs()
+    monkeypatch.setitem(corpus_pipeline.TARGETS, "src1", 9)
+    assert runs() != first
+
+
 def test_stages_keep_columns(spark):
     import corpus_pipeline
     from folioflow.llm.frames import table

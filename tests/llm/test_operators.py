@@ -349,6 +349,28 @@ def test_chain_over_unlike_words_falls_into_its_parts(spark, between):
         assert len(got[1]) < 130 and len(got[3]) < 70
 
 
+@pytest.mark.parametrize("similarity, least", [(0.95, 1.0), (0.9, 1.0), (0.85, 0.99), (0.8, 0.97)])
+def test_recall_of_short_fuzzy_passages(spark, similarity, least):
+    """Passages of 50 words with changed, dropped and added words among unlike ones."""
+    rng = random.Random(int(similarity * 100))
+    new = lambda n: [f"{w}{rng.randrange(10**6)}" for w in prose(rng, n).split()]
+    rows, there = [], {}
+    for k in range(300):
+        one = new(50)
+        two = list(one)
+        for at in rng.sample(range(2, 48), int(50 * (1 - similarity) + 1e-9)):
+            two[at] = rng.choice([new(1)[0]] * 3 + ["", f"{two[at]} {new(1)[0]}"])
+        two = " ".join(w for w in two if w).split()
+        longer = max(len(one), len(two))
+        assert order_minhash.banded(one, two, 50) <= (1 - similarity) * longer + 1e-9 or len(two) < 50
+        there[k] = len(two) >= 45 and order_minhash.banded(one, two, 50) <= 0.2 * longer + 1e-9
+        rows += [(2 * k, " ".join(new(30) + one + new(30))), (2 * k + 1, " ".join(new(20) + two + new(40)))]
+    got = {r.doc_id: r for r in chaining.find_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = [bool(got[2 * k].spans) and got[2 * k + 1].class_id == 2 * k for k in there if there[k]]
+    print(similarity, len(found), sum(found) / len(found))
+    assert len(found) > 150 and sum(found) >= least * len(found)
+
+
 def test_passage_of_frequent_lines(spark):
     """Two texts share three lines that other texts have one at a time; every text is the first and last of some seed."""
     rng = random.Random(21)

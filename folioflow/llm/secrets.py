@@ -2,7 +2,7 @@
 
 Tokens are runs of letters, digits and ``+/_.=-`` or runs of other signs. The field tags each as outside, begin or
 inside of a secret from its shape, length and class changes, the words around it and features of the whole text. It is
-trained by gradient ascent on forward-backward marginals over windows of a bounded sample of texts (``SAMPLE``, in the order
+trained by gradient ascent on forward-backward marginals over windows of a bounded sample of texts (``SAMPLE_WITH`` and ``SAMPLE_WITHOUT``, in the order
 of a hash of doc_id), labelled by the base patterns; weights are a fixed-size table that travels with the task.
 
 Decoding is exact Viterbi over the whole text. A token whose score for "outside" leads by more than any transitions
@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflow.llm import kernel
-from folioflow.llm.frames import table
+from folioflow.llm.frames import table, written
 from folioflow.llm.registry import query
 
 #: Texts looked at for training, those of them with and without base matches that are used, and their characters.
-SAMPLE, SAMPLE_WITH, SAMPLE_WITHOUT, SAMPLE_CHARS = 20_000, 1_200, 800, 16_000_000
+SAMPLE_WITH, SAMPLE_WITHOUT, SAMPLE_CHARS = 1_200, 800, 16_000_000
 WINDOW = 12
 BITS = 16
 ROUNDS = 80
@@ -40,7 +40,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 NAMES = ("passw", "secret", "token", "api")
-SPARK_BASE = r"""(?i)(?:password|passwd|secret|token|api_?key)["']? *[:=] *["']?[A-Za-z0-9+/_.=-]{6}|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"""
+SPARK_BASE = r"""(?i:password|passwd|secret|token|api_?key)["']? *[:=] *["']?[A-Za-z0-9+/_.=-]{6}|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"""
 
 _CLASS = np.full(256, 5, np.uint8)  # other signs
 for _bytes, _kind in ((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", 1), (b"abcdefghijklmnopqrstuvwxyz", 2), (b"0123456789", 3), (b"+/_.=-", 4)):
@@ -265,11 +265,13 @@ def train(places: np.ndarray, state: np.ndarray, mask: np.ndarray, rounds: int =
 
 
 def fit(docs: DataFrame) -> Model:
-    """Train on a bounded sample of the texts; the base patterns are the labels."""
+    """Train on a bounded sample of the texts with and one of those without base matches, both chosen from all texts."""
     order = F.xxhash64("doc_id", F.lit("secret"))
-    ids = docs.select("doc_id").filter("doc_id is not null").orderBy(order).limit(SAMPLE)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids.distinct()), "doc_id", "left_semi").filter("text is not null")
+    rows = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
     rows = rows.withColumn("_with", F.col("text").rlike(SPARK_BASE))
+    flags = written(rows.select("doc_id", "_with"), "flags")
+    ids = [flags.filter(F.col("_with") == flag).distinct().orderBy(order).limit(n) for flag, n in ((True, SAMPLE_WITH), (False, SAMPLE_WITHOUT))]
+    rows = rows.join(F.broadcast(ids[0].unionByName(ids[1])), ["doc_id", "_with"], "left_semi")
     taken = []
     for flag, n in ((True, SAMPLE_WITH), (False, SAMPLE_WITHOUT)):
         size = 0

@@ -279,6 +279,22 @@ def test_field_finds_what_the_patterns_miss(spark):
     assert [(text[a:b], kind) for a, b, kind in spans[0]] == [(hidden, "crf")] and spans[1:] == [[], []]
 
 
+def test_rare_secrets_train_the_field(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(14)
+    code = lambda n, letters="0123456789abcdef": "".join(rng.choice(letters) for _ in range(n))
+    ids = [r.id for r in spark.range(22_000).orderBy(F.xxhash64("id", F.lit("secret"))).collect()]
+    rows = [(k, prose(rng, 8)) for k in ids[:21_900]]
+    rows += [(k, f"{prose(rng, 30)} token = \"{code(40)}\" {prose(rng, 30)}") for k in ids[21_900:]]
+    rows[:3000] = [(k, f"{t} {code(30, '0123456789ABCDEF')}") for k, t in rows[:3000]]  # no base match
+    model = secrets.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    hidden = code(22) + "A" + code(17)
+    text = f"{prose(rng, 20)} token \"{code(40)}\" pass = \"{hidden}\" {prose(rng, 20)}"
+    assert model.weights is not None
+    assert (hidden, "crf") in [(text[a:b], kind) for a, b, kind in secrets.spans_of(__import__("pyarrow").array([text]), model)[0]]
+
+
 def test_viterbi_is_exact():
     rng = np.random.default_rng(3)
     for _ in range(200):

@@ -11,6 +11,7 @@ from folioflow.llm import (  # noqa: F401
     mixing,
     order_minhash,
     byte_bpe,
+    token_alignment,
     prefix_trie,
     warc,
 )

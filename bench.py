@@ -23,13 +23,18 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = build_session("bench", f"local[{cpus}]", int(cpus) if cpus.isdigit() else 8)
+    spark = build_session("bench", f"local[{cpus}]", int(cpus) if cpus.isdigit() else 8, memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()  # start the executor threads before the clock
-    times = {}
+    times, failed = {}, {}
     for name in HEADLINE:
         start = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        try:
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        except Exception as e:  # the others still run; a failed query has no time
+            failed[name] = str(e)[:200]
+            print(name, "failed", failed[name], file=sys.stderr, flush=True)
+            continue
         times[name] = round(time.perf_counter() - start, 3)
         print(name, times[name], file=sys.stderr, flush=True)
     print(
@@ -39,6 +44,7 @@ def main() -> None:
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,
+                **({"failed": failed} if failed else {}),
                 "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
             }
         )

@@ -1,7 +1,7 @@
 """Records from pages: a list selector and field selectors, evaluated for all pages at once.
 
 A spec is made of Python objects and fixed when the plan is built. All fields of a spec
-walk the node rows together, one join per selector step, whatever the number of fields.
+are found in one pass over the node rows of each page (see ``operators.dom``).
 """
 
 from __future__ import annotations
@@ -15,18 +15,20 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import jsons
 from folioflow.functions.clean import HTML_MARK, apply_replace_rules, clean_lines, plain_lines
-from folioflow.functions.text import count_words, first_nonempty, let, regex_chain, strip_space, text_or_blank, tidy
+from folioflow.functions.text import count_words, let, not_blank, regex_chain, strip_space, text_or_blank, tidy
 from folioflow.functions.urls import abs_url
 from folioflow.operators import dom
 from folioflow.operators.search import make_hit
 from folioflow.operators.shred import shred_html
-from folioflow.session import settle
+from folioflow.session import settle, settle_by
 
 # Attributes that hold links.
 URL_ATTRS = {
     "href", "src", "url", "data-src", "data-original", "data-lazy-src", "poster", "action", "srcset",
 }
 HIT_FIELDS = ["name", "author", "kind", "word_count", "last_chapter", "intro", "cover_url", "book_url"]
+# What can be taken of a node besides an attribute.
+READERS = {"text", "own_text", "text_lines", "html", "outer_html"}
 BOOK_FIELDS = ["name", "author", "kind", "last_chapter", "intro", "cover", "toc_url", "word_count", "status"]
 
 
@@ -54,8 +56,10 @@ class Spec:
 
 
 def shred_table(pages: DataFrame, html: str = "text") -> DataFrame:
-    """Node rows written once to the shared folder, so that no page is parsed twice."""
-    return settle(shred_html(pages, html), "nodes")
+    """Node rows written once to the shared folder, laid out by page, so that no page is parsed or moved twice."""
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ready = pages.select(F.col("page_id").cast("long").alias("page_id"), html).repartition(n, "page_id")
+    return settle_by(shred_html(ready, html), "nodes", "page_id")
 
 
 def _flatten(fields: dict[str, Field]) -> dict[str, Field]:
@@ -69,111 +73,34 @@ def _flatten(fields: dict[str, Field]) -> dict[str, Field]:
     return out
 
 
-def _origins(step: dom.Step) -> Column:
-    """The nodes from which an element can be reached by a step."""
-    ways = {
-        "inside": F.col("anc"),
-        "self_inside": F.array_append("anc", F.col("pre")),
-        "child": F.array("parent"),
-        "next": F.filter(F.array("prev_elem"), lambda x: x.isNotNull()),
-    }
-    if step.axis not in ways:
-        raise ValueError(f"axis {step.axis} is not available inside fields")
-    return ways[step.axis]
+def _reads(fields: dict[str, Field]) -> dict[str, tuple[tuple[dom.Step, ...], str]]:
+    """What the pass over the nodes has to find and to take."""
+    flat = _flatten(fields)
+    return {n: (f.steps if f.index is None else (*f.steps, dom.pick("eq", f.index)), f.take) for n, f in flat.items()}
 
 
-def _follow_fields(nodes: DataFrame, state: DataFrame, steps: dict[str, dom.Step]) -> DataFrame:
-    """Advance all fields by one selector step with a single join."""
-    marks = F.array(
-        *[F.when(s.test, F.struct(F.lit(n).alias("field"), _origins(s).alias("froms"))) for n, s in steps.items()]
-    )
-    found = dom.elements_of(nodes).select(
-        "page_id", "pre", F.explode(F.filter(marks, lambda x: x.isNotNull())).alias("m")
-    )
-    links = found.select("page_id", "pre", F.col("m.field").alias("field"), F.explode("m.froms").alias("_from"))
-    origin = state.withColumnRenamed("pre", "_from")
-    return links.join(origin, ["page_id", "field", "_from"]).select(*state.columns).distinct()
+def _value(f: Field, found: Column, page_url: Column) -> Column:
+    """The values of a field, in document order, as one text: replacements on each, links completed, blank ones left out."""
+    link, attribute = f.take in URL_ATTRS, f.take not in READERS
 
+    def complete(v: Column) -> Column:
+        return let(abs_url(page_url, v), lambda full: F.when((strip_space(v) != "") & (full != ""), full).otherwise(v))
 
-def field_values(nodes: DataFrame, items: DataFrame, fields: dict[str, Field], urls: DataFrame) -> DataFrame:
-    """One row per item (page_id, ctx) with a text column per field.
+    def one(x: Column) -> Column:
+        v = tidy(x) if attribute and not link else x
+        v = regex_chain(v, list(f.regexes)) if f.regexes else v
+        return let(v, complete) if link else v
 
-    ``urls``: page_id, page_url; links are completed after the replacements.
-    """
+    values = F.transform(found, one) if attribute or f.regexes else found
+    return F.array_join(F.filter(values, lambda x: x != ""), "\n")
+
+
+def _texts(fields: dict[str, Field], found: Callable[[str], Column], page_url: Column) -> dict[str, Column]:
+    """Each field's text: its first alternative that is not blank."""
     flat = _flatten(fields)
-    # Shorter paths start later, so that every level is one join over all running fields.
-    depth = max(len(f.steps) for f in flat.values())
-
-    def entering(level: int) -> DataFrame | None:
-        names = [n for n, f in flat.items() if depth - len(f.steps) == level]
-        if not names:
-            return None
-        return items.select("page_id", "ctx", "pre", F.explode(F.array(*map(F.lit, names))).alias("field"))
-
-    state = entering(0)
-    for level in range(depth):
-        running = {n: f.steps[level - depth] for n, f in flat.items() if depth - len(f.steps) <= level}
-        state = _follow_fields(nodes, state, running)
-        late = entering(level + 1)
-        state = state if late is None else state.unionByName(late)
-    indexed = {n: f.index for n, f in flat.items() if f.index is not None}
-    if indexed:
-        by = Window.partitionBy("page_id", "ctx", "field")
-        state = state.withColumns(
-            {
-                "_i": F.row_number().over(by.orderBy("pre")) - 1,
-                "_b": -F.row_number().over(by.orderBy(F.desc("pre"))),
-            }
-        )
-        keep = F.lit(True)
-        for n, i in indexed.items():
-            keep = F.when(F.col("field") == n, F.col("_i" if i >= 0 else "_b") == i).otherwise(keep)
-        state = state.filter(keep).drop("_i", "_b")
-    # The readers below start from the same slim set, so it is computed once.
-    state = settle(state, "fields")
-
-    readers: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
-        "text": dom.node_text,
-        "own_text": dom.node_own_text,
-        "text_lines": dom.node_text_lines,
-        "html": dom.node_html,
-        "outer_html": lambda n, t: dom.node_html(n, t, outer=True),
-    }
-    parts = []
-    takes = {f.take for f in flat.values()}
-    for take in sorted(takes & set(readers)):
-        chosen = [n for n, f in flat.items() if f.take == take]
-        parts.append(readers[take](nodes, state.filter(F.col("field").isin(*chosen))).select(*state.columns, "value"))
-    attrs = {n: f.take for n, f in flat.items() if f.take not in readers}
-    if attrs:
-        value = F.lit("")
-        for n, a in attrs.items():
-            raw = dom.attr(a)
-            value = F.when(F.col("field") == n, raw if a in URL_ATTRS else tidy(raw)).otherwise(value)
-        held = dom.elements_of(nodes).select("page_id", "pre", "attrs")
-        parts.append(
-            state.filter(F.col("field").isin(*attrs)).join(held, ["page_id", "pre"]).select(*state.columns, value.alias("value"))
-        )
-    values = reduce(DataFrame.unionByName, parts).join(urls, "page_id")
-    out = F.col("value")
-    for n, f in flat.items():
-        if f.regexes:
-            out = F.when(F.col("field") == n, regex_chain(F.col("value"), list(f.regexes))).otherwise(out)
-    values = values.withColumn("value", out)
-    links = [n for n, f in flat.items() if f.take in URL_ATTRS]
-    if links:
-        full = abs_url(F.col("page_url"), F.col("value"))
-        is_link = F.col("field").isin(*links) & (strip_space(F.col("value")) != "")
-        values = values.withColumn("value", F.when(is_link & (full != ""), full).otherwise(F.col("value")))
-
-    def joined(n: str) -> Column:
-        found = F.collect_list(F.when((F.col("field") == n) & (F.col("value") != ""), F.struct("pre", "value")))
-        return F.array_join(F.transform(F.sort_array(found), lambda x: x["value"]), "\n").alias(n)
-
-    wide = values.groupBy("page_id", "ctx").agg(*[joined(n) for n in flat])
-    tries = {name: [F.col(f"`{n}`") for n in flat if n.rsplit("#", 1)[0] == name] for name in fields}
-    wide = wide.select("page_id", "ctx", *[first_nonempty(*t).alias(name) for name, t in tries.items()])
-    return items.select("page_id", "ctx").join(wide, ["page_id", "ctx"], "left").fillna("", list(fields))
+    tries = {name: [_value(f, found(n), page_url) for n, f in flat.items() if n.rsplit("#", 1)[0] == name] for name in fields}
+    # Each alternative stands in the expression once.
+    return {name: F.coalesce(F.get(F.filter(F.array(*t), not_blank), F.lit(0)), F.lit("")) for name, t in tries.items()}
 
 
 def var_fields(records: DataFrame, puts: dict[str, Column], gets: dict[str, Column]) -> DataFrame:
@@ -181,29 +108,53 @@ def var_fields(records: DataFrame, puts: dict[str, Column], gets: dict[str, Colu
     return records.withColumns(puts).withColumns(gets).drop(*puts)
 
 
-def _records(pages: DataFrame, nodes: DataFrame, spec: Spec) -> DataFrame:
-    urls = pages.select("page_id", F.col("final_url").alias("page_url"))
-    items = dom.page_context(nodes)
-    if spec.items:
-        items = dom.sel_path(nodes, items, *spec.items).select("page_id", F.col("pre").alias("ctx"), "pre")
-    items = settle(items, "items")
-    out = field_values(nodes, items, spec.fields, urls)
+def _about(pages: DataFrame, *columns: str) -> DataFrame:
+    return pages.select("page_id", *columns, F.col("final_url").alias("page_url"))
+
+
+def _records(
+    about: DataFrame, nodes: DataFrame, spec: Spec, one: bool = False, finish: dict[str, Callable[[Column], Column]] | None = None
+) -> DataFrame:
+    """One row for each item: page_id, ctx, the columns of ``about`` and the fields of the spec, finished by a function each."""
+    found = dom.records(nodes, _reads(spec.fields), spec.items, about, one)
+    texts = _texts(spec.fields, lambda n: F.col(f"`{n}`"), F.col("page_url"))
+    for n, f in (finish or {}).items():
+        if n in texts:
+            texts[n] = let(texts[n], f)
+    # An array of one, taken apart again: what is built on a field refers to it and does not repeat its expression.
+    record = F.explode(F.array(F.struct(*[c.alias(n) for n, c in texts.items()]))).alias("_r")
+    out = found.select("page_id", "ctx", *about.columns[1:], record).select("page_id", "ctx", *about.columns[1:], "_r.*")
     return out.withColumns(spec.derived) if spec.derived else out
 
 
-def extract_hits(pages: DataFrame, nodes: DataFrame, spec: Spec, limit: int = 60) -> DataFrame:
+def extract_hits(pages: DataFrame, nodes: DataFrame, spec: Spec, limit: int | None = 60) -> DataFrame:
     """List pages to hits: blank names dropped, first ``limit`` per page in document order.
 
-    ``pages``: page_id, source_id, source_name, final_url.
+    ``pages``: page_id, source_id, source_name, final_url. The items of a page stay one row until they are numbered, so
+    nothing is moved for it.
     """
-    found = _records(pages, nodes, spec)
+    about = _about(pages, "source_id", "source_name")
+    if "name" in spec.derived:
+        named = _records(about, nodes, spec).filter(not_blank(F.col("name")))
+        named = named.withColumn("item_pos", F.row_number().over(Window.partitionBy("page_id").orderBy("ctx")))
+        named = named if limit is None else named.filter(F.col("item_pos") <= limit)
+    else:
+        found = dom.records(nodes, _reads(spec.fields), spec.items, about, nested=True)
+
+        def record(x: Column) -> Column:
+            texts = _texts(spec.fields, lambda n: x[n], F.col("page_url"))
+            return F.struct(*[c.alias(n) for n, c in texts.items()])
+
+        items = F.transform("items", record)
+        if "name" in spec.fields:
+            items = F.filter(items, lambda x: not_blank(x["name"]))
+        items = items if limit is None else F.slice(items, 1, limit)
+        named = found.select("page_id", *about.columns[1:], F.posexplode(items).alias("_i", "_r"))
+        named = named.withColumn("item_pos", F.col("_i") + 1).select("page_id", *about.columns[1:], "item_pos", "_r.*").withColumns(spec.derived)
     for name in HIT_FIELDS:
-        if name not in found.columns:
-            found = found.withColumn(name, F.lit(""))
-    about = pages.select("page_id", "source_id", "source_name", F.col("final_url").alias("page_url"))
-    hits = make_hit(found.join(about, "page_id"))
-    w = Window.partitionBy("page_id").orderBy("ctx")
-    return hits.withColumn("item_pos", F.row_number().over(w)).filter(F.col("item_pos") <= limit).drop("ctx")
+        if name not in named.columns:
+            named = named.withColumn(name, F.lit(""))
+    return make_hit(named.drop("ctx"))
 
 
 def extract_explore(pages: DataFrame, nodes: DataFrame, explore: Spec, search: Spec, limit: int = 30) -> DataFrame:
@@ -231,11 +182,8 @@ def extract_json_hits(
 
 
 def extract_book(pages: DataFrame, nodes: DataFrame, spec: Spec) -> DataFrame:
-    """Detail pages to the nine book fields. ``spec.items`` is the base of the fields, if given."""
-    rows = _records(pages, nodes, spec)
-    # The base is one place: the first match, or the page when there is none.
-    rows = rows.groupBy("page_id").agg(F.min_by(F.struct(*spec.fields, *spec.derived), "ctx").alias("r")).select("page_id", "r.*")
-    out = pages.select("page_id", "source_id", F.col("final_url").alias("page_url")).join(rows, "page_id", "left")
+    """Detail pages to the nine book fields. ``spec.items`` is the base of the fields, if given: its first match."""
+    rows = _records(_about(pages, "source_id"), nodes, spec, one=True)
 
     def text(n: str) -> Column:
         return strip_space(text_or_blank(F.col(n))) if n in rows.columns else F.lit("")
@@ -245,7 +193,7 @@ def extract_book(pages: DataFrame, nodes: DataFrame, spec: Spec) -> DataFrame:
         "cover": abs_url(F.col("page_url"), text("cover")),
         "toc_url": F.when(toc != "", toc).otherwise(F.col("page_url")),
     }
-    return out.select("page_id", "source_id", "page_url", *[special.get(n, text(n)).alias(n) for n in BOOK_FIELDS])
+    return rows.select("page_id", "source_id", "page_url", *[special.get(n, text(n)).alias(n) for n in BOOK_FIELDS])
 
 
 def follow_next(starts: DataFrame, links: DataFrame, max_pages: int, revisit_start: bool = False) -> DataFrame:
@@ -281,13 +229,12 @@ def extract_toc(pages: DataFrame, nodes: DataFrame, spec: Spec) -> DataFrame:
     ``pages``: page_id, book_id, page, final_url. Fields: title, url, and optionally
     is_volume_text. Feed the result to ``dedupe_chapters`` and ``number_chapters``.
     """
-    rows = _records(pages, nodes, spec)
-    about = pages.select("page_id", "book_id", "page", F.col("final_url").alias("page_url"))
+    whole = {"title": strip_space, "url": lambda v: abs_url(F.col("page_url"), v)}
+    plain = {n: f for n, f in whole.items() if n not in spec.derived}
+    rows = _records(_about(pages, "book_id", "page"), nodes, spec, finish=plain)
+    rows = rows.withColumns({n: f(F.col(n)) for n, f in whole.items() if n in spec.derived})
     flag = F.col("is_volume_text") if "is_volume_text" in rows.columns else F.lit("")
-    return rows.join(about, "page_id").select(
-        "book_id", "page", F.col("ctx").alias("pos"), strip_space(F.col("title")).alias("title"),
-        abs_url(F.col("page_url"), F.col("url")).alias("url"), flag.alias("is_volume_text"),
-    )
+    return rows.select("book_id", "page", F.col("ctx").alias("pos"), "title", "url", flag.alias("is_volume_text"))
 
 
 def toc_warnings(pages: DataFrame, rows: DataFrame) -> DataFrame:
@@ -303,12 +250,11 @@ def clean_html(fragments: DataFrame, aliases: Callable[[], list[Column]] = list,
     ready = fragments.withColumn("text", apply_replace_rules(text_or_blank(F.col("text")), replace_rules))
     marked = ready.filter(F.col("text").rlike(HTML_MARK))
     plain = ready.filter(~F.col("text").rlike(HTML_MARK)).withColumn("lines", plain_lines(F.col("text")))
-    nodes = shred_table(marked)
-    found = dom.block_lines(nodes, dom.page_context(nodes))
-    found = found.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("l"))
-    rich = marked.join(found.select("page_id", F.transform("l", lambda x: x["line"]).alias("lines")), "page_id", "left")
-    both = plain.unionByName(rich.withColumn("lines", F.coalesce("lines", F.array().cast("array<string>"))))
-    return both.withColumn("content", clean_lines(F.col("lines"), aliases())).drop("lines", "text")
+    rich = dom.records(shred_table(marked), {"lines": ((), "lines")}, about=marked.drop("text"), one=True).drop("ctx")
+    # A fragment without an id has no nodes and so no lines.
+    lost = marked.filter("page_id is null").drop("text").withColumn("lines", F.array().cast("array<string>"))
+    both = plain.drop("text").unionByName(rich).unionByName(lost)
+    return both.withColumn("content", clean_lines(F.col("lines"), aliases())).drop("lines")
 
 
 def extract_content(
@@ -319,34 +265,25 @@ def extract_content(
     ``pages``: page_id, book_id, idx, page, final_url, chapter_title, book_name.
     """
     chapter = ["book_id", "idx"]
-    roots = dom.sel_path(nodes, dom.page_context(nodes), *content)
+    about = _about(pages, *chapter, "page", "chapter_title", "book_name")
+    titles = {} if title is None else {"title": title}
+    # The rules work on markup, so with them the chosen parts are written out and read again.
+    found = dom.records(nodes, {"found": (content, "html" if replace_rules else "lines"), **_reads(titles)}, about=about, one=True)
+    texts = _texts(titles, lambda n: F.col(f"`{n}`"), F.col("page_url")) if titles else {"title": F.lit("")}
+    rows = found.select("page_id", *about.columns[1:], texts["title"].alias("title"), "found")
     if replace_rules:
-        # The rules work on markup, so the chosen parts are written out and read again.
-        inner = dom.node_html(nodes, roots)
-        html = inner.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("pre", "value"))).alias("v"))
-        html = html.select("page_id", F.array_join(F.transform("v", lambda x: x["value"]), "\n").alias("text"))
-        html = html.withColumn("text", apply_replace_rules(F.col("text"), replace_rules))
-        again = shred_table(html)
-        lines = dom.block_lines(again, dom.page_context(again))
-    else:
-        lines = dom.block_lines(nodes, roots)
-    per_page = lines.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("pre", "line_no", "line"))).alias("l"))
-    about = pages.select("page_id", *chapter, "page", "final_url", "chapter_title", "book_name")
-    if title is not None:
-        titles = field_values(nodes, dom.page_context(nodes), {"title": title}, pages.select("page_id", F.col("final_url").alias("page_url")))
-        about = about.join(titles.select("page_id", "title"), "page_id", "left")
-    else:
-        about = about.withColumn("title", F.lit(""))
-    rows = about.join(per_page, "page_id", "left")
+        html = apply_replace_rules(F.array_join("found", "\n"), replace_rules)
+        parts = settle(rows.withColumn("text", html).drop("found"), "parts")
+        rows = dom.records(shred_table(parts), {"found": ((), "lines")}, about=parts.drop("text"), one=True)
     joined = rows.groupBy(*chapter).agg(
-        F.sort_array(F.collect_list(F.struct("page", "l"))).alias("ps"),
+        F.sort_array(F.collect_list(F.struct("page", "found"))).alias("ps"),
         F.count("*").cast("int").alias("pages"),
-        F.min_by("final_url", "page").alias("url"),
+        F.min_by("page_url", "page").alias("url"),
         F.min_by("chapter_title", "page").alias("chapter_title"),
         F.min_by("book_name", "page").alias("book_name"),
         F.coalesce(F.min_by("title", F.when(text_or_blank(F.col("title")) != "", F.col("page"))), F.lit("")).alias("title"),
     )
-    flat = F.flatten(F.transform("ps", lambda p: F.coalesce(F.transform(p["l"], lambda x: x["line"]), F.array().cast("array<string>"))))
+    flat = F.flatten(F.transform("ps", lambda p: p["found"]))
     text = clean_lines(flat, [F.col("chapter_title"), F.col("title"), F.col("book_name")])
     out = joined.withColumn("_found", F.size(flat) > 0).withColumn("content", text)
     return out.select(

@@ -1,8 +1,9 @@
 """Pages to node rows: the only step that reads markup.
 
 Each page becomes one row per node with its place in document order (``pre``), the end of
-its subtree (``last``), its parent and its ancestors. Selectors and text extraction then
-are joins and aggregates over these rows (see ``operators.dom``).
+its subtree (``last``), its parent, its depth and its place among its siblings. A node's
+ancestors are the nodes whose pre..last it lies in, so nothing grows with the depth.
+Selectors and text extraction are interval joins over these rows (see ``operators.dom``).
 """
 
 from __future__ import annotations
@@ -49,10 +50,8 @@ ENDED_BY = {
     "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"}, "tfoot": {"tbody"},
     "dt": {"dd"}, "dd": {"dt"}, "option": {"optgroup"},
 }
-# Elements nested deeper than this have no children: every node lists its ancestors, which grows with the depth squared.
-MAX_DEPTH = 5_000
-# Sizes of an Arrow batch: nodes, and entries of their ancestor lists.
-FLUSH_NODES, FLUSH_ANCESTORS = 50_000, 5_000_000
+# Nodes in an Arrow batch.
+FLUSH_NODES = 50_000
 
 TOKEN = re.compile(
     r"<!--(?P<comment>.*?)(?:-->|\Z)"
@@ -67,26 +66,26 @@ RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 
 
 # Places in a node row and in an entry of the open-element stack.
-PRE, LAST, PARENT, ANCESTORS = 1, 2, 3, 9
-S_PRE, S_TAG, S_ANC, S_HIDE, S_SKIP, S_COUNT, S_PREV = range(7)
+PRE, LAST, PARENT, TAG, N_ELEMS, TYPE_INDEX, N_TYPE = 1, 2, 3, 6, 14, 15, 16
+S_PRE, S_TAG, S_HIDE, S_SKIP, S_COUNT, S_PREV, S_TYPES = range(7)
 
 
 class _Page:
     """Collects the node rows of one page; a row holds the columns of ``NODES`` in order."""
 
-    def __init__(self, page_id: int, max_depth: int = MAX_DEPTH):
+    def __init__(self, page_id: int):
         self.page_id = page_id
-        self.max_depth = max_depth
         self.rows: list[list] = []
-        self.open: list[list] = [[0, "", [0], -1, -1, 0, None]]
+        self.open: list[list] = [[0, "", -1, -1, 0, None, {}]]
+        self.n_open: dict[str, int] = {}
         self.ended = False
 
     def add(self, kind: str, text: str, gap: bool | None = None) -> None:
         """A text or comment row."""
         top, pre = self.open[-1], len(self.rows) + 1
         self.rows.append(
-            [self.page_id, pre, pre, top[S_PRE], len(self.open), kind, None, None, text, top[S_ANC],
-             None, None, gap, top[S_HIDE], top[S_SKIP]]
+            [self.page_id, pre, pre, top[S_PRE], len(self.open), kind, None, None, text,
+             None, None, gap, top[S_HIDE], top[S_SKIP], None, None, None]
         )
 
     def text(self, raw: str, decode: bool = True) -> None:
@@ -114,27 +113,34 @@ class _Page:
         top, pre = self.open[-1], len(self.rows) + 1
         hide = pre if tag in HIDDEN else top[S_HIDE]
         skip = pre if tag in SKIPPED else top[S_SKIP]
+        same = top[S_TYPES][tag] = top[S_TYPES].get(tag, 0) + 1
+        # The counts of all siblings are filled in when the page is done.
         self.rows.append(
-            [self.page_id, pre, pre, top[S_PRE], len(self.open), "element", tag, list(seen.items()), None, top[S_ANC],
-             top[S_COUNT], top[S_PREV], None, hide, skip]
+            [self.page_id, pre, pre, top[S_PRE], len(self.open), "element", tag, list(seen.items()), None,
+             top[S_COUNT], top[S_PREV], None, hide, skip, top, same, None]
         )
         top[S_COUNT] += 1
         top[S_PREV] = pre
-        if not closed and len(self.open) < self.max_depth:
-            self.open.append([pre, tag, [*top[S_ANC], pre], hide, skip, 0, None])
-            return True
-        self.ended = True
-        return False
+        if closed:
+            self.ended = True
+            return False
+        self.open.append([pre, tag, hide, skip, 0, None, {}])
+        self.n_open[tag] = self.n_open.get(tag, 0) + 1
+        return True
 
     def pop(self, depth: int) -> None:
+        for entry in self.open[depth:]:
+            self.n_open[entry[S_TAG]] -= 1
         del self.open[depth:]
         self.ended = True
 
     def close(self, tag: str) -> None:
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.open[depth][S_TAG] == tag:
-                self.pop(depth)
-                return
+        if not self.n_open.get(tag):
+            return
+        depth = len(self.open) - 1
+        while self.open[depth][S_TAG] != tag:
+            depth -= 1
+        self.pop(depth)
 
     def finish(self) -> list[list]:
         rows = self.rows
@@ -143,11 +149,14 @@ class _Page:
                 parent = rows[row[PARENT] - 1]
                 if parent[LAST] < row[LAST]:
                     parent[LAST] = row[LAST]
+            if row[TAG] is not None:
+                siblings = row[N_ELEMS]
+                row[N_ELEMS], row[N_TYPE] = siblings[S_COUNT], siblings[S_TYPES][row[TAG]]
         return rows
 
 
-def page_nodes(page_id: int, html: str, max_depth: int = MAX_DEPTH) -> list[list]:
-    page, at = _Page(page_id, max_depth), 0
+def page_nodes(page_id: int, html: str) -> list[list]:
+    page, at = _Page(page_id), 0
     while m := TOKEN.search(html, at):
         if m.start() > at:
             page.text(html[at : m.start()])
@@ -178,10 +187,10 @@ def _arrow_schema() -> pa.Schema:
     return to_arrow_schema(NODES)
 
 
-def shred_html(pages: DataFrame, html: str = "text", max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Node rows of each page (page_id, html). One narrow stage, no shuffle.
+def shred_html(pages: DataFrame, html: str = "text") -> DataFrame:
+    """Node rows of each page (page_id, html). One narrow stage, no shuffle, and no bound on the depth.
 
-    Elements at ``max_depth`` take no children; what they hold goes to their parent.
+    Page ids are unique; a page without an id has no nodes.
     """
 
     def shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,16 +202,14 @@ def shred_html(pages: DataFrame, html: str = "text", max_depth: int = MAX_DEPTH)
             )
 
         rows: list[list] = []
-        listed = 0
         for batch in batches:
             for page_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                new = page_nodes(page_id, text or "", max_depth)
-                rows.extend(new)
-                listed += sum(len(r[ANCESTORS]) for r in new)
-                if len(rows) >= FLUSH_NODES or listed >= FLUSH_ANCESTORS:
+                rows.extend(page_nodes(page_id, text or ""))
+                if len(rows) >= FLUSH_NODES:
                     yield pack(rows)
-                    rows, listed = [], 0
+                    rows = []
         if rows:
             yield pack(rows)
 
-    return pages.select(F.col("page_id").cast("long"), F.col(html)).mapInArrow(shred, NODES)
+    ready = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col(html)).filter("page_id is not null")
+    return ready.mapInArrow(shred, NODES)

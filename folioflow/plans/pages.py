@@ -50,22 +50,20 @@ def nodes_of(spark, d):
     return extract.shred_table(load(spark, d, "page_rows").select("page_id", "text"))
 
 
-def whole(nodes, *steps):
-    return dom.sel_path(nodes, dom.page_context(nodes), *steps)
+def found(nodes, sep="\n", **fields):
+    """One text column per field: steps and what to take there."""
+    rows = dom.records(nodes, {n: (steps, take) for n, (*steps, take) in fields.items()})
+    return rows.select("page_id", *[F.array_join(n, sep).alias(n) for n in fields])
 
 
-def per_page(values, name="value", sep="\n"):
-    parts = F.sort_array(F.collect_list(F.struct("pre", "value")))
-    return values.groupBy("page_id").agg(F.array_join(F.transform(parts, lambda x: x["value"]), sep).alias(name))
+def counts(nodes, **sets):
+    """Sizes of several node sets per page."""
+    rows = dom.records(nodes, {n: (steps, "") for n, steps in sets.items()})
+    return rows.select("page_id", *[F.size(n).cast("long").alias(n) for n in sets])
 
 
-def counts(sets):
-    """Sizes of several node sets per page."""
-    rows = None
-    for name, s in sets.items():
-        part = s.select("page_id", F.lit(name).alias("s"))
-        rows = part if rows is None else rows.unionByName(part)
-    return rows.groupBy("page_id").agg(*[F.count_if(F.col("s") == n).alias(n) for n in sets])
+def inside(tag=None, cls=None):
+    return dom.inside(dom.match(tag, cls))
 
 
 def unescape_sql(x: str) -> str:
@@ -91,56 +89,44 @@ HREF = "regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)"
 @query("shred_html", f"select page_id, {n_sql('<p[ >]')} as p, {n_sql('<li[ >]')} as li, {n_sql('<a ')} as a, {n_sql('<br')} as br, {n_sql('<!--')} as notes, {text_sql(H1)} as h1 from pages")
 def shred_html(spark, d):
     nodes = nodes_of(spark, d)
-    sizes = nodes.groupBy("page_id").agg(
-        *[F.count_if(F.col("tag") == t).alias(t) for t in ("p", "li", "a", "br")], F.count_if(F.col("kind") == "comment").alias("notes")
-    )
-    return sizes.join(per_page(dom.node_text(nodes, whole(nodes, dom.inside(dom.match("h1")))), "h1"), "page_id")
+    tags = {t: (inside(t),) for t in ("p", "li", "a", "br")}
+    rows = dom.records(nodes, {**{n: (steps, "") for n, steps in tags.items()}, "h1": ((inside("h1"),), "text")})
+    notes = nodes.groupBy("page_id").agg(F.count_if(F.col("kind") == "comment").alias("notes"))
+    sizes = [F.size(t).cast("long").alias(t) for t in tags]
+    return rows.select("page_id", *sizes, F.array_join("h1", "\n").alias("h1")).join(notes, "page_id")
 
 
 @query("node_text", f"select page_id, {text_sql(H1)} as h1, {text_sql(FOOTER)} as footer from pages")
 def node_text(spark, d):
-    nodes = nodes_of(spark, d)
-    h1 = dom.node_text(nodes, whole(nodes, dom.inside(dom.match("h1"))))
-    footer = dom.node_text(nodes, whole(nodes, dom.inside(dom.match("footer"))))
-    return per_page(h1, "h1").join(per_page(footer, "footer"), "page_id")
+    return found(nodes_of(spark, d), h1=(inside("h1"), "text"), footer=(inside("footer"), "text"))
 
 
 @query("node_own_text", f"select page_id, {text_sql(FOOTER)} as footer, repeat('|', len({LI}) - 1) as li from pages")
 def node_own_text(spark, d):
     nodes = nodes_of(spark, d)
-    footer = dom.node_own_text(nodes, whole(nodes, dom.inside(dom.match("footer"))))
-    li = dom.node_own_text(nodes, whole(nodes, dom.inside(dom.match("li"))))
-    return per_page(footer, "footer").join(per_page(li, "li", "|"), "page_id")
+    rows = dom.records(nodes, {"footer": ((inside("footer"),), "own_text"), "li": ((inside("li"),), "own_text")})
+    return rows.select("page_id", F.array_join("footer", "\n").alias("footer"), F.array_join("li", "|").alias("li"))
 
 
 @query("node_text_lines", f"select page_id, {unescape_sql(f'array_to_string({LI}, chr(10))')} as menu from pages")
 def node_text_lines(spark, d):
-    nodes = nodes_of(spark, d)
-    return per_page(dom.node_text_lines(nodes, whole(nodes, dom.inside(dom.match("ul")))), "menu")
+    return found(nodes_of(spark, d), menu=(inside("ul"), "text_lines"))
 
 
 @query("node_attr", f"select page_id, {unescape_sql(f'array_to_string({HREF}, chr(10))')} as links from pages")
 def node_attr(spark, d):
-    nodes = nodes_of(spark, d)
-    return per_page(dom.node_attr(nodes, whole(nodes, dom.inside(dom.match("a"))), "href"), "links")
+    return found(nodes_of(spark, d), links=(inside("a"), "href"))
 
 
 @query("node_html", "select page_id, regexp_extract(html, '<nav>(.*?)</nav>', 1) as inner_html, regexp_extract(html, '<h1>.*?</h1>') as outer_html from pages")
 def node_html(spark, d):
-    nodes = nodes_of(spark, d)
-    inner = dom.node_html(nodes, whole(nodes, dom.inside(dom.match("nav"))))
-    outer = dom.node_html(nodes, whole(nodes, dom.inside(dom.match("h1"))), outer=True)
-    return per_page(inner, "inner_html").join(per_page(outer, "outer_html"), "page_id")
+    return found(nodes_of(spark, d), inner_html=(inside("nav"), "html"), outer_html=(inside("h1"), "outer_html"))
 
 
 @query("sel_simple", f"select page_id, {n_sql('<div class=.ad.>')} as ads, 1 as articles, {n_sql('<[a-z]')} as every from pages")
 def sel_simple(spark, d):
-    nodes = nodes_of(spark, d)
-    return counts({
-        "ads": dom.sel_simple(nodes, dom.match(cls="ad")),
-        "articles": dom.sel_simple(nodes, dom.match("article")),
-        "every": dom.sel_simple(nodes, dom.match("*")),
-    }).withColumn("articles", F.col("articles").cast("int"))
+    sizes = counts(nodes_of(spark, d), ads=(inside(cls="ad"),), articles=(inside("article"),), every=(inside("*"),))
+    return sizes.withColumn("articles", F.col("articles").cast("int"))
 
 
 @query("sel_attr", f"select page_id, len({HREF}) as has_href, len(list_filter({HREF}, lambda x: starts_with(x, '/t'))) as starts, len(list_filter({HREF}, lambda x: ends_with(x, 'e'))) as ends, len(list_filter({HREF}, lambda x: contains(x, 'an'))) as holds, len(list_filter({HREF}, lambda x: x <> '/the')) as differs, cast(0 as bigint) as empty_operand, {n_sql('<html lang=.')} as lang from pages")
@@ -150,29 +136,28 @@ def sel_attr(spark, d):
         "has_href": ("href",), "starts": ("href", "^=", "/t"), "ends": ("href", "$=", "e"), "holds": ("href", "*=", "an"),
         "differs": ("href", "!=", "/the"), "empty_operand": ("href", "*=", ""), "lang": ("lang",),
     }
-    return counts({
-        n: dom.sel_simple(nodes, dom.match("a" if t[0] == "href" else "html") & dom.attr_match(*t)) for n, t in tests.items()
+    return counts(nodes, **{
+        n: (dom.inside(dom.match("a" if t[0] == "href" else "html") & dom.attr_match(*t)),) for n, t in tests.items()
     })
 
 
 @query("sel_combinators", f"select page_id, {n_sql('<a ')} as inside_a, {n_sql('<li[ >]')} as child_li, {n_sql('<li[ >]')} - 1 as next_li, {n_sql('<li[ >]')} - 1 as later_li, {n_sql('<a ')} + 1 as either, cast(0 as bigint) as none from pages")
 def sel_combinators(spark, d):
-    nodes = nodes_of(spark, d)
     li = dom.match("li")
-    return counts({
-        "inside_a": whole(nodes, dom.inside(dom.match("nav")), dom.inside(li), dom.inside(dom.match("a"))),
-        "child_li": whole(nodes, dom.inside(dom.match("ul")), dom.child(li)),
-        "next_li": whole(nodes, dom.inside(li), dom.next_to(li)),
-        "later_li": whole(nodes, dom.inside(li), dom.later(li)),
-        "either": dom.sel_any(whole(nodes, dom.inside(dom.match("a"))), whole(nodes, dom.inside(dom.match("h1")))),
-        "none": whole(nodes, dom.inside(dom.match("nav")), dom.child(dom.match("a"))),
-    })
+    sizes = counts(
+        nodes_of(spark, d),
+        inside_a=(inside("nav"), dom.inside(li), inside("a")),
+        child_li=(inside("ul"), dom.child(li)),
+        next_li=(dom.inside(li), dom.next_to(li)),
+        later_li=(dom.inside(li), dom.later(li)),
+        either=(dom.inside(dom.match("a") | dom.match("h1")),),
+        none=(inside("nav"), dom.child(dom.match("a"))),
+    )
+    return sizes
 
 
 @query("sel_positional", f"select page_id, {unescape_sql(f'{LI}[1]')} as first_li, {unescape_sql(f'{LI}[-1]')} as last_li, {unescape_sql(f'array_to_string(list_filter({LI}, lambda x, i: i % 2 = 1), chr(10))')} as odd_li, {unescape_sql(f'array_to_string({LI}[3:], chr(10))')} as from_third, {unescape_sql(f'{LI}[-2]')} as second_back from pages")
 def sel_positional(spark, d):
-    nodes = nodes_of(spark, d)
-    li = dom.with_positions(dom.elements_of(nodes)).filter(dom.match("li"))
     place, back = F.col("elem_index") + 1, F.col("n_elems") - F.col("elem_index")
     tests = {
         "first_li": F.col("elem_index") == 0,
@@ -181,56 +166,39 @@ def sel_positional(spark, d):
         "from_third": dom.nth(place, 1, 3),
         "second_back": dom.nth(back, 0, 2),
     }
-    keep = F.filter(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()]), lambda x: x.isNotNull())
-    chosen = li.select("page_id", F.lit(0).alias("ctx"), "pre", F.explode(keep).alias("s"))
-    values = dom.node_text(nodes, chosen)
-    return values.groupBy("page_id").agg(*[
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("s") == n, F.struct("pre", "value")))), lambda x: x["value"]), "\n").alias(n)
-        for n in tests
-    ])
+    return found(nodes_of(spark, d), **{n: (dom.inside(dom.match("li") & t), "text") for n, t in tests.items()})
 
 
 @query("sel_set", f"select page_id, cast(1 as bigint) as eq1, cast(1 as bigint) as eq_last, least(2, len({LI})) as lt2, greatest(len({LI}) - 3, 0) as gt2, cast(ceil(len({LI}) / 2.0) as bigint) as even, len({LI}) // 2 as odd, len({LI}) - 1 as without_first from pages")
 def sel_set(spark, d):
-    nodes = nodes_of(spark, d)
-    li = whole(nodes, dom.inside(dom.match("li")))
     ops = {"eq1": ("eq", 1), "eq_last": ("eq", -1), "lt2": ("lt", 2), "gt2": ("gt", 2), "even": ("even",), "odd": ("odd",), "without_first": ("not_eq", 0)}
-    return counts({n: dom.sel_set(li, *op) for n, op in ops.items()})
+    return counts(nodes_of(spark, d), **{n: (inside("li"), dom.pick(*op)) for n, op in ops.items()})
 
 
 @query("sel_filters", f"select page_id, len({LI}) - 1 as not_first, cast(1 as bigint) as has_a, len(list_filter({LI}, lambda x: contains({unescape_sql('x')}, 'an'))) as holds, cast(1 as bigint) as root, {n_sql('<br')} + {n_sql('<meta')} as empty from pages")
 def sel_filters(spark, d):
-    nodes = nodes_of(spark, d)
-    li = whole(nodes, dom.inside(dom.match("li")))
-    leaf = dom.sel_any(*[whole(nodes, dom.inside(dom.match(t))) for t in ("br", "meta", "title")])
-    return counts({
-        "not_first": dom.sel_not(li, dom.sel_simple(nodes, dom.match("li") & (F.col("elem_index") == 0))),
-        "has_a": dom.sel_has(nodes, whole(nodes, dom.inside(dom.match("ul"))), dom.match("a")),
-        "holds": dom.sel_contains(nodes, li, "an"),
-        "root": dom.sel_simple(nodes, dom.is_root()),
-        "empty": dom.sel_empty(nodes, leaf),
-    })
+    leaf = dom.match("br") | dom.match("meta") | dom.match("title")
+    first = dom.inside(dom.match("li") & (F.col("elem_index") == 0))
+    return counts(
+        nodes_of(spark, d),
+        not_first=(inside("li"), dom.without(first)),
+        has_a=(inside("ul"), dom.has(dom.match("a"))),
+        holds=(inside("li"), dom.contains("an")),
+        root=(dom.inside(dom.is_root()),),
+        empty=(dom.inside(leaf), dom.empty()),
+    )
 
 
 @query("children_step", f"select page_id, {n_sql('<li[ >]')} as of_ul, cast(2 as bigint) as of_html from pages")
 def children_step(spark, d):
-    nodes = nodes_of(spark, d)
-    return counts({
-        "of_ul": dom.children_step(nodes, whole(nodes, dom.inside(dom.match("ul")))),
-        "of_html": dom.children_step(nodes, whole(nodes, dom.inside(dom.match("html")))),
-    })
+    every = dom.child(F.lit(True))
+    return counts(nodes_of(spark, d), of_ul=(inside("ul"), every), of_html=(inside("html"), every))
 
 
 @query("self_step", "select page_id, cast(1 as bigint) as with_self, cast(0 as bigint) as below from pages")
 def self_step(spark, d):
-    nodes = nodes_of(spark, d)
-    ul = whole(nodes, dom.inside(dom.match("ul")))
-    none = nodes.select("page_id").distinct().withColumn("s", F.lit("")).withColumn("pre", F.lit(0))
-    found = counts({
-        "with_self": dom.sel_path(nodes, ul, dom.self_inside(dom.match("ul"))),
-        "below": dom.sel_path(nodes, ul, dom.inside(dom.match("ul"))),
-    })
-    return none.select("page_id").join(found, "page_id", "left").fillna(0)
+    ul = dom.match("ul")
+    return counts(nodes_of(spark, d), with_self=(dom.inside(ul), dom.self_inside(ul)), below=(dom.inside(ul), dom.inside(ul)))
 
 
 BARE = unescape_sql("regexp_replace(l, '<[^>]+>', '', 'g')")
@@ -244,8 +212,7 @@ ARTICLE = {
 
 @query("block_lines", sql_for(extra=ARTICLE, body="select page_id, count(*) as line_count, md5(string_agg(s, chr(10) order by n)) as content from lines where s <> '' group by page_id"))
 def block_lines(spark, d):
-    nodes = nodes_of(spark, d)
-    lines = dom.block_lines(nodes, whole(nodes, dom.inside(dom.match("article"))))
+    lines = dom.block_lines(nodes_of(spark, d), steps=(inside("article"),))
     parts = F.sort_array(F.collect_list(F.struct("line_no", "line")))
     return lines.groupBy("page_id").agg(
         F.count("*").alias("line_count"), F.md5(F.array_join(F.transform(parts, lambda x: x["line"]), "\n")).alias("content")
@@ -287,10 +254,6 @@ def list_pages(spark, d):
     )
 
 
-def inside(tag=None, cls=None):
-    return dom.inside(dom.match(tag, cls))
-
-
 def list_spec():
     return extract.Spec(
         items=(inside("ul", "list"), inside("li", "item")),

@@ -30,5 +30,5 @@ LINEITEM = struct(
 # One row per node of a page; see operators.dom.
 NODES = struct(
     page_id=L, pre=I, last=I, parent=I, depth=I, kind=S, tag=S, attrs=T.MapType(S, S), text=S,
-    anc=T.ArrayType(I), elem_index=I, prev_elem=I, gap=B, hide=I, skip=I,
+    elem_index=I, prev_elem=I, gap=B, hide=I, skip=I, n_elems=I, type_index=I, n_type=I,
 )

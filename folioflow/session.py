@@ -15,9 +15,14 @@ REQUIRED = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",  # map_concat as a shallow object merge
 }
 
+# The folder of each local session that was started without one.
+_LOCAL_ROOTS: dict[str, str] = {}
 
-def build_session(app: str = "folioflow", master: str | None = None, partitions: int | None = None) -> SparkSession:
-    """A session with adaptive execution on; partition counts stay with the cluster unless given."""
+
+def build_session(
+    app: str = "folioflow", master: str | None = None, partitions: int | None = None, memory: str | None = None
+) -> SparkSession:
+    """A session with adaptive execution on; partition counts and memory stay with the cluster unless given."""
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
@@ -31,6 +36,8 @@ def build_session(app: str = "folioflow", master: str | None = None, partitions:
         builder = builder.config(key, value)
     if master:
         builder = builder.master(master)
+    if memory:
+        builder = builder.config("spark.driver.memory", memory)
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     return builder.getOrCreate()
@@ -51,14 +58,16 @@ def scratch_root(spark: SparkSession) -> str:
     that setting gets a folder of its own, because a machine-local folder does not
     survive the loss of an executor.
     """
+    local = spark.sparkContext.master.split("[")[0] == "local"
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not local:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="folioflow-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="folioflow-")
+    return _LOCAL_ROOTS[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -72,3 +81,21 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settle_by(df: DataFrame, label: str, key: str) -> DataFrame:
+    """Write a table in buckets of ``key`` to the shared folder and read it back.
+
+    Rows of a key stay together, so later joins, windows and aggregates on it need no exchange. ``df`` should be
+    distributed by ``repartition(n, key)`` into as many partitions as ``spark.sql.shuffle.partitions``, or come from
+    such a frame by narrow steps, so that each task writes one bucket.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"{label}_{uuid.uuid4().hex}"
+    writer = df.write.bucketBy(buckets, key).option("path", scratch_path(spark, label))
+    writer.saveAsTable(name)
+    out = spark.table(name)
+    # The frame knows files and buckets by now; the catalog need not keep the name.
+    spark.sql(f"drop table {name}")
+    return out

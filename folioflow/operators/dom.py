@@ -43,7 +43,8 @@ def attr(name: str) -> Column:
 
 
 def has_class(name: str) -> Column:
-    return F.array_contains(F.split(attr("class"), r"\s+"), name)
+    # Most elements fail the cheap first test.
+    return attr("class").contains(name) & F.array_contains(F.split(attr("class"), r"\s+"), name)
 
 
 def match(tag: str | None = None, cls: str | list[str] | None = None, id: str | None = None) -> Column:

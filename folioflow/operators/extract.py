@@ -248,7 +248,8 @@ def toc_warnings(pages: DataFrame, rows: DataFrame) -> DataFrame:
 def clean_html(fragments: DataFrame, aliases: Callable[[], list[Column]] = list, replace_rules: str = "") -> DataFrame:
     """Clean texts (page_id, text) with or without markup: page_id, content."""
     ready = fragments.withColumn("text", apply_replace_rules(text_or_blank(F.col("text")), replace_rules))
-    marked = ready.filter(F.col("text").rlike(HTML_MARK))
+    # Few fragments have markup; they are written once, because the rest of the work reads them more than once.
+    marked = settle(ready.filter(F.col("text").rlike(HTML_MARK)), "marked")
     plain = ready.filter(~F.col("text").rlike(HTML_MARK)).withColumn("lines", plain_lines(F.col("text")))
     rich = dom.records(shred_table(marked), {"lines": ((), "lines")}, about=marked.drop("text"), one=True).drop("ctx")
     # A fragment without an id has no nodes and so no lines.

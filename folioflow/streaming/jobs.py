@@ -9,21 +9,28 @@ Every job takes a ``path`` for its log and results: run again with the same path
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from typing import Any
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from folioflow.operators import alternatives as alt
 from folioflow.operators import merge, search
 from folioflow.operators.library import progress_state
 from folioflow.operators.numbering import previous
-from folioflow.streaming.runner import epochs, latest, run_each, run_to_table, table_path
+from folioflow.streaming.runner import latest, read_landed, run_each, run_to_table, table_path
+
+STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_search(hits: DataFrame, sources: DataFrame, query: str, path: str | None = None) -> DataFrame:
     """Merged entries so far, updated as hits land. ``sources`` is a table."""
     scored = search.with_score(search.union_hits(hits, sources), query)
     scored = scored.withColumn("score", F.round("score", 6))
-    return latest(run_to_table(merge.merge_hits_simple(scored), "update", "stream-search", path), ["merge_key"])
+    return latest(run_to_table(merge.merge_hits_simple(scored), "update", "stream-search", path, ["merge_key"]), ["merge_key"])
 
 
 def stream_health(runs: DataFrame, path: str | None = None) -> DataFrame:
@@ -31,19 +38,79 @@ def stream_health(runs: DataFrame, path: str | None = None) -> DataFrame:
     counts = runs.groupBy("batch_id").agg(
         F.count("*").alias("total"), F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("fail")
     )
-    return latest(run_to_table(counts, "update", "stream-health", path), ["batch_id"])
-
-
-def first_failures(runs: DataFrame, limit: int = 50) -> DataFrame:
-    """The first failures of each batch of checks in test order."""
-    w = Window.partitionBy("batch_id").orderBy("tested_at", "event_id")
-    failed = runs.filter(~F.col("ok"))
-    return failed.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit).drop("_rn")
+    return latest(run_to_table(counts, "update", "stream-health", path, ["batch_id"]), ["batch_id"])
 
 
 def stream_progress(events: DataFrame, path: str | None = None) -> DataFrame:
     """Reading state per book, updated as events land."""
-    return latest(run_to_table(progress_state(events), "update", "stream-progress", path), ["book_id"])
+    return latest(run_to_table(progress_state(events), "update", "stream-progress", path, ["book_id"]), ["book_id"])
+
+
+def _outcomes(responses: DataFrame, keys: list[str], label: str, path: str | None) -> DataFrame:
+    """The last outcome of every source that has responded: keys, source_id, ok, hit_count, error."""
+    last = F.max_by(F.struct("ok", "hit_count", "error"), F.struct("responded_at", "response_id"))
+    told = responses.groupBy(*keys, "source_id").agg(last.alias("r")).select(*keys, "source_id", "r.*")
+    by = [*keys, "source_id"]
+    return latest(run_to_table(told, "update", label, path, by), by)
+
+
+def stream_search_progress(responses: DataFrame, asked: DataFrame, path: str | None = None) -> DataFrame:
+    """Counters of running searches: search_id, total, done, succeeded, failed, hits.
+
+    ``responses``: search_id, source_id, ok, hit_count, error, responded_at, response_id, one row for each answer of a
+    source as it lands; of several the last one counts. ``asked``: a table of (search_id, source_id). A source that
+    failed counts as done, and its hits do not. State is one row for each source that has answered.
+    """
+    return _counted(_outcomes(responses, ["search_id"], "stream-search-progress", path), asked, "search_id", "done")
+
+
+def stream_alternatives_progress(responses: DataFrame, asked: DataFrame, path: str | None = None) -> DataFrame:
+    """Counters of running searches for alternatives: book_id, total, responded, succeeded, failed, hits; see above."""
+    return _counted(_outcomes(responses, ["book_id"], "stream-alternatives-progress", path), asked, "book_id", "responded")
+
+
+def _counted(told: DataFrame, asked: DataFrame, key: str, done: str) -> DataFrame:
+    rows = asked.select(key, "source_id").distinct().join(told, [key, "source_id"], "left")
+    return rows.groupBy(key).agg(
+        F.count("*").alias("total"),
+        F.count("ok").alias(done),
+        F.count_if("ok").alias("succeeded"),
+        F.count_if(~F.col("ok")).alias("failed"),
+        F.sum(F.when(F.col("ok"), F.col("hit_count")).otherwise(0)).cast("long").alias("hits"),
+    )
+
+
+CANDIDATE = "source_id long, book_url string, score int, source_name string"
+
+
+class BestOfBook(StatefulProcessor):
+    """Keeps the best ``limit`` candidates of a book, one for each source and link. Only books of the batch are touched."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.best = handle.getValueState("best", "kept array<struct<source_id: bigint, book_url: string, score: int, source_name: string>>")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer: Any) -> Iterator[pd.DataFrame]:
+        held = [tuple(c) for c in self.best.get()[0]] if self.best.exists() else []
+        found = {(c[0], c[1]): c for c in held}
+        for part in rows:
+            columns = (part["source_id"].tolist(), part["book_url"].tolist(), part["score"].tolist(), part["source_name"].tolist())
+            for c in zip(*columns):
+                old = found.get(c[:2])
+                # The higher score stays, and on ties the larger name, as in the batch operator.
+                if old is None or (c[2], c[3]) > (old[2], old[3]):
+                    found[c[:2]] = c
+        best = sorted(found.values(), key=lambda c: (-c[2], c[3], c[0], c[1]))[: self.limit]
+        self.best.update(([c for c in best],))
+        out = pd.DataFrame(best, columns=["source_id", "book_url", "score", "source_name"])
+        out.insert(0, "book_id", key[0])
+        out["rank"] = range(1, len(out) + 1)
+        yield out.astype({"score": "int32", "rank": "int32"})
+
+    def close(self) -> None:
+        pass
 
 
 def stream_alternatives(
@@ -51,59 +118,57 @@ def stream_alternatives(
 ) -> DataFrame:
     """Best alternatives per book, refined with every micro-batch of search results.
 
-    Each batch is matched on its own and merged with the best so far; a candidate that has
-    dropped out can only be followed by better ones, so keeping ``limit`` per book is exact.
+    Each batch is matched on its own and its candidates land as files; a second stream keeps the best ``limit`` of each book in
+    state by book and puts out the lists of the books it has touched, and no others. A candidate that has dropped out
+    can only be followed by better ones, so keeping ``limit`` per book is exact; one that lands twice counts once, so a
+    repeated batch changes nothing.
     """
     spark = books.sparkSession
-    schema = "book_id long, source_id long, book_url string, score int, source_name string, rank int"
-    start = spark.createDataFrame([], schema)
-    root = table_path(spark, "stream-alternatives", path, start)
+    columns = f"book_id long, {CANDIDATE}"
+    start = spark.createDataFrame([], columns)
+    landed = table_path(spark, "stream-candidates", f"{path}/candidates" if path else None, start)
 
     def step(batch: DataFrame, epoch: int) -> None:
-        old = spark.read.schema(start.schema).parquet(f"{root}/epoch={epoch - 1}").drop("rank")
-        new = alt.match_alternatives(books, batch, limit=limit).select(*old.columns)
-        keys = ("book_id", "source_id", "book_url")
-        both = alt.dedupe_candidates(old.unionByName(new), [F.col("source_name")], keys)
-        best = alt.top_alternatives(both, limit)
-        best.select(*start.columns).write.mode("overwrite").parquet(f"{root}/epoch={epoch}")
-
-    run_each(found, step, "append", "stream-alternatives", path)
-    table = epochs(spark, root, start.schema)
-    last = table.agg(F.max("epoch")).scalar()
-    return table.filter(F.col("epoch") == last).drop("epoch")
+        new = alt.match_alternatives(books, batch, limit=limit)
+        new.select(*start.columns).write.mode("overwrite").parquet(f"{landed}/epoch={epoch}")
+
+    run_each(found, step, "append", "stream-candidates", f"{path}/candidates" if path else None)
+    stream = read_landed(spark, f"{landed}/epoch=*", start.schema)
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        best = stream.groupBy("book_id").transformWithStateInPandas(
+            BestOfBook(limit), f"{columns}, rank int", outputMode="Update", timeMode="None"
+        )
+        table = run_to_table(best, "update", "stream-alternatives", path)
+    finally:
+        spark.conf.set(STORE, before)
+    newest = table.groupBy("book_id").agg(F.max("epoch").alias("epoch"))
+    return table.join(newest, ["book_id", "epoch"]).drop("epoch")
 
 
 def stream_heartbeat(ticks: DataFrame, block_seconds: int = 900, path: str | None = None) -> DataFrame:
-    """Reading seconds per book from ticks that land in time order.
+    """Reading seconds per book from ticks that land in any order.
 
-    The last tick and the sum of each book are carried from batch to batch as a table, one
-    version per batch, so a repeated batch starts from the same version.
+    State is the set of ticks of each block of a book's time, so a late tick splits the gap it falls into and a book with a third of
+    all ticks is spread over its blocks. A batch puts out the blocks it has touched; gaps inside blocks are counted from
+    their sets, those between blocks from their first and last ticks.
     """
-    spark = ticks.sparkSession
-    start = spark.createDataFrame([], "book_id long, last_ts timestamp_ntz, seconds long, ticks long")
-    root = table_path(spark, "stream-heartbeat", path, start)
-
-    def micros(c: str) -> Column:
-        return F.unix_micros(F.col(c).cast("timestamp"))
-
-    def step(batch: DataFrame, epoch: int) -> None:
-        old = spark.read.schema(start.schema).parquet(f"{root}/epoch={epoch - 1}")
-        carried = old.select("book_id", F.col("last_ts").alias("ts"), F.lit(True).alias("_old"))
-        rows = batch.select("book_id", "ts", F.lit(False).alias("_old")).unionByName(carried)
-        block = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / block_seconds)
-        rows = previous(rows, ["book_id"], block, "ts", "prev_ts").filter(~F.col("_old"))
-        delta = F.floor((micros("ts") - micros("prev_ts")) / 1_000_000 + 0.5)
-        added = rows.groupBy("book_id").agg(
-            F.max("ts").alias("last_ts"),
-            F.sum(F.when((delta > 0) & (delta < 600), delta).otherwise(0)).cast("long").alias("seconds"),
-            F.count("*").alias("ticks"),
-        )
-        total = old.unionByName(added).groupBy("book_id").agg(
-            F.max("last_ts").alias("last_ts"), F.sum("seconds").alias("seconds"), F.sum("ticks").alias("ticks")
-        )
-        total.write.mode("overwrite").parquet(f"{root}/epoch={epoch}")
-
-    run_each(ticks, step, "append", "stream-heartbeat", path)
-    table = epochs(spark, root, start.schema)
-    last = table.agg(F.max("epoch")).scalar()
-    return table.filter(F.col("epoch") == last).select("book_id", "seconds", "ticks")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    blocks = ticks.filter("ts is not null").groupBy("book_id", F.floor(micros / (block_seconds * 1_000_000)).alias("block")).agg(
+        F.array_sort(F.collect_set(micros)).alias("at"), F.count("*").alias("ticks")
+    )
+    by = ["book_id", "block"]
+    now = latest(run_to_table(blocks, "update", "stream-heartbeat", path, by), by)
+
+    def counted(gap):
+        seconds = F.floor(gap / 1_000_000 + 0.5)
+        return F.when((seconds > 0) & (seconds < 600), seconds).otherwise(0)
+
+    gaps = F.zip_with(F.slice("at", 2, F.size("at")), F.col("at"), lambda b, a: F.coalesce(counted(b - a), F.lit(0)))
+    inner = F.aggregate(gaps, F.lit(0).cast("long"), lambda s, g: s + g)
+    rows = now.select("book_id", "block", "ticks", inner.alias("inner"), F.get("at", F.lit(0)).alias("first"), F.element_at("at", -1).alias("last"))
+    # The last tick before a block is the last one of the block before it.
+    rows = previous(rows.withColumn("edge", F.struct("block", "last")), ["book_id"], F.floor(F.col("block") / 4096), "edge", "before")
+    between = F.coalesce(counted(F.col("first") - F.col("before.last")), F.lit(0))
+    return rows.groupBy("book_id").agg(F.sum(F.col("inner") + between).cast("long").alias("seconds"), F.sum("ticks").alias("ticks"))

@@ -436,40 +436,73 @@ def _pass(
     return rows.mapInArrow(run, schema)
 
 
+class Items(NamedTuple):
+    """List items of a page: one or several selectors, how their lists are combined, and whether the order is turned."""
+
+    parts: tuple[tuple[Step, ...], ...]
+    combine: str = "concat"  # one list after the other, weave (one of each in turn) or first (the first that is not empty)
+    reverse: bool = False
+
+
+def _listed(chunk: _Chunk, paths: list[list[tuple]], combine: str, reverse: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the items in list order, page by page, and their numbers in their page. An item found twice counts once."""
+    found = [chunk.follow(chunk.pages.roots(), path) for path in paths]
+    page = np.concatenate([s.ctx for s in found])
+    at = np.concatenate([s.at for s in found])
+    part = np.repeat(np.arange(len(found)), [len(s.at) for s in found])
+    rank = np.concatenate([s.sizes()[0] for s in found])
+    order = np.lexsort((part, rank, page) if combine == "weave" else (rank, part, page))
+    if combine == "first":
+        least = np.full(len(chunk.pages.first), len(found))
+        np.minimum.at(least, page, part)
+        order = order[part[order] == least[page[order]]]
+    _, firsts = np.unique(at[order], return_index=True)
+    order = order[np.sort(firsts)]
+    at, page = at[order], page[order]
+    number, size = NodeSet(page, at).sizes()
+    if reverse:
+        order = np.lexsort((-number, page))
+        at, page = at[order], page[order]
+        number, size = NodeSet(page, at).sizes()
+    return at, number
+
+
 def records(
-    nodes: DataFrame, fields: dict[str, tuple[tuple[Step, ...], str]], items: tuple[Step, ...] = (), about: DataFrame | None = None,
+    nodes: DataFrame, fields: dict[str, tuple[tuple[Step, ...], str]], items: tuple[Step, ...] | Items = (), about: DataFrame | None = None,
     one: bool = False, nested: bool = False, size: int = CHUNK,
 ) -> DataFrame:
-    """One row for each page, or for each list item: page_id, ctx, the columns of ``about``, and an array of texts for each field.
+    """One row for each page, or for each list item: page_id, ctx, pos, the columns of ``about``, and an array of texts for each field.
+
+    ``pos`` counts the items of a page in list order.
 
     A field is steps from the item (or page) and what to take there: text, own_text, text_lines, html, outer_html, lines, a blank
     for nothing but the count, or an attribute name. With ``one`` every page of ``about`` has one row: of its first item, or blank.
     With ``nested`` the items of a page are one row, an array ``items`` of structs of ctx and the fields.
     """
     plan = _Plan()
-    path = plan.steps(items)
+    listed = items if isinstance(items, Items) else Items((tuple(items),) if items else ())
+    paths, combine, reverse = [plan.steps(p) for p in listed.parts], listed.combine, listed.reverse
     reads = [(plan.steps(steps), *plan.take(take)) for steps, take in fields.values()]
     more = [] if about is None else [f for f in about.schema.fields if f.name != "page_id"]
     schema = T.StructType(
-        [T.StructField("page_id", T.LongType()), T.StructField("ctx", T.IntegerType()), *more]
+        [T.StructField("page_id", T.LongType()), T.StructField("ctx", T.IntegerType()), T.StructField("pos", T.IntegerType()), *more]
         + [T.StructField(n, T.ArrayType(T.StringType())) for n in fields]
     )
     if nested:
-        inner = T.StructType([schema["ctx"], *schema.fields[2 + len(more) :]])
+        inner = T.StructType([schema["ctx"], *schema.fields[3 + len(more) :]])
         schema = T.StructType([schema["page_id"], *more, T.StructField("items", T.ArrayType(inner))])
     names, parts = [f"about:{f.name}" for f in more], ["ctx", *fields]
 
     def solve(chunk: _Chunk) -> list:
         p = chunk.pages
-        start = p.roots()
-        if path:
-            start = chunk.follow(start, path)
-            if one:
-                start = picked(start, "first")
-            start = NodeSet(np.arange(len(start.at)), start.at)
+        start, number = p.roots(), np.zeros(len(p.first), np.int64)
+        if paths:
+            at, number = _listed(chunk, paths, combine, reverse)
+            at, number = (at[number == 0], number[number == 0]) if one else (at, number)
+            start = NodeSet(np.arange(len(at)), at)
         page = p.page_of(start.at)
         firsts = pa.array(p.first[page]) if len(page) else pa.array([], pa.int64())
-        columns: list = [chunk.page_ids(start.at), chunk.pre(start.at)]
+        columns: list = [chunk.page_ids(start.at), chunk.pre(start.at), number]
         columns += [chunk.table.column(n).combine_chunks().take(firsts) for n in names]
         for steps, take, bit in reads:
             s = chunk.follow(start, steps)
@@ -482,7 +515,7 @@ def records(
         if one:
             columns = _with_blanks(chunk, page, columns, names)
         if nested:
-            structs = pa.StructArray.from_arrays([pa.array(columns[1], pa.int32()), *columns[2 + len(names) :]], names=parts)
+            structs = pa.StructArray.from_arrays([pa.array(columns[1], pa.int32()), *columns[3 + len(names) :]], names=parts)
             offsets = np.searchsorted(page, np.arange(len(p.first) + 1))
             heads = [chunk.table.column(n).combine_chunks().take(pa.array(p.first)) for n in names]
             return [chunk.page_id[p.first], *heads, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs)]
@@ -498,7 +531,7 @@ def _with_blanks(chunk: _Chunk, page: np.ndarray, columns: list, names: list[str
     parts = [rows] if chunk.blank is None else [rows, chunk.blank.select(rows.column_names)]
     rows = pa.concat_tables(parts).combine_chunks()
     n = rows.num_rows
-    blanks = [rows.column("page_id"), pa.array([0] * n, pa.int64()), *[rows.column(c) for c in names]]
+    blanks = [rows.column("page_id"), pa.array([0] * n, pa.int64()), pa.array([0] * n, pa.int64()), *[rows.column(c) for c in names]]
     out = []
     for c, b in zip(columns, [*blanks, *[None] * len(columns)]):
         c = c if isinstance(c, pa.Array) else pa.array(c)

@@ -41,17 +41,20 @@ class Field:
     regexes: tuple[tuple[str, str], ...] = ()
     index: int | None = None
     otherwise: Field | None = None  # used where this one is blank
+    also: tuple[Field, ...] = ()  # further parts, whose values follow this one's
+    weave: bool = False  # one value of each part in turn instead
 
 
 @dataclass(frozen=True)
 class Spec:
     """Fields of a record, and the selector of the list items for list pages.
 
-    ``derived`` fields are computed from other fields after these are known.
+    ``derived`` fields are computed from other fields after these are known. ``items`` is one selector, or ``dom.Items`` for
+    several joined ones and for lists in descending order.
     """
 
     fields: dict[str, Field]
-    items: tuple[dom.Step, ...] = ()
+    items: tuple[dom.Step, ...] | dom.Items = ()
     derived: dict[str, Column] = field(default_factory=dict)
 
 
@@ -62,25 +65,23 @@ def shred_table(pages: DataFrame, html: str = "text") -> DataFrame:
     return settle_by(shred_html(ready, html), "nodes", "page_id")
 
 
-def _flatten(fields: dict[str, Field]) -> dict[str, Field]:
-    """Alternatives become fields of their own, numbered in order."""
-    out = {}
-    for name, f in fields.items():
-        i = 0
-        while f is not None:
-            out[f"{name}#{i}"] = f
-            f, i = f.otherwise, i + 1
+def _tries(name: str, f: Field | None) -> list[dict[str, Field]]:
+    """The alternatives of a field in order, each as its parts by the name of their column."""
+    out: list[dict[str, Field]] = []
+    while f is not None:
+        out.append({f"{name}#{len(out)}.{j}": part for j, part in enumerate((f, *f.also))})
+        f = f.otherwise
     return out
 
 
 def _reads(fields: dict[str, Field]) -> dict[str, tuple[tuple[dom.Step, ...], str]]:
     """What the pass over the nodes has to find and to take."""
-    flat = _flatten(fields)
+    flat = {n: f for name, first in fields.items() for parts in _tries(name, first) for n, f in parts.items()}
     return {n: (f.steps if f.index is None else (*f.steps, dom.pick("eq", f.index)), f.take) for n, f in flat.items()}
 
 
-def _value(f: Field, found: Column, page_url: Column) -> Column:
-    """The values of a field, in document order, as one text: replacements on each, links completed, blank ones left out."""
+def _values(f: Field, found: Column, page_url: Column) -> Column:
+    """The values of one part, in document order: replacements on each, links completed, blank ones left out."""
     link, attribute = f.take in URL_ATTRS, f.take not in READERS
 
     def complete(v: Column) -> Column:
@@ -92,13 +93,25 @@ def _value(f: Field, found: Column, page_url: Column) -> Column:
         return let(v, complete) if link else v
 
     values = F.transform(found, one) if attribute or f.regexes else found
-    return F.array_join(F.filter(values, lambda x: x != ""), "\n")
+    return F.filter(values, lambda x: x != "")
+
+
+def _woven(lists: Column) -> Column:
+    """One value of each list in turn, as long as any has one."""
+    longest = F.aggregate(lists, F.lit(0), lambda n, x: F.greatest(n, F.size(x)))
+    turns = F.transform(F.sequence(F.lit(0), longest), lambda i: F.array_compact(F.transform(lists, lambda x: F.get(x, i))))
+    return F.flatten(turns)
 
 
 def _texts(fields: dict[str, Field], found: Callable[[str], Column], page_url: Column) -> dict[str, Column]:
-    """Each field's text: its first alternative that is not blank."""
-    flat = _flatten(fields)
-    tries = {name: [_value(f, found(n), page_url) for n, f in flat.items() if n.rsplit("#", 1)[0] == name] for name in fields}
+    """Each field's text: its first alternative that is not blank, parts joined by line feeds."""
+
+    def text(parts: dict[str, Field]) -> Column:
+        lists = [_values(f, found(n), page_url) for n, f in parts.items()]
+        woven = next(iter(parts.values())).weave and len(lists) > 1
+        return F.array_join(let(F.array(*lists), _woven) if woven else F.concat(*lists) if len(lists) > 1 else lists[0], "\n")
+
+    tries = {name: [text(parts) for parts in _tries(name, f)] for name, f in fields.items()}
     # Each alternative stands in the expression once.
     return {name: F.coalesce(F.get(F.filter(F.array(*t), not_blank), F.lit(0)), F.lit("")) for name, t in tries.items()}
 
@@ -123,7 +136,8 @@ def _records(
             texts[n] = let(texts[n], f)
     # An array of one, taken apart again: what is built on a field refers to it and does not repeat its expression.
     record = F.explode(F.array(F.struct(*[c.alias(n) for n, c in texts.items()]))).alias("_r")
-    out = found.select("page_id", "ctx", *about.columns[1:], record).select("page_id", "ctx", *about.columns[1:], "_r.*")
+    rest = ["page_id", "ctx", "pos", *about.columns[1:]]
+    out = found.select(*rest, record).select(*rest, "_r.*")
     return out.withColumns(spec.derived) if spec.derived else out
 
 
@@ -136,7 +150,7 @@ def extract_hits(pages: DataFrame, nodes: DataFrame, spec: Spec, limit: int | No
     about = _about(pages, "source_id", "source_name")
     if "name" in spec.derived:
         named = _records(about, nodes, spec).filter(not_blank(F.col("name")))
-        named = named.withColumn("item_pos", F.row_number().over(Window.partitionBy("page_id").orderBy("ctx")))
+        named = named.withColumn("item_pos", F.row_number().over(Window.partitionBy("page_id").orderBy("pos")))
         named = named if limit is None else named.filter(F.col("item_pos") <= limit)
     else:
         found = dom.records(nodes, _reads(spec.fields), spec.items, about, nested=True)
@@ -154,7 +168,7 @@ def extract_hits(pages: DataFrame, nodes: DataFrame, spec: Spec, limit: int | No
     for name in HIT_FIELDS:
         if name not in named.columns:
             named = named.withColumn(name, F.lit(""))
-    return make_hit(named.drop("ctx"))
+    return make_hit(named.drop("ctx", "pos"))
 
 
 def extract_explore(pages: DataFrame, nodes: DataFrame, explore: Spec, search: Spec, limit: int = 30) -> DataFrame:
@@ -196,45 +210,69 @@ def extract_book(pages: DataFrame, nodes: DataFrame, spec: Spec) -> DataFrame:
     return rows.select("page_id", "source_id", "page_url", *[special.get(n, text(n)).alias(n) for n in BOOK_FIELDS])
 
 
-def follow_next(starts: DataFrame, links: DataFrame, max_pages: int, revisit_start: bool = False) -> DataFrame:
+def follow_next(starts: DataFrame, links: DataFrame, max_pages: int | None = None, revisit_start: bool = False) -> DataFrame:
     """Pages reached from each start (start_id, url): start_id, page_no, url.
 
-    ``links``: url, next_url. Ends on a blank, self or visited link. Each round is one join
-    on the url and is written to the shared folder; there are at most ``max_pages`` rounds.
+    ``links``: url, next_url; of several the smallest counts. Ends on a blank, self or visited link; with ``revisit_start`` a chain may
+    pass its start once more. Pointers are doubled: round k knows where 2^k links lead, and with it the first 2^k pages of a
+    chain give the next 2^k. A chain is done when it has ended or a page appears in it twice, which cuts it there; so
+    there are about log2 of the longest chain's pages rounds, and no row carries the pages it has seen.
     """
-    seen = F.array().cast("array<string>") if revisit_start else F.array("url")
-    front = settle(starts.select("start_id", F.lit(1).alias("page_no"), "url", seen.alias("seen")), "follow")
-    rounds = [front]
-    nexts = links.filter(text_or_blank(F.col("next_url")) != "").select("url", "next_url")
-    for n in range(2, max_pages + 1):
-        step = front.join(nexts, "url").filter(
-            (F.col("next_url") != F.col("url")) & ~F.array_contains("seen", F.col("next_url"))
-        )
-        front = settle(
-            step.select(
-                "start_id", F.lit(n).alias("page_no"), F.col("next_url").alias("url"),
-                F.array_append("seen", F.col("next_url")).alias("seen"),
-            ),
-            "follow",
-        )
+    named = (text_or_blank(F.col("next_url")) != "") & (F.col("next_url") != F.col("url"))
+    jumps = settle(links.filter(named).groupBy("url").agg(F.min("next_url").alias("next_url")), "jumps")
+    front = settle(starts.select("start_id", F.lit(1).alias("page_no"), "url"), "follow")
+    span, done = 1, []
+    while True:
+        more = front.join(jumps, "url").select("start_id", (F.col("page_no") + span).alias("page_no"), F.col("next_url").alias("url"))
+        both = settle(front.unionByName(more), "follow")
+        span *= 2
+        counted = both.filter("page_no > 1") if revisit_start else both
+        nth = F.row_number().over(Window.partitionBy("start_id", "url").orderBy("page_no"))
+        again = counted.withColumn("_n", nth).filter("_n = 2").groupBy("start_id").agg(F.min("page_no").alias("_cut"))
+        tops = both.groupBy("start_id").agg(F.max("page_no").alias("_top")).join(again, "start_id", "left")
+        full = F.lit(False) if max_pages is None else F.lit(span >= max_pages)
+        ended = settle(tops.filter(F.col("_cut").isNotNull() | (F.col("_top") < span) | full), "ended")
+        kept = both.join(ended, "start_id").filter(F.col("_cut").isNull() | (F.col("page_no") < F.col("_cut")))
+        done.append(kept.drop("_cut", "_top"))
+        front = settle(both.join(ended, "start_id", "left_anti"), "follow")
         if front.isEmpty():
             break
-        rounds.append(front)
-    return reduce(DataFrame.unionByName, rounds).drop("seen")
+        ahead = jumps.select(F.col("url").alias("next_url"), F.col("next_url").alias("_far"))
+        jumps = settle(jumps.join(ahead, "next_url").select("url", F.col("_far").alias("next_url")), "jumps")
+    out = reduce(DataFrame.unionByName, done)
+    return out if max_pages is None else out.filter(F.col("page_no") <= max_pages)
 
 
-def extract_toc(pages: DataFrame, nodes: DataFrame, spec: Spec) -> DataFrame:
+def extract_toc(
+    pages: DataFrame, nodes: DataFrame, spec: Spec, starts: DataFrame | None = None, next_link: Field | None = None, max_pages: int | None = None
+) -> DataFrame:
     """Chapter rows of contents pages, in page order.
 
     ``pages``: page_id, book_id, page, final_url. Fields: title, url, and optionally
-    is_volume_text. Feed the result to ``dedupe_chapters`` and ``number_chapters``.
+    is_volume_text. Feed the result to ``dedupe_chapters`` and ``number_chapters``. A list in descending order has
+    ``dom.Items`` with ``reverse``; several of its pages then follow each other from the last to the first.
+
+    With ``starts`` (book_id, url) and ``next_link`` the pages of a book are those that its first page leads to, and numbered
+    in that order; ``pages`` then need no book_id and page.
     """
     whole = {"title": strip_space, "url": lambda v: abs_url(F.col("page_url"), v)}
     plain = {n: f for n, f in whole.items() if n not in spec.derived}
-    rows = _records(_about(pages, "book_id", "page"), nodes, spec, finish=plain)
+    rows = _records(_about(pages, *[c for c in ("book_id", "page") if c in pages.columns]), nodes, spec, finish=plain)
     rows = rows.withColumns({n: f(F.col(n)) for n, f in whole.items() if n in spec.derived})
     flag = F.col("is_volume_text") if "is_volume_text" in rows.columns else F.lit("")
-    return rows.select("book_id", "page", F.col("ctx").alias("pos"), "title", "url", flag.alias("is_volume_text"))
+    turned = isinstance(spec.items, dom.Items) and spec.items.reverse
+    if starts is not None and next_link is not None:
+        order = follow_next(starts.select(F.col("book_id").alias("start_id"), "url"), next_links(pages, nodes, next_link), max_pages)
+        order = order.select(F.col("start_id").alias("book_id"), F.col("page_no").alias("page"), F.col("url").alias("page_url"))
+        rows = rows.drop("book_id", "page").join(order, "page_url")
+    page = -F.col("page") if turned else F.col("page")
+    return rows.select("book_id", page.alias("page"), "pos", "title", "url", flag.alias("is_volume_text"))
+
+
+def next_links(pages: DataFrame, nodes: DataFrame, link: Field) -> DataFrame:
+    """The next page that each page names (url, next_url), where it names one."""
+    rows = _records(_about(pages), nodes, Spec({"next_url": link}))
+    return rows.select(F.col("page_url").alias("url"), "next_url").filter("next_url <> ''")
 
 
 def toc_warnings(pages: DataFrame, rows: DataFrame) -> DataFrame:

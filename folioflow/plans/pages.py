@@ -12,6 +12,7 @@ from folioflow.plans.library import DEDUPED, toc_rows
 from folioflow.plans.registry import query
 from folioflow.plans.views import load, sql_for
 from folioflow.schemas import RAW_PAGES
+from folioflow.session import settle
 from folioflow.sources import landing
 
 # Landing ----------------------------------------------------------------------------
@@ -331,26 +332,66 @@ def extract_book(spark, d):
     return out.select("page_id", "name", "author", "intro", "cover", "toc_url", "status")
 
 
-@query("extract_toc", sql_for("hits", extra=DEDUPED, body="select book_id, cast(row_number() over (partition by book_id order by page, pos) - 1 as int) as idx, title, case when url = '' then '' else concat('https://t.example.com', url) end as url, is_volume from kept"))
+TOC_SQL = "select book_id, cast(row_number() over (partition by book_id order by page, pos) - 1 as int) as idx, title, case when url = '' then '' else concat('https://t.example.com', url) end as url, is_volume from kept"
+TOC_ROW = """concat('<dd data-v="', is_volume_text, '"><a href="', url, '">', title, '</a></dd>')"""
+
+
+def toc_fields():
+    return {
+        "title": extract.Field((inside("a"),)),
+        "url": extract.Field((inside("a"),), "href"),
+        "is_volume_text": extract.Field((dom.self_inside(dom.match("dd")),), "data-v"),
+    }
+
+
+def numbered(found):
+    return lib.number_chapters(lib.dedupe_chapters(found)).select("book_id", "idx", "title", "url", "is_volume")
+
+
+@query("extract_toc", sql_for("hits", extra=DEDUPED, body=TOC_SQL))
 def extract_toc(spark, d):
     rows = toc_rows(spark, d)
-    row = F.concat(F.lit('<dd data-v="'), "is_volume_text", F.lit('"><a href="'), "url", F.lit('">'), "title", F.lit("</a></dd>"))
-    pages = rows.groupBy("book_id", "page").agg(F.sort_array(F.collect_list(F.struct("pos", row.alias("h")))).alias("r"))
+    pages = rows.groupBy("book_id", "page").agg(F.sort_array(F.collect_list(F.struct("pos", F.expr(TOC_ROW).alias("h")))).alias("r"))
     pages = pages.select(
         (F.col("book_id") * 1_000_000 + F.col("page")).alias("page_id"), "book_id", "page",
         F.lit("https://t.example.com/toc.html").alias("final_url"),
         F.concat(F.lit("<dl>"), F.array_join(F.transform("r", lambda x: x["h"]), ""), F.lit("</dl>")).alias("text"),
     )
-    spec = extract.Spec(
-        items=(inside("dl"), inside("dd")),
-        fields={
-            "title": extract.Field((inside("a"),)),
-            "url": extract.Field((inside("a"),), "href"),
-            "is_volume_text": extract.Field((dom.self_inside(dom.match("dd")),), "data-v"),
-        },
+    spec = extract.Spec(items=(inside("dl"), inside("dd")), fields=toc_fields())
+    return numbered(extract.extract_toc(pages, extract.shred_table(pages), spec))
+
+
+@query("toc_descending", sql_for("hits", extra=DEDUPED, body=TOC_SQL))
+def toc_descending(spark, d):
+    """The newest chapters come first, in two lists that take turns, and each page links to the one before it."""
+    rows = toc_rows(spark, d).withColumn("h", F.expr(TOC_ROW))
+    sides = [F.sort_array(F.collect_list(F.when(F.col("pos") % 2 == k, F.struct("pos", "h")))) for k in (1, 0)]
+    pages = rows.groupBy("book_id", "page").agg(sides[0].alias("odd"), sides[1].alias("even"), F.max("pos").alias("top"))
+    pages = settle(pages, "toc-pages")
+    before = pages.alias("p").join(pages.select("book_id", F.col("page").alias("lower")).alias("q"), "book_id").filter("lower < page")
+    before = before.groupBy("book_id", "page").agg(F.max("lower").alias("lower"))
+    linked = pages.join(before, ["book_id", "page"], "left")
+
+    def address(page):
+        return F.concat(F.lit("/"), F.col("book_id").cast("string"), F.lit("/"), page.cast("string"), F.lit(".html"))
+
+    def listed(side):
+        return F.array_join(F.transform(F.reverse(side), lambda x: x["h"]), "")
+
+    # The chapter with the highest place is the first of the page, so it starts the two lists that take turns.
+    left, right = F.when(F.col("top") % 2 == 1, listed("odd")).otherwise(listed("even")), F.when(F.col("top") % 2 == 1, listed("even")).otherwise(listed("odd"))
+    more = F.coalesce(F.concat(F.lit('<a class=next href="'), address(F.col("lower")), F.lit('">more</a>')), F.lit(""))
+    site = F.lit("https://t.example.com")
+    pages = linked.select(
+        (F.col("book_id") * 1_000_000 + F.col("page")).alias("page_id"), F.concat(site, address(F.col("page"))).alias("final_url"),
+        F.concat(F.lit("<dl class=a>"), left, F.lit("</dl><dl class=b>"), right, F.lit("</dl>"), more).alias("text"),
     )
-    found = extract.extract_toc(pages, extract.shred_table(pages), spec)
-    return lib.number_chapters(lib.dedupe_chapters(found)).select("book_id", "idx", "title", "url", "is_volume")
+    starts = linked.groupBy("book_id").agg(F.max("page").alias("page")).select("book_id", F.concat(site, address(F.col("page"))).alias("url"))
+    pages = settle(pages, "toc-pages")
+    lists = dom.Items(((inside("dl", "a"), inside("dd")), (inside("dl", "b"), inside("dd"))), "weave", reverse=True)
+    spec = extract.Spec(items=lists, fields=toc_fields())
+    link = extract.Field((inside("a", "next"),), "href", index=0)
+    return numbered(extract.extract_toc(pages, extract.shred_table(pages), spec, starts, link))
 
 
 @query("var_fields", sql_for("hits", body="select source_id, item_pos, concat('/read', book_url) as book_url, name from hits"))

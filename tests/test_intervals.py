@@ -212,3 +212,62 @@ def test_very_deep_pages(spark):
 def test_sibling_counts():
     rows = {r[1]: r for r in page_nodes(1, "<ul><li>a</li>t<b></b><li>c</li></ul><p>")}
     assert [(r[9], *r[14:17]) for r in rows.values() if r[6]] == [(0, 2, 1, 1), (0, 3, 1, 2), (1, 3, 1, 1), (2, 3, 2, 2), (1, 2, 1, 1)]
+
+
+def chain_of(start, link, limit, revisit):
+    out, seen, url = [start], set() if revisit else {start}, start
+    while len(out) < limit and (n := link.get(url)) and n != url and n not in seen:
+        out.append(n)
+        seen.add(n)
+        url = n
+    return out
+
+
+@pytest.mark.parametrize("limit, revisit", [(None, False), (None, True), (1, False), (7, False), (8, True)])
+def test_chains_by_doubling(spark, limit, revisit):
+    """Lines, loops, loops with a tail, self links and blanks against a walk."""
+    rng = random.Random(7)
+    link = {f"u{k}": f"u{k + 1}" for k in range(37)} | {f"r{k}": f"r{rng.randrange(40)}" for k in range(40)} | {"s": "s", "b": "", "t": "r1"}
+    starts = [(k, u) for k, u in enumerate([*rng.sample(sorted(link), 30), "u0", "s", "b", "t", "unknown"])]
+    links = spark.createDataFrame([*link.items(), ("t", None), ("u3", "u4")], "url string, next_url string")
+    got = extract.follow_next(spark.createDataFrame(starts, "start_id long, url string"), links, limit, revisit).collect()
+    want = {(k, n, u) for k, start in starts for n, u in enumerate(chain_of(start, link, limit or 10**9, revisit), 1)}
+    assert {(r.start_id, r.page_no, r.url) for r in got} == want and len(got) == len(want)
+
+
+def test_long_chain_in_few_rounds(spark, monkeypatch):
+    links = spark.range(10_000).selectExpr("concat('p', id) as url", "concat('p', id + 1) as next_url").filter("url <> 'p9999'")
+    starts = spark.createDataFrame([(1, "p0"), (2, "p9990")], "start_id long, url string")
+    rounds = []
+    plain = extract.settle
+    monkeypatch.setattr(extract, "settle", lambda df, label: rounds.append(label) or plain(df, label))
+    got = {r[0]: (r[1], r[2]) for r in extract.follow_next(starts, links).groupBy("start_id").agg(F.count("*"), F.max("page_no")).collect()}
+    assert got == {1: (10_000, 10_000), 2: (10, 10)}
+    assert rounds.count("jumps") < 20
+
+
+def test_joined_and_turned_lists(spark):
+    html = [
+        "<ul class=a><li>1</li><li>3</li><li>5</li></ul><ul class=b><li>2</li><li>4</li></ul>",
+        "<ul class=b><li>7</li></ul>",
+        "<p>none",
+    ]
+    pages = spark.createDataFrame([(k, k, 1, f"https://t.test/{k}", h) for k, h in enumerate(html)], "page_id long, book_id long, page int, final_url string, text string")
+    nodes = extract.shred_table(pages)
+    lists = tuple((dom.inside(dom.match("ul", c)), dom.inside(dom.match("li"))) for c in "ab")
+    fields = {"title": extract.Field((), "text"), "url": extract.Field((), "text")}
+    every = (dom.inside(dom.match("li")),)
+
+    def titles(items):
+        rows = extract.extract_toc(pages, nodes, extract.Spec(fields, items)).orderBy("book_id", "pos").collect()
+        return ["".join(r.title for r in rows if r.book_id == b) for b in range(3)]
+
+    assert titles(dom.Items(lists)) == ["13524", "7", ""]
+    assert titles(dom.Items(lists, "weave")) == ["12345", "7", ""]
+    assert titles(dom.Items(lists, "weave", reverse=True)) == ["54321", "7", ""]
+    assert titles(dom.Items(lists, "first")) == ["135", "7", ""]
+    assert titles(dom.Items((every, *lists), reverse=True)) == ["42531", "7", ""]
+    a, b = (extract.Field(p) for p in lists)
+    both = {"row": extract.Field(a.steps, also=(b,)), "turn": extract.Field(a.steps, also=(b,), weave=True, regexes=(("^", "x"),))}
+    rows = {r.page_id: (r.row, r.turn) for r in extract._records(extract._about(pages), nodes, extract.Spec(both)).collect()}
+    assert rows == {0: ("1\n3\n5\n2\n4", "x1\n2\nx3\n4\nx5"), 1: ("7", "7"), 2: ("", "")}

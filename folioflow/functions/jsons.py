@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Callable, Iterator
+from json.decoder import scanstring
 
 import pandas as pd
 from pyspark.sql import Column
@@ -156,11 +159,108 @@ def exists(node: Column, name: str) -> Column:
     return ~text.isin("", "null", "false", "0", '""', "[]")
 
 
+_BLANK = re.compile(r"[ \t\n\r]*")
+_NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(\.\d+)?([eE][-+]?\d+)?")
+_WORDS = {"null": None, "true": True, "false": False, "NaN": math.nan, "Infinity": math.inf, "-Infinity": -math.inf}
+
+
+def parse_deep(text: str) -> object:
+    """A JSON text of any depth: open containers stand on a list, so nothing recurses. As ``json.loads`` otherwise."""
+
+    def fail(at: int) -> ValueError:
+        return ValueError(f"no JSON at {at}")
+
+    def blank(at: int) -> int:
+        return _BLANK.match(text, at).end()
+
+    def scalar(at: int) -> tuple[object, int]:
+        if text[at : at + 1] == '"':
+            return scanstring(text, at + 1, True)
+        for word, value in _WORDS.items():
+            if text.startswith(word, at):
+                return value, at + len(word)
+        m = _NUMBER.match(text, at)
+        if not m:
+            raise fail(at)
+        return (float(m[0]) if m[1] or m[2] else int(m[0])), m.end()
+
+    def key(at: int) -> tuple[str, int]:
+        at = blank(at)
+        if text[at : at + 1] != '"':
+            raise fail(at)
+        name, at = scanstring(text, at + 1, True)
+        at = blank(at)
+        if text[at : at + 1] != ":":
+            raise fail(at)
+        return name, blank(at + 1)
+
+    open_: list[tuple[object, str | None]] = []  # containers and the member being read
+    name: str | None = None
+    at = blank(0)
+    while True:
+        first = text[at : at + 1]
+        if first in ("{", "["):
+            new: object = {} if first == "{" else []
+            inner = blank(at + 1)
+            if text[inner : inner + 1] != "}]"[first == "["]:
+                open_.append((new, name))
+                name, at = key(inner) if first == "{" else (None, inner)
+                continue
+            value, at = new, inner + 1
+        else:
+            value, at = scalar(at)
+        # Put the value where it belongs, and close what ends here.
+        while open_:
+            holder, outer = open_[-1]
+            if isinstance(holder, dict):
+                holder[name] = value
+            else:
+                holder.append(value)
+            at = blank(at)
+            mark = text[at : at + 1]
+            if mark == ",":
+                name, at = key(at + 1) if isinstance(holder, dict) else (None, blank(at + 1))
+                break
+            if mark != ("}" if isinstance(holder, dict) else "]"):
+                raise fail(at)
+            open_.pop()
+            value, name, at = holder, outer, at + 1
+        else:
+            if blank(at) != len(text):
+                raise fail(at)
+            return value
+
+
+def dump_deep(value: object) -> str:
+    """The text of a JSON value of any depth, as ``json.dumps`` with plain characters writes it."""
+    out: list[str] = []
+    todo: list[object] = [iter([("", value)])]
+    ends: list[str] = [""]
+    while todo:
+        head, item = next(todo[-1], (None, None))
+        if head is None:
+            todo.pop()
+            out.append(ends.pop())
+            continue
+        out.append(head)
+        if isinstance(item, dict):
+            out.append("{")
+            todo.append((f"{', ' if i else ''}{json.dumps(k, ensure_ascii=False)}: ", v) for i, (k, v) in enumerate(item.items()))
+            ends.append("}")
+        elif isinstance(item, list):
+            out.append("[")
+            todo.append((", " if i else "", v) for i, v in enumerate(item))
+            ends.append("]")
+        else:
+            out.append(json.dumps(item, ensure_ascii=False))
+    return "".join(out)
+
+
 def json_recursive(c: Column, name: str) -> Column:
     """Values of every member called ``name`` at any depth, in document order, as JSON texts.
 
-    Column expressions cannot recurse, so each Arrow batch goes through a short descent. Texts that cannot be parsed,
-    also those nested too deep for the parser, give an empty list.
+    Column expressions cannot recurse, so each Arrow batch goes through a short descent, which keeps its own stack: texts
+    nested deeper than the interpreter can recurse are read and written the same. Texts that are no JSON give an empty list.
     """
 
     def descend(value: object) -> Iterator[object]:
@@ -177,12 +277,24 @@ def json_recursive(c: Column, name: str) -> Column:
             elif isinstance(item, list):
                 stack.append(iter([(None, x) for x in item]))
 
+    def read(text: str) -> object:
+        try:
+            return json.loads(text)
+        except RecursionError:
+            return parse_deep(text)
+
+    def write(value: object) -> str:
+        try:
+            return json.dumps(value, ensure_ascii=False)
+        except RecursionError:
+            return dump_deep(value)
+
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def collect(texts: pd.Series) -> pd.Series:
         def one(text: str | None) -> list[str]:
             try:
-                return [json.dumps(v, ensure_ascii=False) for v in descend(json.loads(text or "null"))]
-            except (ValueError, RecursionError):
+                return [write(v) for v in descend(read(text or "null"))]
+            except ValueError:
                 return []
 
         return texts.map(one)

@@ -289,7 +289,7 @@ def clean_html(fragments: DataFrame, aliases: Callable[[], list[Column]] = list,
     # Few fragments have markup; they are written once, because the rest of the work reads them more than once.
     marked = settle(ready.filter(F.col("text").rlike(HTML_MARK)), "marked")
     plain = ready.filter(~F.col("text").rlike(HTML_MARK)).withColumn("lines", plain_lines(F.col("text")))
-    rich = dom.records(shred_table(marked), {"lines": ((), "lines")}, about=marked.drop("text"), one=True).drop("ctx")
+    rich = dom.records(shred_table(marked), {"lines": ((), "lines")}, about=marked.drop("text"), one=True).drop("ctx", "pos")
     # A fragment without an id has no nodes and so no lines.
     lost = marked.filter("page_id is null").drop("text").withColumn("lines", F.array().cast("array<string>"))
     both = plain.drop("text").unionByName(rich).unionByName(lost)

@@ -1,8 +1,9 @@
 """Row numbers and previous rows inside groups of any size.
 
-A plain window sends a whole group to one task. Here a group is cut into blocks of its
-order column first; blocks are counted, the counts are added up, and only then rows are
-numbered inside their block. A group that holds a third of the table is spread like the rest.
+A plain window sends a whole group to one task. Row numbers come from one sort by ranges instead: the ranges are of
+about equal size whatever the groups are, rows are counted by group and range, and the counts of the ranges before
+are added. Previous rows are carried over blocks of the order column. A group that holds a third of the table is
+spread like the rest.
 """
 
 from __future__ import annotations
@@ -10,41 +11,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FAN = 65536
-
+from folioflow.session import settle
 
-def _offsets(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows before each block, added up over two levels so that no window sees more than FAN blocks."""
-    upper = counts.withColumn("_b1", F.floor(F.col("_b0") / FAN))
-    inner = Window.partitionBy(*keys, "_b1").orderBy("_b0").rowsBetween(Window.unboundedPreceding, -1)
-    outer = Window.orderBy("_b1") if not keys else Window.partitionBy(*keys).orderBy("_b1")
-    outer = outer.rowsBetween(Window.unboundedPreceding, -1)
-    tops = (
-        upper.groupBy(*keys, "_b1")
-        .agg(F.sum("_n").alias("_n1"))
-        .withColumn("_before1", F.coalesce(F.sum("_n1").over(outer), F.lit(0)))
-    )
-    return (
-        upper.withColumn("_before0", F.coalesce(F.sum("_n").over(inner), F.lit(0)))
-        .join(tops.drop("_n1"), [*keys, "_b1"])
-        .select(*keys, "_b0", (F.col("_before0") + F.col("_before1")).alias("_before"))
-    )
+FAN = 65536
+# Bits of a row's number inside its partition, as Spark numbers rows.
+PLACE = 33
 
 
 def ordinal(df: DataFrame, keys: list[str], block: Column, order: list[Column], out: str = "rn") -> DataFrame:
-    """Number the rows of each group from 1 in the given order.
+    """Number the rows of each group from 1 in the given order; the input is evaluated once.
 
-    ``block`` is a whole number that does not decrease along the order.
+    ``block`` is a whole number that does not decrease along the order; it sorts first. Rows that are equal in everything are
+    told apart by where they lie, so even they are spread over the ranges. Null keys are groups like any other.
     """
-    cut = df.withColumn("_b0", block.cast("long"))
-    counts = cut.groupBy(*keys, "_b0").agg(F.count("*").alias("_n"))
-    local = F.row_number().over(Window.partitionBy(*keys, "_b0").orderBy(*order))
-    return (
-        cut.withColumn("_local", local)
-        .join(_offsets(counts, keys), [*keys, "_b0"])
-        .withColumn(out, F.col("_before") + F.col("_local"))
-        .drop("_b0", "_local", "_before")
-    )
+    spark = df.sparkSession
+    rows = settle(df.withColumn("_b0", block.cast("long")), "to-number").withColumn("_row", F.monotonically_increasing_id())
+    by = [*[F.asc(k) for k in keys], F.asc("_b0"), *order, F.asc("_row")]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id())
+    ranges = settle(ranges.drop("_b0", "_row"), "numbered")
+    ranges = ranges.withColumns({"_part": F.shiftright("_id", PLACE), "_place": F.col("_id").bitwiseAND((1 << PLACE) - 1)})
+    runs = ranges.groupBy(*keys, "_part").agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    # One row for each group and range: a group has as many as it has ranges at most.
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1
+    marks = runs.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), before.alias("_add"))
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    numbered = ranges.join(marks, same).withColumn(out, F.col("_place") + F.col("_add"))
+    return numbered.select(*[c for c in df.columns if c != out], out)
 
 
 def previous(df: DataFrame, keys: list[str], block: Column, order: str, out: str) -> DataFrame:

@@ -1,5 +1,8 @@
 """Known values on literal rows."""
 
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -382,8 +385,13 @@ def test_blank_patches(spark):
 
 
 def test_deep_json(spark):
-    deep = "[" * 100_000 + "]" * 100_000
-    assert value(spark, jsons.json_recursive(lit(deep), "k")) == []
+    """Texts nested 100,000 levels deep give their values, and deep values are written whole."""
+    n = 100_000
+    deep = "[" * n + '{"k": "x"}' + "]" * n
+    assert value(spark, jsons.json_recursive(lit(deep), "k")) == ['"x"']
+    assert value(spark, jsons.json_recursive(lit('{"a":' * n + '{"k":[1, {"b":"é"}]}' + "}" * n), "k")) == ['[1, {"b": "é"}]']
+    assert value(spark, jsons.json_recursive(lit('{"k":' + "[" * n + "]" * n + "}"), "k")) == ["[" * n + "]" * n]
+    assert value(spark, jsons.json_recursive(lit("[" * n + "]" * (n - 1)), "k")) == []
     assert value(spark, jsons.json_recursive(lit('{"a": [{"k": {"k": 1}}], "k": null}'), "k")) == ['{"k": 1}', "1", "null"]
 
 
@@ -406,6 +414,33 @@ def test_locale_order(spark):
     assert [r.source_name.lower() for r in search.top_search(rows, None).collect()] == ["a", "a", "b", "b"]
 
 
+def test_deep_json_reads_and_writes_like_the_library():
+    rng = random.Random(3)
+
+    def some(depth):
+        kind = rng.random()
+        if depth and kind < 0.3:
+            return [some(depth - 1) for _ in range(rng.randint(0, 3))]
+        if depth and kind < 0.7:
+            return {rng.choice(["k", "a", 'q"', ""]): some(depth - 1) for _ in range(rng.randint(0, 3))}
+        return rng.choice([None, True, False, 0, -7, 1.5, 1e300, "", "é\n\\", "漢😀", float("inf")])
+
+    for _ in range(300):
+        x = some(5)
+        for text in (json.dumps(x), json.dumps(x, indent=1, ensure_ascii=False), f" {json.dumps(x)}\n"):
+            assert jsons.parse_deep(text) == x and jsons.dump_deep(x) == json.dumps(x, ensure_ascii=False)
+        text = json.dumps(x)
+        cut = text[: rng.randrange(len(text))] + rng.choice(["", ",", "]", "}", "x", ":"])
+        try:
+            want = json.loads(cut)
+        except ValueError:
+            with pytest.raises(ValueError):
+                jsons.parse_deep(cut)
+        else:
+            assert jsons.parse_deep(cut) == want
+    assert jsons.parse_deep('{"a": 1, "a": 2}') == {"a": 2}
+
+
 def test_pages_without_guards():
     from folioflow.operators.shred import page_nodes
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folioflow.operators import catalog, health
 from folioflow.plans.registry import query
 from folioflow.plans.views import load, sql_for
+from folioflow.session import scratch_path
 from folioflow.sources import definitions as defs
 from folioflow.sources import requests
 
@@ -54,6 +55,19 @@ def read_sources(spark, d):
     return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("name")).alias("chars"))
 
 
+@query("read_source_arrays", sql_for("sources", extra={"e": EXPECTED}, body="select count(*) as n, cast(sum(length(name)) as bigint) as chars, cast(sum(weight) as bigint) as weight, count(*) filter (where enabled) as enabled from e"))
+def read_source_arrays(spark, d):
+    # All sources in one file that is a single array, read in byte ranges.
+    rows = raw_defs(spark, d)
+    last = rows.agg(F.max("id")).first()[0]
+    raw = F.when(F.col("id") == last, F.concat("raw", F.lit("]"))).otherwise(F.col("raw"))
+    folder = scratch_path(spark, "source-array")
+    first = spark.range(1).select(F.lit("[7").alias("value"), F.lit(-1).cast("long").alias("id"))
+    rows.select(raw.alias("value"), F.col("id").cast("long").alias("id")).unionByName(first).coalesce(1).sortWithinPartitions("id").select("value").write.option("lineSep", ",\n").text(folder)
+    found = defs.normalize_source(defs.read_source_arrays(spark, folder))
+    return found.agg(F.count("*").alias("n"), F.sum(F.length("name")).alias("chars"), F.sum("weight").alias("weight"), F.count_if("enabled").alias("enabled"))
+
+
 NORMAL = ["id", "name", "url", "group_name", "enabled", "weight", "search_url", "explore_url", "last_update_time"]
 
 

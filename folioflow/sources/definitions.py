@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions.jsons import is_json
@@ -10,6 +10,7 @@ from folioflow.functions.text import let, strip_space, text_or_blank
 from folioflow.functions.urls import base_url
 from folioflow.operators.catalog import apply_patch
 from folioflow.operators.numbering import ordinal
+from folioflow.session import settle
 
 MAP = "map<string,string>"
 
@@ -137,6 +138,56 @@ def read_sources(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.posexplode(listed).alias("pos", "raw")).filter(F.ltrim("raw").rlike(r"^[\[{]"))
 
 
+def read_source_arrays(spark: SparkSession, path: str, level: int = 1) -> DataFrame:
+    """Definition files of any size that are one JSON array each, as source rows (doc_id, pos, raw), read by many tasks.
+
+    Files are split at commas, so their byte ranges go to different tasks. Whether a comma parts two items is known from the depth
+    of brackets and from being inside a string or not at its place; both are running sums over the pieces of a byte range, made for
+    either start, to which the sums of the ranges before are added. No row holds more than one item. ``level`` is the depth of
+    the items: 1 for a plain array, 2 for an array that is the only member of an object. Other values than objects are dropped.
+    """
+    pieces = spark.read.option("lineSep", ",").text(path).select(
+        F.col("_metadata.file_path").alias("doc_id"), F.col("_metadata.file_block_start").alias("range"),
+        F.monotonically_increasing_id().alias("n"), "value",
+    )
+    # Escaped signs are taken out first; what is left of a piece behind its last quote is inside or outside a string.
+    bare = F.regexp_replace("value", r"(?s)\\.", "")
+
+    def depth(text: Column) -> Column:
+        plain = F.regexp_replace(text, r'(?s)"[^"]*("|\z)', "")
+        return F.regexp_count(plain, F.lit(r"[\[{]")) - F.regexp_count(plain, F.lit(r"[\]}]"))
+
+    inside = F.when(bare.contains('"'), depth(F.regexp_replace(bare, r'(?s)^[^"]*"', ""))).otherwise(0)
+    pieces = settle(pieces.withColumns({"quotes": F.regexp_count(bare, F.lit('"')), "d_out": depth(bare), "d_in": inside}), "pieces")
+
+    def running(c: str, *by: str, last: int = 0) -> Column:
+        over = Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, last)
+        return F.coalesce(F.sum(c).over(over), F.lit(0))
+
+    here = ["doc_id", "range", "n"]
+    rows = pieces.withColumn("odd", running("quotes", *here, last=-1) % 2)
+    out, within = F.col("d_out"), F.col("d_in")
+    rows = rows.withColumns({"step_0": F.when(F.col("odd") == 0, out).otherwise(within), "step_1": F.when(F.col("odd") == 0, within).otherwise(out)})
+    rows = rows.withColumns({"sum_0": running("step_0", *here), "sum_1": running("step_1", *here), "odd_after": (F.col("odd") + F.col("quotes")) % 2})
+    sums = rows.groupBy("doc_id", "range").agg(*[F.sum(c).alias(c) for c in ("quotes", "step_0", "step_1")])
+    sums = sums.withColumn("start_odd", running("quotes", "doc_id", "range", last=-1) % 2)
+    sums = sums.withColumn("whole", F.when(F.col("start_odd") == 0, F.col("step_0")).otherwise(F.col("step_1")))
+    starts = sums.select("doc_id", "range", "start_odd", running("whole", "doc_id", "range", last=-1).alias("start_depth"))
+    rows = rows.join(starts, ["doc_id", "range"])
+    after = F.col("start_depth") + F.when(F.col("start_odd") == 0, F.col("sum_0")).otherwise(F.col("sum_1"))
+    parts = (after == level) & ((F.col("start_odd") + F.col("odd_after")) % 2 == 0)
+    rows = settle(rows.select(*here, "value", after.alias("depth"), parts.cast("long").alias("ends")), "pieces")
+    local = rows.withColumn("item", running("ends", *here, last=-1))
+    earlier = rows.groupBy("doc_id", "range").agg(F.sum("ends").alias("ends")).select("doc_id", "range", running("ends", "doc_id", "range", last=-1).alias("before"))
+    items = local.join(earlier, ["doc_id", "range"]).groupBy("doc_id", (F.col("item") + F.col("before")).alias("pos")).agg(
+        F.sort_array(F.collect_list(F.struct("range", "n", "value"))).alias("p"), F.min("depth").alias("least")
+    )
+    text = strip_space(F.array_join(F.transform("p", lambda x: x["value"]), ","))
+    text = F.when(F.col("pos") == 0, F.regexp_replace(text, r"(?s)^\x{feff}?[^\[]*\[", "")).otherwise(text)
+    text = F.when(F.col("least") < level, F.regexp_replace(text, r"\]\s*" + r"\}\s*" * (level - 1) + r"[\s,]*\z", "")).otherwise(text)
+    return items.select("doc_id", F.col("pos").cast("int").alias("pos"), strip_space(text).alias("raw")).filter(F.col("raw").startswith("{"))
+
+
 def normalize_source(rows: DataFrame) -> DataFrame:
     """Tolerant raw JSON (``raw``) to canonical columns, with issues and usability.
 

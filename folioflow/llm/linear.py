@@ -51,23 +51,26 @@ def margins(raw: np.ndarray, offsets: np.ndarray, weights: np.ndarray, bias: flo
 
 
 def fit(raw: np.ndarray, offsets: np.ndarray, labels: np.ndarray, bits: int, rounds: int, penalty: float) -> tuple[np.ndarray, float]:
-    """Weights and bias by full-batch AdaGrad on the class-balanced logistic loss; deterministic."""
+    """Weights and bias by full-batch AdaGrad on the class-balanced logistic loss; deterministic.
+
+    Distinct features of each slice of texts stay as they are counted, 12 bytes each, and are never put together.
+    """
     parts = []
-    for lo, hi in kernel.slices(offsets):
+    for lo, hi in kernel.slices(offsets, 500_000):
         at = offsets[lo : hi + 1]
         text, place, weight = features(raw[at[0] : at[-1]], at - at[0], bits)
-        key = (text.astype(np.int64) << bits) | place
-        key, inverse = np.unique(key, return_inverse=True)
-        parts.append(((key >> bits) + lo, key & ((1 << bits) - 1), np.bincount(inverse, weight)))
-    text, place, weight = (np.concatenate(x) for x in zip(*parts))
+        key, inverse = np.unique((text << bits) | place, return_inverse=True)
+        parts.append((lo, hi, (key >> bits).astype(np.int32), (key & ((1 << bits) - 1)).astype(np.int32), np.bincount(inverse, weight).astype(np.float32)))
     n = len(offsets) - 1
     y = labels.astype(float)
     share = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max(n - y.sum(), 1))
     w, grown, bias, bias_grown = np.zeros(1 << bits), np.full(1 << bits, 1e-8), 0.0, 1e-8
     for _ in range(rounds):
-        z = np.bincount(text, w[place] * weight, minlength=n) + bias
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * share
-        gradient = np.bincount(place, error[text] * weight, minlength=1 << bits) + penalty * w
+        error, gradient = np.empty(n), penalty * w
+        for lo, hi, text, place, weight in parts:
+            z = np.bincount(text, w[place] * weight, minlength=hi - lo) + bias
+            error[lo:hi] = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[lo:hi]) * share[lo:hi]
+            gradient += np.bincount(place, error[lo:hi][text] * weight, minlength=1 << bits)
         grown += gradient**2
         w -= gradient / np.sqrt(grown)
         bias_grown += error.sum() ** 2

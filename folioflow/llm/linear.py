@@ -11,6 +11,8 @@ import numpy as np
 from folioflow.llm import kernel
 
 GRAMS = (2, 4)
+#: Bytes of text whose n-grams are held at once; they take about a hundred times as much.
+SLICE = 500_000
 
 
 def features(raw: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -43,7 +45,7 @@ def margins(raw: np.ndarray, offsets: np.ndarray, weights: np.ndarray, bias: flo
     """The linear score of each text, computed in slices."""
     bits = int(len(weights)).bit_length() - 1
     out = np.full(len(offsets) - 1, bias)
-    for lo, hi in kernel.slices(offsets):
+    for lo, hi in kernel.slices(offsets, SLICE):
         at = offsets[lo : hi + 1]
         text, place, weight = features(raw[at[0] : at[-1]], at - at[0], bits)
         out[lo:hi] += np.bincount(text, weights[place] * weight, minlength=hi - lo)
@@ -56,7 +58,7 @@ def fit(raw: np.ndarray, offsets: np.ndarray, labels: np.ndarray, bits: int, rou
     Distinct features of each slice of texts stay as they are counted, 12 bytes each, and are never put together.
     """
     parts = []
-    for lo, hi in kernel.slices(offsets, 500_000):
+    for lo, hi in kernel.slices(offsets, SLICE):
         at = offsets[lo : hi + 1]
         text, place, weight = features(raw[at[0] : at[-1]], at - at[0], bits)
         key, inverse = np.unique((text << bits) | place, return_inverse=True)

@@ -6,7 +6,8 @@ from sorting the blocks and pairs themselves, never from hashes, so two texts of
 exactly when they are equal.
 
 The first block of every text is named first. A text whose length and first block no other text has is identified by
-that alone and goes no further, so only possible copies send their whole texts through a shuffle. Only distinct
+that alone and goes no further. The texts of possible copies are found by a merge join at every size, compressed, and
+cut into blocks behind it, so what is shuffled is in proportion to the input. Only distinct
 blocks are sorted (map tasks combine them), and names return by a join that Spark can split where a block is hot.
 
 A row is one document. Rows that repeat doc_id and text are one document and give one row that counts them all in
@@ -19,6 +20,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,8 +38,16 @@ def _plain(texts: pa.Array) -> list[bytes]:
     return [b"" if t is None else t.lower() for t in texts.cast(pa.binary()).to_pylist()]
 
 
-def with_digest(docs: DataFrame, *keep: str, plain: str | None = None) -> DataFrame:
-    """The kept columns, the SHA-256 of the normalised text as ``_digest`` and, if named, the normalised bytes."""
+#: What ``with_digest`` can add to the digest: Spark type, Arrow type and a function of the normalised text.
+EXTRA: dict[str, tuple] = {
+    "n_bytes": (T.LongType(), pa.int64(), len),
+    "head": (T.BinaryType(), pa.binary(), lambda t: t[:HEAD]),
+    "packed": (T.BinaryType(), pa.binary(), lambda t: zstandard.ZstdCompressor(level=3).compress(t)),
+}
+
+
+def with_digest(docs: DataFrame, *keep: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """The kept columns, the SHA-256 of the normalised text as ``_digest``, and columns of ``EXTRA``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -45,24 +55,37 @@ def with_digest(docs: DataFrame, *keep: str, plain: str | None = None) -> DataFr
                 part = batch.slice(lo, 256)
                 texts = _plain(part.column(0))
                 columns = part.columns[1:] + [pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())]
-                if plain:
-                    columns.append(pa.array(texts, pa.binary()))
+                columns += [pa.array([EXTRA[name][2](t) for t in texts], EXTRA[name][1]) for name in extra]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(F.col("text").alias("_text"), *keep)
-    schema = T.StructType(rows.schema.fields[1:] + [T.StructField("_digest", T.BinaryType())])
-    if plain:
-        schema = schema.add(plain, T.BinaryType())
+    schema = T.StructType([*rows.schema.fields[1:], T.StructField("_digest", T.BinaryType()), *(T.StructField(n, EXTRA[n][0]) for n in extra)])
     names = schema.names
     return rows.mapInArrow(run, schema)
 
 
 def _blocks(texts: DataFrame) -> DataFrame:
-    """member, pos and block of every text (member, plain); an empty text has one empty block."""
-    n = F.greatest(F.ceil(F.length("plain") / BLOCK), F.lit(1)).cast("int")
-    return texts.select("member", F.explode(F.sequence(F.lit(0), n - 1)).alias("pos"), "plain").select(
-        "member", "pos", F.substring("plain", F.col("pos") * BLOCK + 1, F.lit(BLOCK)).alias("block")
-    )
+    """member, pos and block of every text (member, packed); an empty text has one empty block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        rows: list[tuple] = []
+        for batch in batches:
+            for member, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = unpack(packed.as_py())
+                for pos, k in enumerate(range(0, max(len(text), 1), BLOCK)):
+                    rows.append((member, pos, text[k : k + BLOCK]))
+                    if len(rows) == 4096:
+                        yield batch_of(rows)
+                        rows = []
+        if rows:
+            yield batch_of(rows)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary()))]
+        return pa.RecordBatch.from_arrays(columns, names=["member", "pos", "block"])
+
+    return texts.select("member", "packed").mapInArrow(run, "member long, pos int, block binary")
 
 
 def numbered(values: DataFrame, *columns: str) -> DataFrame:
@@ -72,7 +95,7 @@ def numbered(values: DataFrame, *columns: str) -> DataFrame:
 
 
 def identities(texts: DataFrame) -> DataFrame:
-    """member and name: the final name of each text (member, plain). Texts of one length are comparable."""
+    """member and name: the final name of each text (member, packed). Texts of one length are comparable."""
     blocks = written(_blocks(texts), "blocks")
     level = blocks.join(numbered(blocks, "block"), "block").select("member", "pos", "name").distinct()
     done: DataFrame | None = None
@@ -98,15 +121,16 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     Of equal texts the row with the largest doc_id stays; copies counts the rows that are this document. ``docs`` needs
     doc_id and text. An empty table gives an empty one.
     """
-    texts = with_digest(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", plain="plain")
-    heads = texts.select("doc_id", "_digest", F.length("plain").alias("n_bytes"), F.substring("plain", 1, HEAD).alias("head"))
+    plain = docs.select(F.col("doc_id").cast("long"), "text")
+    heads = with_digest(plain, "doc_id", extra=("n_bytes", "head"))
     heads = written(heads.groupBy("doc_id", "_digest", "n_bytes", "head").agg(F.count("*").alias("copies")), "heads")
     shared = heads.groupBy("n_bytes", "head").agg(F.count("*").alias("rows")).filter("rows > 1").drop("rows")
     possible = heads.join(written(shared, "shared"), ["n_bytes", "head"]).drop("head")
     possible = written(possible.withColumn("member", F.monotonically_increasing_id()), "possible")
     keys = possible.select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_key"), "member")
-    wanted = texts.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_key")))
-    named = written(possible.join(identities(wanted.select("member", "plain")), "member"), "named")
+    texts = with_digest(plain, "doc_id", extra=("packed",))
+    wanted = texts.join(keys.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_key")))
+    named = written(possible.join(identities(wanted.select("member", "packed")), "member"), "named")
     groups = named.groupBy("n_bytes", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
     members = named.join(written(groups, "groups"), ["n_bytes", "name"])
     members = members.select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_key"), "keep_id", "group_size")

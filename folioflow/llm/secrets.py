@@ -267,15 +267,17 @@ def train(places: np.ndarray, state: np.ndarray, mask: np.ndarray, rounds: int =
 def fit(docs: DataFrame) -> Model:
     """Train on a bounded sample of the texts with and one of those without base matches, both chosen from all texts."""
     order = F.xxhash64("doc_id", F.lit("secret"))
-    rows = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
-    rows = rows.withColumn("_with", F.col("text").rlike(SPARK_BASE))
-    flags = written(rows.select("doc_id", "_with"), "flags")
-    ids = [flags.filter(F.col("_with") == flag).distinct().orderBy(order).limit(n) for flag, n in ((True, SAMPLE_WITH), (False, SAMPLE_WITHOUT))]
-    rows = rows.join(F.broadcast(ids[0].unionByName(ids[1])), ["doc_id", "_with"], "left_semi")
+    rows = docs.select("doc_id", "text").filter("doc_id is not null and text is not null").withColumn("_x", F.xxhash64("text"))
+    # The patterns run once over all texts; the texts of the chosen rows are then found by their keys.
+    flags = written(rows.select("doc_id", "_x", F.col("text").rlike(SPARK_BASE).alias("_with")), "flags")
+    sizes = ((True, SAMPLE_WITH), (False, SAMPLE_WITHOUT))
+    ids = [flags.filter(F.col("_with") == flag).distinct().orderBy(order, "_x").limit(n) for flag, n in sizes]
+    rows = rows.join(F.broadcast(ids[0].unionByName(ids[1])), ["doc_id", "_x"])
+    sample = written(rows.dropDuplicates(["doc_id", "_x"]), "sample")
     taken = []
-    for flag, n in ((True, SAMPLE_WITH), (False, SAMPLE_WITHOUT)):
+    for flag, _ in sizes:
         size = 0
-        for r in rows.filter(F.col("_with") == flag).orderBy(order, "text").limit(n).select("text").toLocalIterator():
+        for r in sample.filter(F.col("_with") == flag).orderBy(order, "_x").select("text").toLocalIterator():
             size += len(r.text)
             if size > SAMPLE_CHARS // 2:
                 break

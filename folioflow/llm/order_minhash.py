@@ -1,26 +1,30 @@
 """Near duplicates by Order MinHash, verified by banded alignment.
 
-Every text gets ``SKETCHES`` samples. A sample is the two smallest of its five-word k-mers under one of so many orders, each
-k-mer labelled with its occurrence, kept in text order. The second k-mer lies at least a third of the text away from the
-first, so a passage that unrelated texts share does not make them meet. Texts with a sample in common are candidates.
+Every text gets ``SKETCHES`` samples. A sample is the two smallest of its k-mers of ``K`` words under one of so many orders,
+each k-mer labelled with its occurrence, kept in text order. The second k-mer lies at least a third of the text away from
+the first, so a passage that unrelated texts share does not make them meet. Texts with a sample in common are candidates.
 A candidate pair is a link if the edit similarity of its words, 1 - distance / longer length, is 0.8 or more; the
-distance comes from a bit-parallel alignment inside the band that this bound allows.
+distance comes from a bit-parallel alignment inside the band that this bound allows. The k-mers only find candidates; they are
+shorter than five words because edits at every fifth word, which that similarity allows, leave no five-word k-mer whole.
 
 Texts with the same words (lower-cased in A-Z) are one node from the start. In a bucket every node is compared with a pivot,
-the bucket's first node. Edit distance is a metric, so a node that is farther from the pivot than two links reach cannot be
-linked to a node that is linked to the pivot; a node in between is compared with those of them that the two distances
-allow. Nodes not linked to a pivot go on, in buckets split by length, with 16 pivots, then 256 and so on, until none is
-left. So a group of near copies costs one comparison each, and many pairs of a bucket are compared only where its texts
-are far from each other in spite of a common sample. Classes are the connected components of the links.
-
-A pair whose five-word Jaccard similarity is J meets with probability 1 - (1 - J^2)^32: over 0.9999999 at 0.7, 0.9999 at
-0.5. Links below that can be missed. Null and empty texts are one class of texts without words; texts under five words
-have one k-mer. Rows that repeat fall into one class; of a class the row with the smallest doc_id stays, and null is the
-smallest. Other columns are passed over.
+the bucket's first node. Nodes not linked to a pivot go on, in buckets split by length, with 16 pivots, then 256 and so on,
+until none is left. Edit distance is a metric, so a node that is farther from the pivot than two links reach cannot be
+linked to a node that is linked to the pivot. A node in between can be; it matters only while it is in another class than the
+pivot. Such nodes are compared with the nodes linked to the pivot, nearest first, with one, then four, then sixteen of
+them and so on, until a link joins the classes or all that the two distances allow were compared. So a group of near copies
+costs a few comparisons each, and many pairs of a bucket are compared only where its texts are far from each other in
+spite of a common sample. Classes are the connected components of the links.
+
+A pair whose labelled k-mers have Jaccard similarity J meets with probability about 1 - (1 - J^2)^64: 0.98 at 0.25, which is
+the least that an edit similarity of 0.8 by substitutions leaves. Null and empty texts are one class of texts without words;
+texts under ``K`` words have one k-mer. Rows that repeat fall into one class; of a class the row with the smallest doc_id
+stays, and null is the smallest. Other columns are passed over.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +36,17 @@ from folioflow.llm import kernel
 from folioflow.llm.components import components
 from folioflow.llm.frames import table, written
 from folioflow.llm.registry import query
+from folioflow.operators.numbering import ordinal
 
-K = 5
-SKETCHES = 32
+K = 3
+SKETCHES = 64
 SIMILAR = 0.8
 #: Each round compares with this many times as many pivots as the one before.
 WIDER = 16
+#: Each round of nodes between a pivot's class and another compares with this many times as many nodes as the one before.
+LONGER = 4
+#: Parts into which the nodes of one pivot are dealt, so that no pivot is one task.
+SALTS = 32
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _ORDERS = _rng.integers(1, 2**63, SKETCHES, dtype=np.uint64) | np.uint64(1)
@@ -228,6 +237,44 @@ def _split(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.select("node", F.xxhash64("bucket", "step").alias("bucket")).distinct()
 
 
+def _joined(checked: DataFrame, texts: DataFrame) -> DataFrame:
+    """node and root of all nodes with links: the links to pivots, and those that nodes in between have to linked nodes.
+
+    A pair of a pivot and a node in between is settled when both are in one class, so only pairs of two classes are taken up,
+    and each is left as soon as a link is found. All nodes that the two distances allow are compared before a pair is given up.
+    """
+    links = checked.filter("kind = 'link'")
+    roots = written(components(links.select("a", "b")), "roots")
+    of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"_{name}"))
+    between = checked.filter("kind = 'between'").select("a", F.col("b").alias("c"), F.col("d").alias("dc"), F.col("n").alias("nc"))
+    # A pivot without links has no nodes that one in between could be linked to.
+    between = between.join(of("a"), "a").join(of("c"), "c", "left").withColumn("_c", F.coalesce("_c", "c"))
+    between = written(between.filter("_a <> _c").drop("_a", "_c"), "between")
+    if between.isEmpty():
+        return roots
+    around = links.select("a", "b", "d", "n").join(between.select("a").distinct(), "a", "left_semi")
+    around = written(ordinal(around, ["a"], F.col("d"), [F.asc("b")], "rank"), "around")
+    deepest = around.agg(F.max("rank")).first()[0] or 0
+    salt = F.array(*map(F.lit, range(SALTS)))
+    found: list[DataFrame] = []
+    first, wide = 1, 1
+    while first <= deepest and not between.isEmpty():
+        some = around.filter(F.col("rank").between(first, first + wide - 1)).withColumn("salt", F.explode(salt))
+        # A text at distance d of the pivot can be linked only to one at d less a link's distance or more.
+        near = (F.col("d") >= F.col("dc") - (1 - SIMILAR) * F.greatest("n", "nc") - 1e-9) & (F.col("b") != F.col("c"))
+        pairs = between.withColumn("salt", F.pmod(F.xxhash64("c"), F.lit(SALTS)).cast("int")).join(some, ["a", "salt"]).filter(near)
+        pairs = written(pairs.select("a", "b", "c"), "probes")
+        tried = _verify(pairs.select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct(), texts)
+        linked = tried.filter("kind = 'link'").select(F.col("a").alias("_u"), F.col("b").alias("_v"))
+        found.append(linked.select(F.col("_u").alias("a"), F.col("_v").alias("b")))
+        hit = pairs.join(linked, (F.least("b", "c") == F.col("_u")) & (F.greatest("b", "c") == F.col("_v"))).select("a", "c").distinct()
+        between = written(between.join(hit, ["a", "c"], "left_anti"), "between")
+        first, wide = first + wide, wide * LONGER
+    more = functools.reduce(DataFrame.unionByName, found)
+    whole = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
+    return written(components(whole), "roots")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, x, class_id (the smallest doc_id of the class), class_size and kept for every row."""
     rows = written(_rows(docs), "samples")
@@ -245,7 +292,7 @@ def classes(docs: DataFrame) -> DataFrame:
     if not rows.groupBy("doc_id", "x").count().filter("count > 1").isEmpty():
         texts = texts.dropDuplicates(["node"])
     texts = written(texts, "texts")
-    links: DataFrame | None = None
+    rounds: list[DataFrame] = []
     width = 1
     while True:
         pivots = written(_pivots(members, width), "pivots")
@@ -253,23 +300,16 @@ def classes(docs: DataFrame) -> DataFrame:
         if against.isEmpty():
             break
         checked = _verify(against.select("a", "b").distinct(), texts)
-        linked = checked.filter("kind = 'link'").select("a", "b")
-        links = linked if links is None else links.unionByName(linked)
-        close = against.join(linked, ["a", "b"])
-        between = checked.filter("kind = 'between'").select("a", F.col("b").alias("c"), F.col("d").alias("dc"), F.col("n").alias("nc"))
-        if not between.isEmpty():
-            # A text at distance d of the pivot can be linked only to one at d less a link's distance or more.
-            near = (F.col("d") >= F.col("dc") - (1 - SIMILAR) * F.greatest("n", "nc") - 1e-9) & (F.col("b") != F.col("c"))
-            more = checked.filter("kind = 'link'").join(between, "a").filter(near)
-            more = more.select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct()
-            links = links.unionByName(_verify(written(more, "more"), texts).filter("kind = 'link'").select("a", "b"))
+        rounds.append(checked)
+        close = against.join(checked.filter("kind = 'link'").select("a", "b"), ["a", "b"])
         done = close.select("bucket", F.col("b").alias("node")).unionByName(pivots.select("bucket", F.col("a").alias("node")))
         members = members.join(done, ["bucket", "node"], "left_anti")
         members = written(_split(members, nodes) if width == 1 else members, "members")
         width *= WIDER
     labelled = nodes.select("node", "t1", "t2", "size", F.col("row.doc_id").alias("first_id"))
-    if links is not None:
-        roots = written(components(links), "roots")
+    if rounds:
+        checked = functools.reduce(DataFrame.unionByName, rounds).distinct()
+        roots = _joined(checked, texts)
         labelled = labelled.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     else:
         labelled = labelled.withColumn("root", F.col("node"))

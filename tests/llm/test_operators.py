@@ -466,6 +466,46 @@ def brute_classes(rows):
     return {g: (min(v, key=key), len(v)) for g, v in groups.items()}, find
 
 
+def edited(rng, text, similarity, even):
+    """The words of a text with as many substitutions as the similarity allows, at even or at random places."""
+    out, n = list(text), round(len(text) * (1 - similarity))
+    places = [int((k + 0.5) * len(text) / n) for k in range(n)] if even else rng.sample(range(len(text)), n)
+    for k in places:
+        out[k] = f"edit{rng.randrange(10**9)}"
+    return out
+
+
+def test_candidates_reach_the_similarity():
+    import pyarrow as pa
+
+    from folioflow.llm import kernel
+
+    rng = random.Random(21)
+    for similarity, even in itertools.product((0.8, 0.85, 0.9), (False, True)):
+        texts = []
+        for _ in range(200):
+            one = [f"w{rng.randrange(50_000)}" for _ in range(200)]
+            texts += [" ".join(one), " ".join(edited(rng, one, similarity, even))]
+        raw, offsets = kernel.utf8(pa.array(texts))
+        _, _, codes, of = order_minhash.kmers(raw, offsets)
+        samples = order_minhash.sketches(codes, of, len(texts))
+        met = (samples[::2] == samples[1::2]).any(axis=1).mean()
+        print(f"recall at {similarity}, {'even' if even else 'random'}: {met:.3f}")
+        assert met >= 0.9
+
+
+def test_groups_of_near_copies(spark):
+    rng = random.Random(22)
+    rows = []
+    for g in range(3):
+        one = [f"w{rng.randrange(5000)}" for _ in range(100)]
+        rows += [" ".join(edited(rng, one, rng.choice([0.97, 0.92, 0.88, 0.84]), False)) for _ in range(60)]
+    rows = list(enumerate(rows))
+    groups, find = brute_classes(rows)
+    got = order_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.class_id, r.class_size) for r in got} == {(r[0], *groups[find(tuple(words(r[1])))]) for r in rows}
+
+
 def test_near_duplicates(spark, hard, hard_rows, empty):
     groups, find = brute_classes(hard_rows)
     expected = Counter((r[0], *groups[find(tuple(words(r[1])))]) for r in hard_rows)

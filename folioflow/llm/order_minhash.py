@@ -297,6 +297,13 @@ def classes(docs: DataFrame) -> DataFrame:
     while True:
         pivots = written(_pivots(members, width), "pivots")
         against = written(members.join(pivots, "bucket").filter("a < node").select("bucket", "a", F.col("node").alias("b")), "against")
+        if rounds and not against.isEmpty():  # pairs inside one class need no comparison
+            links = functools.reduce(DataFrame.unionByName, rounds).filter("kind = 'link'").select("a", "b").distinct()
+            roots = written(components(links), "roots")
+            for name in "ab":
+                of = roots.select(F.col("node").alias(name), F.col("root").alias(f"_{name}"))
+                against = against.join(of, name, "left").withColumn(f"_{name}", F.coalesce(f"_{name}", name))
+            against = written(against.filter("_a <> _b").select("bucket", "a", "b"), "against")
         if against.isEmpty():
             break
         checked = _verify(against.select("a", "b").distinct(), texts)

@@ -101,7 +101,8 @@ def clean_author(c: Column) -> Column:
     out = F.regexp_replace(out, f"^[{SPACE}]*著[{SPACE}]*者[{SPACE}]*[:：][{SPACE}]*", "")
     # \z and not $: a dollar sign also matches before a final line feed in Java.
     out = F.regexp_replace(out, rf"[{SPACE}]*[著作]\z", "")
-    return strip_space(one_space(out, SPACE_CHARS))
+    # Words of printable ASCII with single blanks between them are clean as they are.
+    return F.when(text_or_blank(c).rlike(r"[^!-~ ]|^ |  | \z"), strip_space(one_space(out, SPACE_CHARS))).otherwise(text_or_blank(c))
 
 
 def author_key(c: Column) -> Column:

@@ -40,7 +40,8 @@ def _fold_dots(path: Column) -> Column:
     folded = F.concat(F.lit("/"), F.array_join(F.aggregate(segments, start, step), "/"))
     # A path that ends in a dot segment names a folder.
     folded = F.when(path.rlike(r"/\.{1,2}$") & ~folded.endswith("/"), F.concat(folded, F.lit("/"))).otherwise(folded)
-    return F.when(path.rlike(r"(^|/)\.{1,2}(/|$)"), folded).otherwise(path)
+    # Most paths have no segment that starts with a dot.
+    return F.when((path.contains("/.") | path.startswith(".")) & path.rlike(r"(^|/)\.{1,2}(/|$)"), folded).otherwise(path)
 
 
 def _host(c: Column) -> Column:
@@ -78,15 +79,49 @@ def base_url(c: Column) -> Column:
     return let(strip_space(text_or_blank(c)), reduce_to_origin)
 
 
+def _path(b: Column) -> Column:
+    return let(F.regexp_extract(b, r"(?i)^https?://[^/?#\\]*([^?#]*)", 1), lambda p: F.when(p == "", "/").otherwise(p))
+
+
+def _query(b: Column) -> Column:
+    return F.regexp_extract(b, r"^[^?#]*(\?[^#]*)", 1)
+
+
+def _origin(b: Column) -> Column:
+    """The same as ``origin_of``, with one test for a plain host that a path follows."""
+    return F.when(b.rlike(PLAIN_BASE), F.substring_index(b, "/", 3)).otherwise(origin_of(b))
+
+
 def _resolve(b: Column, s: Column) -> Column:
-    """A relative link on a page address."""
-    path = F.regexp_extract(b, r"(?i)^https?://[^/?#\\]*([^?#]*)", 1)
+    """A relative link on a page address. What a branch does not need is not computed."""
+    return let(_origin(b), lambda origin: F.when(s.rlike(UNPLAIN), _resolve_any(b, s, origin)).otherwise(_resolve_plain(b, s, origin)))
+
+
+def _resolve_plain(b: Column, s: Column, origin: Column) -> Column:
+    """A link of printable ASCII characters none of which needs escaping."""
+    link = F.substring_index(F.substring_index(s, "?", 1), "#", 1)
+
+    def join(link: Column) -> Column:
+        folder = F.regexp_extract(_path(b), r"^(.*/)", 1)
+        path = F.when(link.startswith("/"), let(link, _fold_dots)).otherwise(let(let(F.concat(folder, link), _fold_dots), _escape_path))
+        return F.concat(origin, path, F.substring(s, F.length(link) + 1, F.length(s)))
+
+    return (
+        F.when(origin == "", s)
+        .when(s.startswith("//"), F.concat(F.lower(F.regexp_extract(b, ORIGIN, 1)), F.lit(":"), s))
+        .when(s.startswith("?"), F.concat(origin, _path(b), s))
+        .when(s.startswith("#"), F.concat(origin, _path(b), _query(b), s))
+        .otherwise(let(link, join))
+    )
+
+
+def _resolve_any(b: Column, s: Column, origin: Column) -> Column:
     clean = F.translate(s, "\t\n\r", "")
     parts = F.struct(
         clean.alias("s"),
-        origin_of(b).alias("origin"),
-        F.coalesce(F.nullif(path, F.lit("")), F.lit("/")).alias("path"),
-        F.regexp_extract(b, r"^[^?#]*(\?[^#]*)", 1).alias("query"),
+        origin.alias("origin"),
+        _path(b).alias("path"),
+        _query(b).alias("query"),
         F.regexp_extract(clean, r"^([^?#]*)", 1).alias("link"),
         F.regexp_extract(clean, r"^[^?#]*(.*)$", 1).alias("tail"),
     )
@@ -109,14 +144,21 @@ def _resolve(b: Column, s: Column) -> Column:
 
 
 SIMPLE_BASE = r"^https?://[a-z0-9-]+(?:\.[a-z0-9-]+)*(?=[/?#]|$)"
-# A site path without dot segments and without characters that need escaping.
-SIMPLE_PATH = r"^/(?![/\\])(?:[A-Za-z0-9_~=&+,@%/?#:;!*-]|(?<!/)\.)*$"
+PLAIN_BASE = r"^https?://[a-z0-9-]+(?:\.[a-z0-9-]+)*/"
+# A site path without characters that need escaping; a segment must not start with a dot either.
+SIMPLE_PATH = r"^/(?![/\\])[A-Za-z0-9_~=&+,@%/?#:;!*.-]*$"
+# What keeps a link from being taken as it is.
+UNPLAIN = r"[^!-~]|[\"<>`{}\\]"
 
 
 def _or_simple(base: Column, href: Column, general: Column) -> Column:
     """Most links are plain site paths on a plain host; they skip the general case."""
-    simple = href.rlike(SIMPLE_PATH) & base.rlike(SIMPLE_BASE)
-    return F.when(simple, F.concat(F.regexp_extract(base, SIMPLE_BASE, 0), href)).otherwise(general)
+    simple = href.rlike(SIMPLE_PATH) & ~href.contains("/.")
+    return (
+        F.when(simple & base.rlike(PLAIN_BASE), F.concat(F.substring_index(base, "/", 3), href))
+        .when(simple & base.rlike(SIMPLE_BASE), F.concat(F.regexp_extract(base, SIMPLE_BASE, 0), href))
+        .otherwise(general)
+    )
 
 
 def abs_url(base: Column, href: Column) -> Column:
@@ -130,8 +172,7 @@ def _abs_url(base: Column, href: Column) -> Column:
         s = p["s"]
         return (
             F.when((s == "") | (s == "#") | s.startswith("javascript:") | s.startswith("void("), "")
-            .when(s.rlike(r"(?i)^(data|blob|mailto|tel):"), "")
-            .when(s.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), s)
+            .when(s.contains(":") & s.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), F.when(s.rlike(r"(?i)^(data|blob|mailto|tel):"), "").otherwise(s))
             .otherwise(_resolve(p["b"], s))
         )
 
@@ -142,7 +183,7 @@ def book_url(url: Column, page_url: Column) -> Column:
     """Complete a link only when it is a site path; bare identifiers stay as they are."""
 
     def one(s: Column) -> Column:
-        full = F.coalesce(F.nullif(_abs_url(page_url, s), F.lit("")), s)
+        full = let(_abs_url(page_url, s), lambda u: F.when(u != "", u).otherwise(s))
         return F.when(s.rlike(r"^(\.{0,2}/)"), full).otherwise(s)
 
     return _or_simple(page_url, url, let(strip_space(text_or_blank(url)), one))

@@ -32,14 +32,17 @@ def make_hit(df: DataFrame) -> DataFrame:
         clean_author(F.col("author")).alias("author"),
         trimmed["kind"].alias("kind"),
         trimmed["intro"].alias("intro"),
-        F.when(cover != "", cover).otherwise(trimmed["cover_url"]).alias("cover_url"),
+        trimmed["cover_url"].alias("cover_url"),
+        cover.alias("_cover"),
         link.alias("_link"),
         trimmed["word_count"].alias("word_count"),
         trimmed["last_chapter"].alias("last_chapter"),
     )
+    # The completed links are used several times and computed once.
+    full = F.when(F.col("_cover") != "", F.col("_cover")).otherwise(F.col("cover_url")).alias("cover_url")
     return out.select(
         F.concat(F.col("source_id").cast("string"), F.lit("|"), F.col("_link")).alias("key"),
-        *[c for c in out.columns if c != "_link"],
+        *[full if c == "cover_url" else F.col(c) for c in out.columns if c not in ("_link", "_cover")],
         F.when(F.col("_link") != "", F.col("_link")).otherwise(F.col("page_url")).alias("book_url"),
     )
 

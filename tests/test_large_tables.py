@@ -76,3 +76,24 @@ def test_stream_ranks_like_the_batch(spark, tmp_path):
     columns = ["book_id", "source_id", "book_url", "score", "rank"]
     want = match_alternatives(books, found, limit=3)
     assert multiset(got.select(*columns)) == multiset(want.select(*columns))
+
+
+def test_links_of_any_length_and_form(spark):
+    page = "https://s1.example.com/list/p1.html?x=1"
+    long = "/" + "a" * 60_000
+    forms = {
+        long: "https://s1.example.com" + long, "../b.html": "https://s1.example.com/b.html", "./b?c=/..": "https://s1.example.com/list/b?c=/..",
+        "/a/./b/..": "https://s1.example.com/a/", "?page=2": "https://s1.example.com/list/p1.html?page=2", "#t": "https://s1.example.com/list/p1.html?x=1#t",
+        "//c.example.com/x": "https://c.example.com/x", "/ä b": "https://s1.example.com/%C3%A4%20b", "mailto:x": "", "x:y": "x:y", "b.html#a?b": "https://s1.example.com/list/b.html#a?b",
+    }
+    rows = spark.createDataFrame(list(forms.items()), "href string, want string").withColumn("page", F.lit(page))
+    wrong = rows.withColumn("got", urls.abs_url(F.col("page"), F.col("href"))).filter("got <> want").collect()
+    assert [(r.href[:30], r.got[:80]) for r in wrong] == []
+
+
+def test_covers_are_completed_once(spark):
+    columns = ["name", "author", "kind", "intro", "cover_url", "book_url", "word_count", "last_chapter", "page_url", "source_name"]
+    df = spark.createDataFrame([(1, *["x"] * 10)], "source_id long, " + ", ".join(f"{c} string" for c in columns))
+    plan = search.make_hit(df)._jdf.queryExecution().optimizedPlan().toString()
+    top = plan.split("\n")[0]
+    assert "_cover" in top and "RLIKE" not in top

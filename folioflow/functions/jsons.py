@@ -34,6 +34,22 @@ def parse(c: Column) -> Column:
     return F.when(is_json(c), F.try_parse_json(c))
 
 
+# Stands behind a text that is parsed, as a second item; no JSON token by itself.
+END = "~end of text~"
+
+
+def _whole_value(c: Column) -> Column:
+    """The value of a text that is exactly one JSON value, else NULL: as ``is_json`` and parsing, with one parse.
+
+    The second item is where it should be only if the text is one item; a text that holds the mark itself is tested by ``is_json``.
+    """
+    both = F.try_parse_json(F.concat(F.lit("["), c, F.lit(f',"{END}"]')))
+    one = let(both, lambda v: F.when(F.try_variant_get(v, "$[1]", "string") == END, F.try_variant_get(v, "$[0]", "variant")))
+    ends = [c.startswith(a) & ~c.endswith(b) for a, b in ("{}", "[]")]
+    hopeless = ends[0] | ends[1] | c.rlike(r"^[A-Za-z&&[^tfnNI]]")
+    return F.when(c.contains(END), parse(c)).when(~hopeless, one)
+
+
 def parse_json_loose(c: Column) -> Column:
     """Parse JSON; when that fails cut what stands before the first and after the last bracket."""
 
@@ -42,8 +58,8 @@ def parse_json_loose(c: Column) -> Column:
 
     def first_valid(s: Column) -> Column:
         head = F.regexp_extract(s, r"(?s)([\[{].*)$", 1)
-        tries = F.filter(F.array(s, trim(s), head, trim(head)), is_json)
-        return F.try_parse_json(F.try_element_at(tries, F.lit(1)))
+        # Each form is cut and parsed only if the one before is no JSON.
+        return F.coalesce(_whole_value(s), *[let(x, _whole_value) for x in (trim(s), head, trim(head))])
 
     return let(strip_space(text_or_blank(c)), first_valid)
 
@@ -57,8 +73,11 @@ def _values(node: Column) -> Column:
 
 
 def _member(node: Column, name: str) -> Column:
-    quoted = name.replace("\\", "\\\\").replace('"', '\\"')
-    return F.try_variant_get(node, f'$["{quoted}"]', "variant")
+    return F.try_variant_get(node, f"$[{_quoted(name)}]", "variant")
+
+
+def _quoted(name: str) -> str:
+    return '"' + name.replace("\\", "\\\\").replace('"', '\\"') + '"'
 
 
 def _none() -> Column:
@@ -76,7 +95,15 @@ def key(name: str) -> Step:
     def one(n: Column) -> Column:
         return F.filter(F.array(_member(n, name)), lambda v: v.isNotNull())
 
-    return _each(lambda n: F.coalesce(F.flatten(F.transform(_items(n), one)), one(n)))
+    step = _each(lambda n: F.coalesce(F.flatten(F.transform(_items(n), one)), one(n)))
+    step.member = _quoted(name)
+    return step
+
+
+def _straight(steps: tuple[Step, ...]) -> str | None:
+    """The path of steps that are members only; it leads from objects to one node or to none."""
+    names = [getattr(step, "member", None) for step in steps]
+    return None if not names or None in names else "$" + "".join(f"[{n}]" for n in names)
 
 
 def index(n: int) -> Step:
@@ -103,10 +130,18 @@ def where(test: Callable[[Column], Column]) -> Step:
 
 def json_path(v: Column, *steps: Step) -> Column:
     """All nodes the steps lead to, as an array; NULL when there are none."""
-    nodes = F.filter(F.array(v), lambda x: x.isNotNull())
-    for step in steps:
-        nodes = step(nodes)
-    return let(nodes, lambda n: F.when(F.size(n) > 0, n))
+    def walked(v: Column) -> Column:
+        nodes = F.filter(F.array(v), lambda x: x.isNotNull())
+        for step in steps:
+            nodes = step(nodes)
+        return let(nodes, lambda n: F.when(F.size(n) > 0, n))
+
+    straight = _straight(steps)
+    if straight is None:
+        return walked(v)
+    # Members of objects are one look; arrays on the way are walked step by step.
+    one = lambda v: let(F.try_variant_get(v, straight, "variant"), lambda x: F.when(x.isNotNull(), F.array(x)))
+    return let(v, lambda v: F.coalesce(one(v), walked(v)))
 
 
 def as_text(node: Column) -> Column:
@@ -123,7 +158,10 @@ def path_text(v: Column, *steps: Step) -> Column:
             F.when(nodes.isNull(), "").when(F.size(nodes) == 1, let(F.element_at(nodes, 1), as_text)).otherwise(many)
         )
 
-    return let(json_path(v, *steps), show)
+    walked = let(json_path(v, *steps), show)
+    straight = _straight(steps)
+    # A member that is there and not null is read at once; ``v`` should be a column then, as it stands here twice.
+    return walked if straight is None else F.coalesce(F.try_variant_get(v, straight, "string"), walked)
 
 
 def field(node: Column, name: str) -> Column:

@@ -97,3 +97,27 @@ def test_covers_are_completed_once(spark):
     plan = search.make_hit(df)._jdf.queryExecution().optimizedPlan().toString()
     top = plan.split("\n")[0]
     assert "_cover" in top and "RLIKE" not in top
+
+
+def test_loose_json_is_one_value_and_parsed_once(spark):
+    texts = ['{"a":1}', "[1,2]", "1", '"x"', "null", "1,2", "1],[2", '{"a":1}x', 'cb({"a":[1]});', "x{}y[1]z", "}{", "", " [1] ", '{"a":1', f'["{jsons.END}"]', f'1,"{jsons.END}"', "nix", '{"a":1}],[{"b":2}']
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    made = jsons.parse_json_loose(F.col("t"))
+
+    def plain(s):
+        trim = lambda x: F.regexp_extract(x, r"(?s)^(.*[\]}])", 1)
+        head = F.regexp_extract(s, r"(?s)([\[{].*)$", 1)
+        return F.try_parse_json(F.try_element_at(F.filter(F.array(s, trim(s), head, trim(head)), jsons.is_json), F.lit(1)))
+
+    rows = df.select("t", F.to_json(made).alias("got"), F.to_json(plain(jsons.strip_space(F.col("t")))).alias("want")).collect()
+    assert [(r.t, r.got) for r in rows] == [(r.t, r.want) for r in rows]
+
+
+def test_json_members_are_read_at_once(spark):
+    texts = ['{"a":{"b":"x"}}', '{"a":[{"b":1},{"b":2}]}', '{"a":{"b":null}}', '{"a":{"b":[1,{"c":2}]}}', '[{"a":{"b":1.5}}]', "{}", "3"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("v", F.try_parse_json("t"))
+    steps = [jsons.key("a"), jsons.key("b")]
+    walked = [lambda n, s=s: s(n) for s in steps]  # without the name that tells a member
+    assert jsons._straight(tuple(steps)) == '$["a"]["b"]' and jsons._straight(tuple(walked)) is None
+    rows = df.select("t", jsons.path_text(F.col("v"), *steps).alias("got"), jsons.path_text(F.col("v"), *walked).alias("want")).collect()
+    assert [(r.t, r.got) for r in rows] == [(r.t, r.want) for r in rows]

@@ -121,3 +121,17 @@ def test_json_members_are_read_at_once(spark):
     assert jsons._straight(tuple(steps)) == '$["a"]["b"]' and jsons._straight(tuple(walked)) is None
     rows = df.select("t", jsons.path_text(F.col("v"), *steps).alias("got"), jsons.path_text(F.col("v"), *walked).alias("want")).collect()
     assert [(r.t, r.got) for r in rows] == [(r.t, r.want) for r in rows]
+
+
+def test_repeated_attributes_are_read_once(monkeypatch):
+    calls, plain = [], shred.ATTR
+
+    class Counted:
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(plain, name)
+
+    monkeypatch.setattr(shred, "ATTR", Counted())
+    rows = shred.page_nodes(1, '<li class="item once" data-x="/a">t</li>' * 50)
+    assert len(rows) == 100 and len(calls) <= 2
+    assert rows[0][7] == [("class", "item once"), ("data-x", "/a")] and rows[98][14:17] == [50, 50, 50]

@@ -129,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(weights.astype(np.float32), bias, slope, offset)
 
 
-def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """The input with the five counts, base_failed, the probability and kept, which replace columns of these names."""
     added = [T.StructField(c, T.LongType()) for c in COUNTS]
     added += [T.StructField("base_failed", T.BooleanType()), T.StructField("probability", T.DoubleType()), T.StructField("kept", T.BooleanType())]
@@ -140,7 +140,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
         for batch in batches:
             for lo in range(0, len(batch), 1024):
                 part = batch.slice(lo, 1024)
-                m = measure(part.column(part.schema.get_field_index("text")), model)
+                m = measure(part.column(part.schema.get_field_index(text)), model)
                 failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > REPEAT_PERCENT * m["n_words"])
                 kept = ~failed & (m["probability"] >= threshold)
                 columns = [*part.columns, *(pa.array(m[c]) for c in COUNTS), pa.array(failed), pa.array(m["probability"]), pa.array(kept)]
@@ -153,8 +153,8 @@ def stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the rules keep, with the columns they came with."""
     columns = docs.columns
     inner = docs.toDF(*(f"in_{k}" for k in range(len(columns))))
-    inner = inner.withColumn("text", F.col(f"in_{columns.index('text')}"))
-    rows = score(inner, fit(docs, labels)).filter("kept")
+    # The text goes to the tasks once, under the name it has there.
+    rows = score(inner, fit(docs, labels), text=f"in_{columns.index('text')}").filter("kept")
     return rows.select(*(F.col(f"in_{k}").alias(c) for k, c in enumerate(columns)))
 
 

@@ -135,3 +135,14 @@ def test_repeated_attributes_are_read_once(monkeypatch):
     rows = shred.page_nodes(1, '<li class="item once" data-x="/a">t</li>' * 50)
     assert len(rows) == 100 and len(calls) <= 2
     assert rows[0][7] == [("class", "item once"), ("data-x", "/a")] and rows[98][14:17] == [50, 50, 50]
+
+
+def test_texts_go_to_the_quality_tasks_once(spark, monkeypatch):
+    from folioflow.llm import quality
+
+    seen, score = [], quality.score
+    monkeypatch.setattr(quality, "score", lambda docs, *args, **kwargs: seen.extend(docs.columns) or score(docs, *args, **kwargs))
+    docs = spark.createDataFrame([(1, "a " * 30, "src0")], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.stage(docs, labels).columns == docs.columns
+    assert len(seen) == len(docs.columns)

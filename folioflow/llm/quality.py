@@ -38,6 +38,9 @@ WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
 BLANKS = "".join(map(chr, kernel.BREAKS))
 
+#: Bytes of text that are measured and scored at once.
+SLICE = 250_000
+
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -138,9 +141,10 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), 1024):
-                part = batch.slice(lo, 1024)
-                m = measure(part.column(part.schema.get_field_index(text)), model)
+            at = batch.schema.get_field_index(text)
+            for lo, hi in kernel.slices(kernel.utf8(batch.column(at))[1], SLICE):
+                part = batch.slice(lo, hi - lo)
+                m = measure(part.column(at), model)
                 failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > REPEAT_PERCENT * m["n_words"])
                 kept = ~failed & (m["probability"] >= threshold)
                 columns = [*part.columns, *(pa.array(m[c]) for c in COUNTS), pa.array(failed), pa.array(m["probability"]), pa.array(kept)]

@@ -76,6 +76,25 @@ def test_quality_learns(spark, empty):
 # ---- 2 exact
 
 
+def test_quality_measures_small_slices(spark, empty, monkeypatch):
+    """What a task holds for counting follows ``SLICE``, not the rows of an Arrow batch."""
+    import pyarrow as pa
+
+    model = quality.fit(empty, labels_of(spark, [], "quality"))
+    run, sizes, measure = [], [], quality.measure
+    monkeypatch.setattr(quality, "measure", lambda texts, m: sizes.append(sum(map(len, texts.to_pylist()))) or measure(texts, m))
+
+    class Docs:
+        schema, columns = empty.select("doc_id", "text").schema, ["doc_id", "text"]
+        drop = lambda self, *names: self
+        mapInArrow = lambda self, f, schema: run.append(f)
+
+    quality.score(Docs(), model)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(900)), pa.array(["word " * 600] * 900)], names=["doc_id", "text"])
+    out = list(run[0]([batch]))
+    assert sum(len(b) for b in out) == 900 and sum(sizes) == 900 * 3000 and max(sizes) <= 250_000
+
+
 def expected_groups(rows):
     groups, copies = defaultdict(set), Counter()
     for r in rows:

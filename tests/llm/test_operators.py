@@ -421,6 +421,34 @@ def test_passage_of_frequent_lines(spark):
     assert all(got[k].spans == [] and got[k].class_id == k for k in range(150))
 
 
+def test_passage_with_one_frequent_line(spark):
+    """Passages of fifty words around a line that many texts have, with no other five words in a row in common."""
+    rng = random.Random(22)
+    new = lambda n: [f"{w}{rng.randrange(10**6)}" for w in prose(rng, n).split()]
+    line = new(22)
+    rows = [(k, new(30) + line + new(30)) for k in range(60)]
+    for k in range(100, 120, 2):
+        head, tail = new(14), new(14)
+        for d in (0, 1):
+            edits = lambda w, r: [x if (j + r) % 4 or not d else new(1)[0] for j, x in enumerate(w)]
+            rows.append((k + d, new(30) + edits(head, 3) + [f"own{k}{d}"] + line + [f"its{k}{d}"] + edits(tail, 0)[:14] + new(20)))
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    got = {r.doc_id: r for r in chaining.find_passages(docs).collect()}
+    for k in range(100, 120):
+        assert got[k].links == 1 and got[k].class_id == k - k % 2, k
+    assert all(got[k].spans == [] and got[k].class_id == k for k in range(60))
+
+
+def test_shared_words_of_surroundings():
+    rng = random.Random(23)
+    lists = [[rng.randrange(12) for _ in range(rng.randrange(1, 40))] for _ in range(30)]
+    left, right = np.arange(0, 20), np.arange(10, 30)
+    got = chaining._shared_words([np.array(w, np.uint16).tobytes() for w in lists], left, right)
+    for x in left:
+        for y in right:
+            assert x == y or got[x, y - 10] == sum((Counter(lists[x]) & Counter(lists[y])).values())
+
+
 # ---- 8 toxicity
 
 

@@ -553,6 +553,44 @@ def test_groups_of_near_copies(spark):
     assert {(r.doc_id, r.class_id, r.class_size) for r in got} == {(r[0], *groups[find(tuple(words(r[1])))]) for r in rows}
 
 
+@pytest.mark.parametrize("tile", [512, 8])
+def test_common_passage_makes_no_pairs_of_unlike_texts(spark, monkeypatch, tile):
+    """Texts that meet by a passage that all have are not compared pair by pair, and no link among them is lost."""
+    rng = random.Random(24)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = new(50)
+    rows = [new(25) + passage + new(25) for _ in range(150)]
+    rows += [edited(rng, rows[k], 0.82, True) for k in range(0, 60, 3)]
+    for _ in range(3):
+        one = new(25) + passage + new(25)
+        rows += [edited(rng, one, rng.choice([0.97, 0.92, 0.88, 0.84]), False) for _ in range(30)]
+    rows = [(k, " ".join(w)) for k, w in enumerate(rows)]
+    compared, verify = [], order_minhash._verify
+    monkeypatch.setattr(order_minhash, "_verify", lambda pairs, texts: compared.append(pairs.count()) or verify(pairs, texts))
+    monkeypatch.setattr(order_minhash, "TILE", tile, raising=False)
+    got = order_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    groups, find = brute_classes(rows)
+    assert {(r.doc_id, r.class_id, r.class_size) for r in got} == {(r[0], *groups[find(tuple(words(r[1])))]) for r in rows}
+    print(compared)
+    assert len(compared) == 2 and sum(compared) < 15 * len(rows)
+
+
+def test_samples_do_not_depend_on_slices():
+    import pyarrow as pa
+
+    from folioflow.llm import kernel
+
+    rng = random.Random(25)
+    raw, offsets = kernel.utf8(pa.array([" ".join(rng.choice("abcd") for _ in range(rng.randrange(60))) for _ in range(300)]))
+    ends = [0, 1, 2, 50, 51, 200, 300]
+
+    def samples(lo, hi):
+        _, _, codes, of = order_minhash.kmers(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        return order_minhash.sketches(codes, of, hi - lo)
+
+    assert (samples(0, 300) == np.concatenate([samples(lo, hi) for lo, hi in zip(ends[:-1], ends[1:])])).all()
+
+
 def test_near_duplicates(spark, hard, hard_rows, empty):
     groups, find = brute_classes(hard_rows)
     expected = Counter((r[0], *groups[find(tuple(words(r[1])))]) for r in hard_rows)

@@ -160,31 +160,44 @@ def pick_representative(members: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def cap_origins(members: DataFrame, keys: list[str], limit: int = ORIGIN_CAP) -> DataFrame:
-    """The first origins of each entry in order, as an array of at most ``limit``.
+def cap_origins(
+    members: DataFrame, keys: list[str], limit: int | None = ORIGIN_CAP, fields: list[str] | None = None
+) -> DataFrame:
+    """The first origins of each entry in order, as an array of at most ``limit``; of all if ``limit`` is None.
 
     The row_number filter keeps ``limit`` rows per entry in each map task, so an entry with
-    millions of origins costs no more than a small one. All origins stay available as the
-    rows of ``merge_members``.
+    millions of origins costs no more than a small one. Without a limit an entry's origins are
+    one array, as long as the entry is; ``fields`` (all of ``HIT`` by default) keeps it narrow. All
+    origins stay available as the rows of ``merge_members``.
     """
+    fields = fields or HIT
     order = [F.desc("weight"), F.asc("sort_order"), F.asc("source_id"), F.asc("item_pos")]
     w = Window.partitionBy(*keys).orderBy(*order)
-    few = members.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit)
-    origin = F.struct(F.col("_rn").alias("pos"), *HIT)
+    few = members.withColumn("_rn", F.row_number().over(w))
+    if limit is not None:
+        few = few.filter(F.col("_rn") <= limit)
+    origin = F.struct(F.col("_rn").alias("pos"), *fields)
     return few.groupBy(*keys).agg(F.sort_array(F.collect_list(origin)).alias("origins"))
 
 
-def merge_hits(hits: DataFrame, dedupe: bool = True, fold_limit: int = FOLD_LIMIT) -> DataFrame:
-    """Merged entries: representative, number of origins, first origins.
+def merge_hits(
+    hits: DataFrame,
+    dedupe: bool = True,
+    fold_limit: int = FOLD_LIMIT,
+    origin_limit: int | None = ORIGIN_CAP,
+    origin_fields: list[str] | None = None,
+) -> DataFrame:
+    """Merged entries: representative, number of origins, first origins (all if ``origin_limit`` is None).
 
     ``hits`` come from ``union_hits``. Without ``dedupe`` every hit is an entry of its own.
     """
     if not dedupe:
-        own = F.array(F.struct(F.lit(1).alias("pos"), *HIT))
+        own = F.array(F.struct(F.lit(1).alias("pos"), *(origin_fields or HIT)))
         return hits.select(*HIT, "weight", F.lit(1).cast("long").alias("origin_count"), own.alias("origins"))
     members = merge_members(hits, fold_limit)
     keys = ["title", "leader"]
-    return pick_representative(members, keys).join(cap_origins(members, keys), keys).drop(*keys)
+    origins = cap_origins(members, keys, origin_limit, origin_fields)
+    return pick_representative(members, keys).join(origins, keys).drop(*keys)
 
 
 def merge_hits_simple(hits: DataFrame) -> DataFrame:

@@ -129,9 +129,13 @@ def entry_columns(df):
     return df.withColumn("origins", origins)
 
 
-@query("merge_hits", sql_for("ranked_hits", extra=MERGE_STEPS, body=f"select {ENTRY} from reps r join firstn f on r.title = f.title and r.leader = f.leader where rn = 1"))
+ALL_ORIGINS = "select title, leader, string_agg(concat(source_id, '|', book_url), ',' order by pos) as origins from members group by title, leader"
+
+
+@query("merge_hits", sql_for("ranked_hits", extra={**MERGE_STEPS, "firstn": ALL_ORIGINS}, body=f"select {ENTRY} from reps r join firstn f on r.title = f.title and r.leader = f.leader where rn = 1"))
 def merge_hits(spark, d):
-    return entry_columns(merge.merge_hits(ranked(spark, d))).select(
+    entries = merge.merge_hits(ranked(spark, d), origin_limit=None, origin_fields=["source_id", "book_url"])
+    return entry_columns(entries).select(
         "name", "author", "source_id", "book_url", "origin_count", "origins"
     )
 

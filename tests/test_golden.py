@@ -61,6 +61,17 @@ def test_origins_are_capped_but_counted(spark):
     assert r.origin_count == 30 and [o.source_name for o in r.origins] == [f"s{i:02d}" for i in range(12)]
 
 
+def test_merge_hits_query_keeps_all_origins(spark, monkeypatch):
+    from folioflow.plans import search as plan
+
+    rows = [("t", ["a", "", "b"][i % 3], f"s{i:02d}") for i in range(60)]
+    r = merge.merge_hits(hits(spark, rows[::3]), origin_limit=None).first()
+    assert [(o.pos, o.source_name) for o in r.origins] == [(i + 1, f"s{3 * i:02d}") for i in range(20)]
+    monkeypatch.setattr(plan, "ranked", lambda spark, d: hits(spark, rows))
+    got = {tuple(r.origins.split(",")) for r in plan.merge_hits(spark, "").collect()}
+    assert got == {tuple(f"{i}|/b/{i}" for i in range(60) if i % 3 < 2), tuple(f"{i}|/b/{i}" for i in range(2, 60, 3))}
+
+
 # Text -------------------------------------------------------------------------------
 
 

@@ -439,6 +439,26 @@ def test_passage_with_one_frequent_line(spark):
     assert all(got[k].spans == [] and got[k].class_id == k for k in range(60))
 
 
+def test_all_texts_with_a_passage_are_compared(spark):
+    """Thirty texts hold one passage; two pairs of them go on alike on both sides of it, which only their own comparison tells."""
+    rng = random.Random(24)
+    new = lambda n: [f"{w}{rng.randrange(10**6)}" for w in prose(rng, n).split()]
+    passage, heads, tails = new(60), [new(12) for _ in range(2)], [new(12) for _ in range(2)]
+    rows = [(k, new(20) + (heads[k % 2] if k in (10, 11, 20, 21) else new(12)) + passage + (tails[k % 2] if k in (10, 11, 20, 21) else new(12)) + new(9)) for k in range(30)]
+    got = {r.doc_id: r for r in chaining.find_passages(spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")).collect()}
+    assert all(r.links == 29 and r.class_id == 0 for r in got.values())
+    for k in (10, 11, 20, 21):
+        assert set(range(20, 104)) <= {i for s in got[k].spans for i in range(s.start, s.end)}
+
+
+def test_few_surroundings_are_counted_as_tiles_are():
+    rng = random.Random(25)
+    lists = [np.array([rng.randrange(40) for _ in range(rng.randrange(1, 86))], np.uint16).tobytes() for _ in range(40)]
+    left, right = np.triu_indices(40, 1)
+    want = chaining._shared_words(lists, np.arange(40), np.arange(40))[left, right] >= chaining.EQUAL
+    assert (chaining._met_few(lists, left, right) == want).all() and 0 < want.sum() < len(want)
+
+
 def test_shared_words_of_surroundings():
     rng = random.Random(23)
     lists = [[rng.randrange(12) for _ in range(rng.randrange(1, 40))] for _ in range(30)]

@@ -43,3 +43,29 @@ def test_settle_leaves_no_shuffle_files(tmp_path):
     env = {**os.environ, "SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": ROOT, "SPARK_LOCAL_DIRS": str(tmp_path / "local")}
     out = subprocess.run([sys.executable, "-c", CLEAN], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=200)
     assert "left 0" in out.stdout, out.stdout[-500:] + out.stderr[-2000:]
+
+
+STREAM = """
+import glob, os, time
+from folioflow.session import build_session
+from folioflow.streaming.runner import read_landed, run_each
+spark = build_session("clean", "local[2]", 4)
+name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+before = spark.conf.get(name, None)
+spark.range(1000).write.parquet("landed")
+stream = read_landed(spark, os.path.abspath("landed"), spark.range(1).schema)
+run_each(stream, lambda batch, epoch: batch.repartition(4, "id").write.mode("overwrite").parquet(os.path.abspath("out")), "append", "t")
+assert spark.conf.get(name, None) == before
+shuffles = lambda: glob.glob(os.environ["SPARK_LOCAL_DIRS"] + "/**/shuffle_*.data", recursive=True)
+until = time.time() + 5
+while shuffles() and time.time() < until:
+    time.sleep(0.2)
+print("left", len(shuffles()))
+assert spark.read.parquet("out").count() == 1000
+"""
+
+
+def test_stream_batches_leave_no_shuffle_files(tmp_path):
+    env = {**os.environ, "SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": ROOT, "SPARK_LOCAL_DIRS": str(tmp_path / "local")}
+    out = subprocess.run([sys.executable, "-c", STREAM], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=200)
+    assert "left 0" in out.stdout, out.stdout[-500:] + out.stderr[-2000:]
